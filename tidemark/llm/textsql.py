@@ -15,10 +15,16 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
-def count_of(text: Column, characters: str) -> Column:
-    """How many characters of ``text`` are among ``characters``."""
-    text = F.coalesce(text, F.lit(""))
-    return (F.char_length(text) - F.char_length(F.translate(text, characters, ""))).cast("long")
+def count_of(text: Column, pattern: str) -> Column:
+    """How often a one-character pattern occurs."""
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
+
+
+def without_blanks(text: Column) -> Column:
+    """Code points that are not blanks."""
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(""))
+    return F.char_length(text)
 
 
 def ascii_lower(text: Column) -> Column:
