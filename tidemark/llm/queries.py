@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules, sharding, url_filter
+from tidemark.llm import quality_rules, sharding, substring_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.apply_rules(_documents(spark, sf_dir), labels).select(
@@ -33,11 +37,29 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_url_filter": op7_url_filter,
 }
 
+_OP1 = """
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+windows AS (
+  SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS t FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM w)),
+repeated AS (
+  SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY md5(t)) AS c FROM windows) WHERE c > 1),
+gone AS (
+  SELECT rid, list(DISTINCT i + o) AS gone FROM repeated, range(0, 35) AS v(o) GROUP BY rid),
+kept AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+         CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS k
+  FROM w LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
 _OP7 = f"""
 WITH rules(action, rhost, rpath) AS (VALUES {URL_RULES}),
 parts AS (
@@ -105,4 +127,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM scored LEFT JOIN chosen ON lang IS NOT DISTINCT FROM stratum
 """
 
-ORACLES = {"op3_quality_rules": _OP3, "op7_url_filter": _OP7}
+ORACLES = {"op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
