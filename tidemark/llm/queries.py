@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality_rules, sharding, simhash, substring_dedup, url_filter
+from tidemark.llm import decontaminate, quality_rules, sharding, simhash, substring_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +41,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_url_filter": op7_url_filter,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 _OP1 = """
@@ -133,4 +141,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM scored LEFT JOIN chosen ON lang IS NOT DISTINCT FROM stratum
 """
 
-ORACLES = {"op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
+_OP8_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_OP8_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_OP8_WORDS} AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM phrases),
+places AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+grams AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM places, lengths WHERE i + n - 1 <= len(w)),
+hits AS (SELECT rid, i, n, item FROM grams JOIN phrases USING (n, t)),
+hit_words AS (SELECT rid, count(DISTINCT i + o) AS n_hit FROM hits, range(0, 13) AS v(o) WHERE o < n GROUP BY rid),
+hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
+"""
+
+ORACLES = {"op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
