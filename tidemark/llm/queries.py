@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, quality_rules, sharding, simhash, substring_dedup, url_filter
+from tidemark.llm import decontaminate, language_id, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter
+
+#: Where the public tokenizers' files are; a parameter of the operators that need one.
+TOKENIZERS = public_tokenizers
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.remove_repeated_lines(_documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.apply_rules(_documents(spark, sf_dir), labels).select(
@@ -23,6 +32,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = language_id.predict(docs, language_id.train(docs), keep=("doc_id",))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -48,13 +63,29 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), **pack_parameters())
+
+
+def pack_parameters() -> dict[str, str]:
+    return {"tokenizer": TOKENIZERS.path("byte_bpe_50k.json"), "ranks": TOKENIZERS.path("byte_bpe_50k.tiktoken"), "pattern": TOKENIZERS.PATTERN}
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_documents(spark, sf_dir), TOKENIZERS.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_simhash": op5_simhash,
     "op6_rendezvous_shards": op6_rendezvous_shards,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
+    "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 _OP1 = """
@@ -159,4 +190,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
-ORACLES = {"op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
+_L = line_dedup
+_OP2 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT rid, doc_id, len(ls) AS n, i, ls[i] AS line, ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT % {_L.PRIME} AS v
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+r AS (
+  SELECT *, (v + coalesce(lag(v, 1) OVER o, 0) * {_L.BASE} % {_L.PRIME} + coalesce(lag(v, 2) OVER o, 0) * {pow(_L.BASE, 2, _L.PRIME)} % {_L.PRIME}) % {_L.PRIME} AS x
+  FROM l WINDOW o AS (PARTITION BY rid ORDER BY i)),
+cut AS (
+  SELECT *, CASE WHEN i >= 2 AND i <= n - 2 AND x < lag(x) OVER o AND x <= lead(x) OVER o THEN 1 ELSE 0 END AS c
+  FROM r WINDOW o AS (PARTITION BY rid ORDER BY i)),
+part AS (
+  SELECT *, coalesce(sum(c) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cut),
+chunk AS (
+  SELECT rid, doc_id, k, count(*) AS m, string_agg(line, chr(10) ORDER BY i) AS t FROM part GROUP BY rid, doc_id, k),
+gone AS (
+  SELECT rid, k FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, rid, k) AS nth FROM chunk WHERE m > 1 AND regexp_matches(t, '[^\\x20\\x09-\\x0D]')) WHERE nth > 1),
+left_over AS (
+  SELECT rid, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS kept FROM part ANTI JOIN gone USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (rid)
+"""
+
+ORACLES = {"op2_line_dedup": _OP2, "op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
