@@ -8,8 +8,9 @@ twelve windows and no repeat can be missed.
 The index is a list of immutable runs, each a table bucketed and sorted by hash. A batch of
 documents becomes a new run; it is merge-joined with every older run, bucket by bucket, without
 a shuffle of the runs; runs of one tier are merged once there are ``fanout`` of them, so a hash
-is rewritten O(log batches) times. Hits are candidates only: the windows they stand for are
-verified by 128-bit digests of their whole word sequence before anything is removed.
+is rewritten O(log batches) times. Hits are candidates only: the windows they stand for, neighbours
+of one anchor together where they can be, are verified by 128-bit digests of their whole word
+sequence before anything is removed.
 
 Defined results: null and empty texts have no words, nothing removed, and the digest of the
 empty string; texts shorter than a window keep every word; repeated rows are repeats of each
@@ -27,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import Batcher, WordHashes, as_bytes, rows_of, window_hashes
-from tidemark.llm.workspace import Workspace
+from tidemark.llm.tokens import Batcher, WordHashes, as_bytes, mix, rows_of, window_hashes
+from tidemark.llm.workspace import Workspace, shuffles_end
 
 WINDOW = 35
 GRAM = 12
@@ -82,9 +83,9 @@ class FingerprintIndex:
 
     def _store(self, entries: DataFrame, tier: int) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        (
-            entries.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.work.path}/{name}").saveAsTable(name)
-        )
+        run = entries.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h")
+        with shuffles_end(self.spark):
+            run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.work.path}/{name}").saveAsTable(name)
         self.runs.append((tier, name))
         return name
 
@@ -125,44 +126,68 @@ class FingerprintIndex:
         self.runs = []
 
 
-MARKED = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("starts", pa.list_(pa.int32())), ("d1", pa.list_(pa.int64())), ("d2", pa.list_(pa.int64()))]
-)
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+MARKED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("h", _LONGS), ("start", _INTS), ("n", _INTS), ("d1", _LONGS), ("d2", _LONGS)])
+MARKED_DDL = "doc_id bigint, n_words bigint, kept string, text binary, h array<bigint>, start array<int>, n array<int>, d1 array<bigint>, d2 array<bigint>"
 
 
 def _mark(window: int, gram: int):
+    """The groups of windows of a document whose anchors are hits: neighbours that share an anchor.
+
+    A group's digests are made of those of its first and last window, which cover all of it.
+    """
     first, second = WordHashes(), WordHashes(200_000, seed=1)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(MARKED)
         for doc_id, text, hit in rows_of(batches):
             words = (text or b"").split()
-            starts = np.empty(0, np.int64)
+            start = np.empty(0, np.int64)
             if hit and len(words) >= window:
-                h = first.of(words)
-                starts = np.flatnonzero(np.isin(anchors(window_hashes(h, gram), window - gram + 1), np.unique(hit)))
-            if len(starts):
-                d1, d2 = window_hashes(h, window)[starts].view(np.int64), window_hashes(second.of(words), window)[starts].view(np.int64)
-                yield from out.add((doc_id, len(words), None, text, starts.astype(np.int32), d1, d2), len(text) + 20 * len(starts))
+                one = first.of(words)
+                grams = window_hashes(one, gram)
+                at = anchors(grams, window - gram + 1)
+                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                end = np.r_[begin[1:], len(at)]
+                mine = np.isin(at[begin], np.unique(hit))
+                start, last = begin[mine], end[mine] - 1
+            if len(start):
+                n = last - start + 1
+                digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in (window_hashes(one, window), window_hashes(second.of(words), window))]
+                yield from out.add((doc_id, len(words), None, text, grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests), len(text) + 32 * len(start))
             else:
                 kept = b" ".join(words)
-                yield from out.add((doc_id, len(words), kept.decode(), None, None, None, None), len(kept))
+                yield from out.add((doc_id, len(words), kept.decode(), *[None] * 6), len(kept))
         yield from out.flush()
 
     return task
 
 
+def _windows(window: int):
+    """Digests of every window of the groups asked for."""
+    first, second = WordHashes(), WordHashes(200_000, seed=1)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, text, groups in rows_of(batches):
+            words = text.split()
+            starts = np.concatenate([np.arange(g["start"], g["start"] + g["n"]) for g in groups])
+            d1, d2 = (window_hashes(hashes.of(words), window)[starts].view(np.int64) for hashes in (first, second))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts.astype(np.int32)), pa.array(d1), pa.array(d2)], ["row", "start", "d1", "d2"])
+
+    return task
+
+
 def _remove(window: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(schema)
-        for doc_id, text, starts in rows_of(batches):
+        for doc_id, text, covered in rows_of(batches):
             words = text.split()
             edge = np.zeros(len(words) + 1, np.int64)
-            starts = np.unique(np.array(starts or [], np.int64))
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, np.minimum(starts + window, len(words)), -1)
+            for c in covered or ():
+                edge[c["start"]] += 1
+                edge[c["start"] + c["n"] - 1 + window] -= 1
             gone = np.cumsum(edge)[:-1] > 0
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
             yield from out.add((doc_id, len(words), int(gone.sum()), kept.decode()), len(kept))
@@ -171,6 +196,25 @@ def _remove(window: int):
     return task
 
 
+def _repeated(marked: DataFrame, work: Workspace, window: int) -> DataFrame:
+    """(row, start, n): runs of windows that also occur elsewhere, verified by 128-bit digests.
+
+    Equal windows have equal anchors. Groups with equal digests repeat as a whole. Only where the
+    groups of an anchor differ are single windows compared, one group for each digest.
+    """
+    groups = marked.where("start is not null").select("row", F.explode(F.arrays_zip("h", "start", "n", "d1", "d2")).alias("g")).select("row", "g.*")
+    digests = groups.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("row", "start", "n")).alias("one"))
+    digests = work.write(digests, "digests")
+    whole = groups.join(digests.where("c > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("row", "start", "n")
+    mixed = digests.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    single = digests.join(mixed, "h", "left_semi").select("one.*").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("groups"))
+    texts = marked.where("start is not null").select("row", "text").join(single, "row").select("row", "text", "groups")
+    windows = work.write(texts.mapInArrow(_windows(window), "row bigint, start int, d1 bigint, d2 bigint"), "windows")
+    twice = windows.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
+    parts = windows.join(twice, ["d1", "d2"], "left_semi").select("row", "start", F.lit(1).alias("n"))
+    return work.write(whole.union(parts), "repeated")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one space."""
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
@@ -184,19 +228,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for more in hits[1:]:
         twice = twice.union(more)
     twice = work.write(twice.distinct(), "repeated_anchors")
-    hit_places = found.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("hit"))
+    hit_places = work.write(found.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("hit")), "hit_places")
+    work.drop("anchors")
 
     marked = texts.join(hit_places.withColumnRenamed("doc_id", "hit_id"), F.coalesce("doc_id", F.lit(-1)) == F.col("hit_id"), "left").select("doc_id", "text", "hit")
-    marked = work.write(
-        marked.mapInArrow(_mark(window, gram), "doc_id bigint, n_words bigint, kept string, text binary, starts array<int>, d1 array<bigint>, d2 array<bigint>").withColumn(
-            "row", F.monotonically_increasing_id()
-        ),
-        "marked",
-    )
-    work.drop("anchors")
-    windows = marked.where("starts is not null").select("row", F.explode(F.arrays_zip("starts", "d1", "d2")).alias("w")).select("row", "w.*")
-    repeated = work.write(windows.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2"), "repeated_windows")
-    starts = windows.join(repeated, ["d1", "d2"], "left_semi").groupBy("row").agg(F.collect_list("starts").alias("covered"))
-    touched = marked.where("starts is not null").select("row", "doc_id", "text").join(starts, "row", "left").select("doc_id", "text", "covered")
-    untouched = marked.where("starts is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
+    marked = work.write(marked.mapInArrow(_mark(window, gram), MARKED_DDL).withColumn("row", F.monotonically_increasing_id()), "marked")
+    covered = _repeated(marked, work, window).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
+    touched = marked.where("start is not null").select("row", "doc_id", "text").join(covered, "row", "left").select("doc_id", "text", "covered")
+    untouched = marked.where("start is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
     return untouched.union(touched.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
