@@ -131,12 +131,17 @@ MARKED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa
 MARKED_DDL = "doc_id bigint, n_words bigint, kept string, text binary, h array<bigint>, start array<int>, n array<int>, d1 array<bigint>, d2 array<bigint>"
 
 
+def _pair(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each window, from word hashes and from a bijection of them."""
+    return window_hashes(words, window), window_hashes(mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)
+
+
 def _mark(window: int, gram: int):
     """The groups of windows of a document whose anchors are hits: neighbours that share an anchor.
 
     A group's digests are made of those of its first and last window, which cover all of it.
     """
-    first, second = WordHashes(), WordHashes(200_000, seed=1)
+    hashes = WordHashes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(MARKED)
@@ -144,7 +149,7 @@ def _mark(window: int, gram: int):
             words = (text or b"").split()
             start = np.empty(0, np.int64)
             if hit and len(words) >= window:
-                one = first.of(words)
+                one = hashes.of(words)
                 grams = window_hashes(one, gram)
                 at = anchors(grams, window - gram + 1)
                 begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
@@ -153,7 +158,7 @@ def _mark(window: int, gram: int):
                 start, last = begin[mine], end[mine] - 1
             if len(start):
                 n = last - start + 1
-                digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in (window_hashes(one, window), window_hashes(second.of(words), window))]
+                digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(one, window)]
                 yield from out.add((doc_id, len(words), None, text, grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests), len(text) + 32 * len(start))
             else:
                 kept = b" ".join(words)
@@ -165,13 +170,13 @@ def _mark(window: int, gram: int):
 
 def _windows(window: int):
     """Digests of every window of the groups asked for."""
-    first, second = WordHashes(), WordHashes(200_000, seed=1)
+    hashes = WordHashes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text, groups in rows_of(batches):
             words = text.split()
             starts = np.concatenate([np.arange(g["start"], g["start"] + g["n"]) for g in groups])
-            d1, d2 = (window_hashes(hashes.of(words), window)[starts].view(np.int64) for hashes in (first, second))
+            d1, d2 = (w[starts].view(np.int64) for w in _pair(hashes.of(words), window))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts.astype(np.int32)), pa.array(d1), pa.array(d2)], ["row", "start", "d1", "d2"])
 
     return task
