@@ -9,7 +9,7 @@ first (by id, then row, then place) and removed elsewhere.
 
 Chunks are counted by hash with partial sums. Only for hashes met twice does the first place hand
 out its bytes, and a chunk goes only if it equals them byte for byte; should two different chunks
-share a hash, the later one stays.
+share a hash, the later one stays. Texts move once, when they are numbered and dealt by number.
 
 Defined results: null stays null and has no lines; an empty text is one empty line; chunks without
 a word are left alone; repeated rows are repeats of each other, so all but the first become empty;
@@ -109,7 +109,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "
     """``docs`` with the texts that are left, and (n_lines, n_removed)."""
     work = Workspace(docs.sparkSession, "lines")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    table = work.write(docs.select(F.struct(*own).alias("d"), F.monotonically_increasing_id().alias("row")), "numbered")
+    table = work.write_bucketed(docs.select(F.struct(*own).alias("d"), F.monotonically_increasing_id().alias("row")), "row")
     text = F.col("d")[text_col].cast("binary")
     numbered = table.select("row", F.coalesce(F.col("d")[id_col].cast("bigint"), F.lit(-1)).alias("key"), text.alias("text"))
 

@@ -57,6 +57,14 @@ class Workspace:
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """Writes ``df`` dealt and sorted by ``key``, so that joins on it move only their other side."""
+        name = f"tidemark_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        with shuffles_end(self.spark):
+            df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all of them, once no later stage reads it."""
         jvm = self.spark.sparkContext._jvm
