@@ -59,7 +59,7 @@ def backward(costs: np.ndarray, end: np.ndarray, beta: float) -> np.ndarray:
 def _summary(beta: float):
     """A chunk as a map from G after it to G at its first row, where G[j] = F[j] + L[j]."""
 
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         costs = np.stack(part.sort_values("t")["cost"].to_numpy())
         k = costs.shape[1]
         unit = np.where(np.eye(k, dtype=bool), 0.0, np.inf)  # row j: G after the chunk is 0 at j, endless elsewhere
@@ -99,7 +99,7 @@ def trace(costs: np.ndarray, after: np.ndarray | None, beta: float, entry: np.nd
 
 
 def _traces(beta: float):
-    def one(key, part: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
         costs, after = np.stack(part["cost"].to_numpy()), np.asarray(part["after"].iloc[0], float)
         ends = None if not len(after) else after
