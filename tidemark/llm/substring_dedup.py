@@ -56,22 +56,22 @@ def _fingerprint(window: int, gram: int):
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, hashes = [], [], []
-            for doc_id, text in rows_of([batch]):
+            rows, at, hashes = [], [], []
+            for row, text in rows_of([batch]):
                 grams = window_hashes(seen.of((text or b"").split()), gram)
                 picked = anchors(grams, window - gram + 1)
                 picked = picked[np.r_[True, picked[1:] != picked[:-1]]] if len(picked) else picked
                 hashes.append(grams[picked])
                 at.append(picked.astype(np.int32))
-                ids.append(np.full(len(picked), -1 if doc_id is None else doc_id, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.empty(0, t)]).view(v)) for x, t, v in ((hashes, np.uint64, np.int64), (ids, np.int64, np.int64), (at, np.int32, np.int32))], ["h", "doc_id", "at"])
+                rows.append(np.full(len(picked), row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.empty(0, t)]).view(v)) for x, t, v in ((hashes, np.uint64, np.int64), (rows, np.int64, np.int64), (at, np.int32, np.int32))], ["h", "row", "at"])
 
     return task
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(h, doc_id, at): every anchor of every document."""
-    return docs.mapInArrow(_fingerprint(window, gram), "h bigint, doc_id bigint, at int")
+def fingerprints(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(h, row, at): every anchor of every text (row, text)."""
+    return texts.mapInArrow(_fingerprint(window, gram), "h bigint, row bigint, at int")
 
 
 class FingerprintIndex:
@@ -126,9 +126,7 @@ class FingerprintIndex:
         self.runs = []
 
 
-_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-MARKED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept", pa.string()), ("text", pa.binary()), ("h", _LONGS), ("start", _INTS), ("n", _INTS), ("d1", _LONGS), ("d2", _LONGS)])
-MARKED_DDL = "doc_id bigint, n_words bigint, kept string, text binary, h array<bigint>, start array<int>, n array<int>, d1 array<bigint>, d2 array<bigint>"
+GROUPS = "row bigint, h bigint, start int, n int, d1 bigint, d2 bigint"
 
 
 def _pair(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,26 +142,18 @@ def _mark(window: int, gram: int):
     hashes = WordHashes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Batcher(MARKED)
-        for doc_id, text, hit in rows_of(batches):
-            words = (text or b"").split()
-            start = np.empty(0, np.int64)
-            if hit and len(words) >= window:
-                one = hashes.of(words)
-                grams = window_hashes(one, gram)
-                at = anchors(grams, window - gram + 1)
-                begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                end = np.r_[begin[1:], len(at)]
-                mine = np.isin(at[begin], np.unique(hit))
-                start, last = begin[mine], end[mine] - 1
-            if len(start):
-                n = last - start + 1
-                digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(one, window)]
-                yield from out.add((doc_id, len(words), None, text, grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests), len(text) + 32 * len(start))
-            else:
-                kept = b" ".join(words)
-                yield from out.add((doc_id, len(words), kept.decode(), *[None] * 6), len(kept))
-        yield from out.flush()
+        for row, text, hit in rows_of(batches):
+            one = hashes.of(text.split())
+            grams = window_hashes(one, gram)
+            at = anchors(grams, window - gram + 1)
+            begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            end = np.r_[begin[1:], len(at)]
+            mine = np.isin(at[begin], hit)
+            start, last = begin[mine], end[mine] - 1
+            n = last - start + 1
+            digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(one, window)]
+            columns = [np.full(len(start), row), grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "h", "start", "n", "d1", "d2"])
 
     return task
 
@@ -188,7 +178,7 @@ def _remove(window: int):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(schema)
         for doc_id, text, covered in rows_of(batches):
-            words = text.split()
+            words = (text or b"").split()
             edge = np.zeros(len(words) + 1, np.int64)
             for c in covered or ():
                 edge[c["start"]] += 1
@@ -201,30 +191,34 @@ def _remove(window: int):
     return task
 
 
-def _repeated(marked: DataFrame, work: Workspace, window: int) -> DataFrame:
+def _repeated(texts: DataFrame, hits: DataFrame, work: Workspace, window: int, gram: int) -> DataFrame:
     """(row, start, n): runs of windows that also occur elsewhere, verified by 128-bit digests.
 
     Equal windows have equal anchors. Groups with equal digests repeat as a whole. Only where the
     groups of an anchor differ are single windows compared, one group for each digest.
     """
-    groups = marked.where("start is not null").select("row", F.explode(F.arrays_zip("h", "start", "n", "d1", "d2")).alias("g")).select("row", "g.*")
+    groups = work.write(texts.join(hits, "row").select("row", "text", "hit").mapInArrow(_mark(window, gram), GROUPS), "groups")
     digests = groups.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("row", "start", "n")).alias("one"))
     digests = work.write(digests, "digests")
     whole = groups.join(digests.where("c > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("row", "start", "n")
     mixed = digests.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     single = digests.join(mixed, "h", "left_semi").select("one.*").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("groups"))
-    texts = marked.where("start is not null").select("row", "text").join(single, "row").select("row", "text", "groups")
-    windows = work.write(texts.mapInArrow(_windows(window), "row bigint, start int, d1 bigint, d2 bigint"), "windows")
+    asked = texts.join(single, "row").select("row", "text", "groups")
+    windows = work.write(asked.mapInArrow(_windows(window), "row bigint, start int, d1 bigint, d2 bigint"), "windows")
     twice = windows.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
     parts = windows.join(twice, ["d1", "d2"], "left_semi").select("row", "start", F.lit(1).alias("n"))
     return work.write(whole.union(parts), "repeated")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one space."""
+    """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one space.
+
+    Texts move once, when rows are numbered and dealt by number; every later step joins beside them.
+    """
     spark, work = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
-    texts = as_bytes(docs, id_col, text_col)
-    found = work.write(fingerprints(texts, window, gram).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "anchors", ("batch",))
+    texts = work.write_bucketed(as_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "row")
+    batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
+    found = work.write(fingerprints(texts.select("row", "text"), window, gram).withColumn("batch", batch), "anchors", ("batch",))
 
     index = FingerprintIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = [index.add(found.where(F.col("batch") == b)) for b in range(batches)]
@@ -233,12 +227,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     for more in hits[1:]:
         twice = twice.union(more)
     twice = work.write(twice.distinct(), "repeated_anchors")
-    hit_places = work.write(found.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("hit")), "hit_places")
+    places = work.write(found.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("hit")), "hit_places")
     work.drop("anchors")
 
-    marked = texts.join(hit_places.withColumnRenamed("doc_id", "hit_id"), F.coalesce("doc_id", F.lit(-1)) == F.col("hit_id"), "left").select("doc_id", "text", "hit")
-    marked = work.write(marked.mapInArrow(_mark(window, gram), MARKED_DDL).withColumn("row", F.monotonically_increasing_id()), "marked")
-    covered = _repeated(marked, work, window).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
-    touched = marked.where("start is not null").select("row", "doc_id", "text").join(covered, "row", "left").select("doc_id", "text", "covered")
-    untouched = marked.where("start is null").select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
-    return untouched.union(touched.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string"))
+    covered = _repeated(texts, places, work, window, gram).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
+    left = texts.join(covered, "row", "left").select("doc_id", "text", "covered")
+    return left.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
