@@ -50,6 +50,12 @@ def accuracy(confused: DataFrame, matching: DataFrame) -> DataFrame:
     return hits.agg((F.sum(F.when(F.col("cluster") == F.col("match"), F.col("cnt")).otherwise(0)) / F.sum("cnt")).alias("accuracy"))
 
 
+def two_class_accuracy(confused: DataFrame) -> DataFrame:
+    """Of two clusters without a matching: the share on the diagonal, or off it if that is more."""
+    share = F.sum(F.when(F.col("truth") == F.col("cluster"), F.col("cnt")).otherwise(0)) / F.sum("cnt")
+    return confused.agg(F.greatest(share, 1 - share).alias("accuracy"))
+
+
 def _f1(tp: Column, predicted: Column, actual: Column) -> Column:
     """Harmonic mean of precision and recall; 0 where there is no true positive."""
     return F.when(tp > 0, 2 * tp / (predicted + actual)).otherwise(F.lit(0.0))
@@ -82,6 +88,11 @@ def network_f1(confused: DataFrame) -> DataFrame:
     return each.select("cluster", ((edge + none) / 2).alias("f1"), _f1(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")).alias("edge_f1"))
 
 
+def network_accuracy(scored: DataFrame) -> DataFrame:
+    """One row: the mean over clusters of ``network_f1``."""
+    return scored.agg(F.avg("f1").alias("network_accuracy"))
+
+
 def bic(assigned: DataFrame, model: DataFrame, rows: int, above: float = 2e-5, per_segment: bool = True) -> DataFrame:
     """One row. ``model``: (cluster, log_det_theta, trace, nnz). Entries count once for each segment, or each cluster.
 

@@ -75,9 +75,9 @@ def _chain(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("c")
     rows, after = [], None
     for c, product, last in zip(part["c"][::-1], part["product"][::-1], part["last"][::-1], strict=True):
-        rows.append((part["series_id"].iloc[0], c, [] if after is None else after))
+        rows.append((part["series_id"].iloc[0], c, [] if after is None else after, c == part["c"].iloc[0]))
         after = last if after is None else (np.asarray(product).reshape(len(last), -1) + after[:, None]).min(0)
-    return pd.DataFrame(rows, columns=["series_id", "c", "after"])
+    return pd.DataFrame(rows, columns=["series_id", "c", "after", "head"])
 
 
 def trace(costs: np.ndarray, after: np.ndarray | None, beta: float, entry: np.ndarray | None) -> np.ndarray:
@@ -126,10 +126,8 @@ def assign(costs: DataFrame, beta: float, chunk: int = CHUNK) -> DataFrame:
         raise ValueError("beta must not be negative")
     cut = stored(costs.withColumn("c", chunk_of(F.col("t"), chunk)))
     ddl = "series_id string, c bigint, product array<double>, last array<double>"
-    chained = cut.groupBy("series_id", "c").applyInPandas(_summary(beta), ddl).groupBy("series_id").applyInPandas(_chain, "series_id string, c bigint, after array<double>")
-    heads = cut.groupBy("series_id").agg(F.min("c").alias("head"))
-    known = cut.join(chained, ["series_id", "c"]).join(heads, "series_id").withColumn("head", F.col("head") == F.col("c"))
-    traced = stored(known.groupBy("series_id", "c").applyInPandas(_traces(beta), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
+    chained = cut.groupBy("series_id", "c").applyInPandas(_summary(beta), ddl).groupBy("series_id").applyInPandas(_chain, "series_id string, c bigint, after array<double>, head boolean")
+    traced = stored(cut.join(chained, ["series_id", "c"]).groupBy("series_id", "c").applyInPandas(_traces(beta), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
     ways = traced.where("tail").groupBy("series_id").applyInPandas(_entries, "series_id string, c bigint, way int")
     return traced.join(ways, ["series_id", "c"]).select("series_id", "t", F.element_at("ways", F.col("way") + 1).alias("cluster"))
 

@@ -101,6 +101,9 @@ _RAW: dict[str, str] = {
     "confusion_aba": "SELECT p.truth, p.cluster, count(path.t) AS cnt FROM pairs p LEFT JOIN path ON path.cluster = p.cluster AND CASE WHEN t < 100 THEN 0 WHEN t < 300 THEN 1 ELSE 0 END = p.truth GROUP BY ALL",
     "greedy_matching": "SELECT truth, cluster FROM match",
     "accuracy": "SELECT round(sum(cnt) FILTER (match.cluster = conf.cluster) / sum(cnt), 6) AS accuracy FROM conf JOIN match USING (truth)",
+    "accuracy_two_class": "SELECT round(greatest(a, 1 - a), 6) AS accuracy FROM (SELECT sum(cnt) FILTER (truth = cluster) / sum(cnt) AS a FROM conf WHERE truth < 2 AND cluster < 2)",
+    "baseline_networks": """SELECT cluster, i::INT AS i, j::INT AS j, round(CASE WHEN i <> j THEN -z WHEN i = 0 THEN r - 0.002 ELSE p - 0.002 END / ((p - 0.002) * (r - 0.002) - z * z), 3) + 0.0 AS v
+        FROM moved, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS e(i, j)""",
     "macro_f1": f"""SELECT round(avg({_F1.format(tp="cnt", a="a", b="b")}), 6) AS macro_f1 FROM conf JOIN match USING (truth, cluster)
         JOIN (SELECT truth, sum(cnt) AS a FROM conf GROUP BY truth) USING (truth) JOIN (SELECT cluster, sum(cnt) AS b FROM conf GROUP BY cluster) USING (cluster)""",
     "network_f1": f"""SELECT cluster, round(({_F1.format(tp="tp", a="(tp + fp)", b="(tp + fn)")} + {_F1.format(tp="tn", a="(tn + fn)", b="(tn + fp)")}) / 2, 6) AS f1, round({_F1.format(tp="tp", a="(tp + fp)", b="(tp + fn)")}, 6) AS edge_f1 FROM (
@@ -117,4 +120,5 @@ _RAW: dict[str, str] = {
     "export_locations": "SELECT t, 'new GLatLng(' || (t % 90) || ', ' || (t % 180) || ')' AS point FROM path WHERE t % 10 = 0",
     "cluster_raw_means": "SELECT cluster, s AS sensor, round(avg(v), 4) AS mean FROM path JOIN x USING (t) GROUP BY ALL",
 }
+_RAW["network_accuracy"] = f"SELECT round(avg(f1), 5) AS network_accuracy FROM ({_RAW['network_f1']})"
 ORACLES = {name: _with(sql) for name, sql in _RAW.items()}

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,3 +187,30 @@ def information(model: Model, spark: SparkSession) -> DataFrame:
     size = F.size(F.filter("theta", lambda v: F.abs(v) > model.parameters.threshold))
     trace = F.aggregate(F.zip_with("cov", "theta", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return model.table(spark).select("cluster", (-F.col("log_det")).alias("log_det_theta"), trace.alias("trace"), size.cast("bigint").alias("nnz"))
+
+
+def mixture(windows_: DataFrame, p: Parameters) -> GaussianMixtureModel:
+    return GaussianMixture(k=p.clusters, seed=p.seed).fit(windows_.withColumn("features", array_to_vector("x")))
+
+
+def sample_networks(labelled: DataFrame, biased: bool = False) -> DataFrame:
+    """(cluster, theta): the plain inverse covariance of the windows (cluster, x) of any clustering, as a baseline."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        n, _, m2 = moments.merged(part)
+        cluster = int(part["cluster"].iloc[0])
+        return pd.DataFrame([(cluster, np.linalg.pinv(moments.covariance(n, m2, biased, cluster), hermitian=True).ravel())], columns=["cluster", "theta"])
+
+    return moments.partial_moments(labelled).groupBy("cluster").applyInPandas(one, "cluster int, theta array<double>")
+
+
+def mixture_networks(model: GaussianMixtureModel) -> DataFrame:
+    """(cluster, theta): inverse covariances of a mixture's components, K rows."""
+    rows = [(k, np.linalg.pinv(r["cov"].toArray(), hermitian=True).ravel().tolist()) for k, r in enumerate(model.gaussiansDF.collect())]
+    return SparkSession.active().createDataFrame(rows, "cluster int, theta array<double>")
+
+
+def mixture_assign(model: GaussianMixtureModel, windows_: DataFrame) -> DataFrame:
+    """Held-out windows (series_id, t, x) by the likeliest component, without a penalty."""
+    found = model.transform(windows_.withColumn("features", array_to_vector("x")))
+    return found.select("series_id", "t", F.col("prediction").cast("int").alias("cluster"))

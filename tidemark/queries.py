@@ -290,6 +290,31 @@ def random_init(spark, sf_dir):
     return _starts(spark, sf_dir, "random")
 
 
+def accuracy_two_class(spark, sf_dir):
+    pair = _confused(spark, sf_dir).where("truth < 2 AND cluster < 2")
+    return metrics.two_class_accuracy(pair).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+def network_accuracy(spark, sf_dir):
+    return metrics.network_accuracy(network_f1(spark, sf_dir)).select(F.round("network_accuracy", 5).alias("network_accuracy"))
+
+
+def baseline_networks(spark, sf_dir):
+    """Inverse covariances of two sensors by given labels."""
+    pair = scaled(spark, sf_dir).select("series_id", "t", F.slice("x", 1, 2).alias("x"), (F.floor(F.col("t") / 120) % K).cast("int").alias("cluster"))
+    return metrics.matrix_long(fitting.sample_networks(pair), "theta", 2).withColumn("v", _tidy("v", 3))
+
+
+def heldout_mixture(spark, sf_dir):
+    series = scaled(spark, sf_dir)
+    train, test = prepare.split(series, W, HOURS)
+    every = windows.stack(series, W, N, "zero", PACE)
+    known = every.join(train.select("series_id", "t"), ["series_id", "t"], "left_semi")
+    model = fitting.mixture(known, fitting.Parameters(window=W, clusters=K))
+    held = windows.stack_held_out(known, test, prepare.neighbours(train, test), W, N)
+    return fitting.mixture_assign(model, held).select("t", "cluster")
+
+
 def fit_events(spark, sf_dir):
     p = fitting.Parameters(window=W, clusters=K, lam=0.01, beta=20, most_rounds=8)
     return fitting.fit(scaled(spark, sf_dir), N, p).assignments.select("t", "cluster")
@@ -347,6 +372,6 @@ _ROWS = (
     series_hourly, ffill_series, normalize_range, window_stack_zero_tail, window_stack_full, window_stack_gaps, split_train, split_test, subsample_even, asof_neighbours, cluster_counts, cluster_means,
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
-    export_locations, cluster_raw_means, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
+    export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
