@@ -99,12 +99,10 @@ def trace(costs: np.ndarray, after: np.ndarray | None, beta: float, entry: np.nd
 
 
 def _traces(beta: float):
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
-        costs, after = np.stack(part["cost"].to_numpy()), np.asarray(part["after"].iloc[0], float)
-        ends = None if not len(after) else after
-        first = part["head"].iloc[0]
-        ways = trace(costs, ends, beta, None if first else np.arange(costs.shape[1]))
+        costs, after = np.stack(part["cost"].to_numpy()), np.asarray(known["after"].iloc[0], float)
+        ways = trace(costs, after if len(after) else None, beta, None if known["head"].iloc[0] else np.arange(costs.shape[1]))
         return pd.DataFrame({"series_id": key[0], "c": key[1], "t": part["t"], "ways": list(ways), "tail": np.arange(len(part)) == len(part) - 1})
 
     return one
@@ -127,7 +125,8 @@ def assign(costs: DataFrame, beta: float, chunk: int = CHUNK) -> DataFrame:
     cut = stored(costs.withColumn("c", chunk_of(F.col("t"), chunk)))
     ddl = "series_id string, c bigint, product array<double>, last array<double>"
     chained = cut.groupBy("series_id", "c").applyInPandas(_summary(beta), ddl).groupBy("series_id").applyInPandas(_chain, "series_id string, c bigint, after array<double>, head boolean")
-    traced = stored(cut.join(chained, ["series_id", "c"]).groupBy("series_id", "c").applyInPandas(_traces(beta), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
+    met = cut.groupBy("series_id", "c").cogroup(chained.groupBy("series_id", "c"))
+    traced = stored(met.applyInPandas(_traces(beta), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
     ways = traced.where("tail").groupBy("series_id").applyInPandas(_entries, "series_id string, c bigint, way int")
     return traced.join(ways, ["series_id", "c"]).select("series_id", "t", F.element_at("ways", F.col("way") + 1).alias("cluster"))
 
