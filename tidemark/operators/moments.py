@@ -43,6 +43,17 @@ def partial_moments(windows: DataFrame) -> DataFrame:
     return windows.select("cluster", "x").mapInPandas(_partials, PARTIAL)
 
 
+def partial_moments_dealt(windows: DataFrame, assigned: DataFrame) -> DataFrame:
+    """As ``partial_moments`` for windows that lie dealt by (series_id, c): only the labels (series_id, t, c, cluster) move."""
+
+    def one(part: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        met = part[["t", "x"]].merge(labels[["time", "cluster"]], left_on="t", right_on="time")
+        return next(_partials([met]))
+
+    labels = assigned.select(F.col("series_id").alias("of"), F.col("c").alias("chunk"), F.col("t").alias("time"), "cluster")
+    return windows.groupBy("series_id", "c").cogroup(labels.groupBy("of", "chunk")).applyInPandas(one, PARTIAL)
+
+
 def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray:
     if n < 2 and not biased:
         raise ValueError(f"cluster {cluster} has {n} window(s): an unbiased covariance needs two")

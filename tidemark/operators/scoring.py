@@ -56,11 +56,26 @@ def backward(costs: np.ndarray, end: np.ndarray, beta: float) -> np.ndarray:
     return out
 
 
-def _summary(beta: float):
+def given_costs(part: pd.DataFrame) -> np.ndarray:
+    return np.stack(part["cost"].to_numpy())
+
+
+def model_costs(model):
+    """Costs of windows (x, full) by a broadcast (means, thetas, log_dets), for ``assign`` on windows themselves."""
+
+    def costs(part: pd.DataFrame) -> np.ndarray:
+        out = window_costs(np.stack(part["x"].to_numpy()), *model.value)
+        out[~part["full"].to_numpy(bool)] = 0.0
+        return out
+
+    return costs
+
+
+def _summary(beta: float, costs_of):
     """A chunk as a map from G after it to G at its first row, where G[j] = F[j] + L[j]."""
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        costs = np.stack(part.sort_values("t")["cost"].to_numpy())
+        costs = costs_of(part.sort_values("t"))
         k = costs.shape[1]
         unit = np.where(np.eye(k, dtype=bool), 0.0, np.inf)  # row j: G after the chunk is 0 at j, endless elsewhere
         first = backward(costs, unit, beta)[0] + costs[0]
@@ -98,10 +113,10 @@ def trace(costs: np.ndarray, after: np.ndarray | None, beta: float, entry: np.nd
     return out
 
 
-def _traces(beta: float):
+def _traces(beta: float, costs_of):
     def one(key: tuple, part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
-        costs, after = np.stack(part["cost"].to_numpy()), np.asarray(known["after"].iloc[0], float)
+        costs, after = costs_of(part), np.asarray(known["after"].iloc[0], float)
         ways = trace(costs, after if len(after) else None, beta, None if known["head"].iloc[0] else np.arange(costs.shape[1]))
         return pd.DataFrame({"series_id": key[0], "c": key[1], "t": part["t"], "ways": list(ways), "tail": np.arange(len(part)) == len(part) - 1})
 
@@ -118,15 +133,18 @@ def _entries(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["series_id", "c", "way"])
 
 
-def assign(costs: DataFrame, beta: float, chunk: int = CHUNK) -> DataFrame:
-    """(series_id, t, cluster): the cheapest path of each series; of equal ones the lower cluster."""
+def assign(costs: DataFrame, beta: float, chunk: int = CHUNK, costs_of=given_costs) -> DataFrame:
+    """(series_id, t, cluster): the cheapest path of each series; of equal ones the lower cluster.
+
+    Rows that have their chunk ``c`` already, and lie dealt by (series_id, c), are not moved.
+    """
     if beta < 0:
         raise ValueError("beta must not be negative")
-    cut = stored(costs.withColumn("c", chunk_of(F.col("t"), chunk)))
+    cut = costs if "c" in costs.columns else stored(costs.withColumn("c", chunk_of(F.col("t"), chunk)))
     ddl = "series_id string, c bigint, product array<double>, last array<double>"
-    chained = cut.groupBy("series_id", "c").applyInPandas(_summary(beta), ddl).groupBy("series_id").applyInPandas(_chain, "series_id string, c bigint, after array<double>, head boolean")
+    chained = cut.groupBy("series_id", "c").applyInPandas(_summary(beta, costs_of), ddl).groupBy("series_id").applyInPandas(_chain, "series_id string, c bigint, after array<double>, head boolean")
     met = cut.groupBy("series_id", "c").cogroup(chained.groupBy("series_id", "c"))
-    traced = stored(met.applyInPandas(_traces(beta), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
+    traced = stored(met.applyInPandas(_traces(beta, costs_of), "series_id string, c bigint, t bigint, ways array<int>, tail boolean"))
     ways = traced.where("tail").groupBy("series_id").applyInPandas(_entries, "series_id string, c bigint, way int")
     return traced.join(ways, ["series_id", "c"]).select("series_id", "t", F.element_at("ways", F.col("way") + 1).alias("cluster"))
 

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from tidemark.operators.ordering import CHUNK, chunk_of
 
 
-def stack(series: DataFrame, window: int, sensors: int, tail: str = "zero", chunk: int = CHUNK) -> DataFrame:
+def stack(series: DataFrame, window: int, sensors: int, tail: str = "zero", chunk: int = CHUNK, dealt: int | None = None) -> DataFrame:
     """(series_id, t, x, full) for t = 0 … T - window, the usable index.
 
     Offsets reach no further than that index: with ``tail="zero"`` observations beyond it are
     zeros and such rows are not ``full``; with ``tail="drop"`` those rows are left out;
     ``tail="data"`` reads the observations that exist. The filter comes before the window, and a
     chunk also gets the first rows of the next one, so that windows of one series spread over tasks.
+    ``dealt``: keep the chunk as ``c`` and stay in that many partitions by (series_id, c).
     """
     if window < 1:
         raise ValueError("window must be at least 1")
+    chunk = max(chunk, window)
     length = series.groupBy("series_id").agg((F.max("t") + 1).alias("length"))
     held = series.join(length, "series_id")
     held = held if tail == "data" else held.where(F.col("t") <= F.col("length") - window)
@@ -26,10 +28,12 @@ def stack(series: DataFrame, window: int, sensors: int, tail: str = "zero", chun
     order = Window.partitionBy("series_id", "c").orderBy("t")
     zeros = F.array_repeat(F.lit(0.0), sensors)
     parts = [F.coalesce(F.lead("x", k).over(order), zeros) if k else F.col("x") for k in range(window)]
-    stacked = held.select("series_id", "t", "x", "length", F.explode(homes).alias("c")).select(
-        "series_id", "t", F.concat(*parts).alias("x"), (F.lit(tail == "data") | (F.col("t") <= F.col("length") - 2 * window + 1)).alias("full"), (chunk_of(F.col("t"), chunk) == F.col("c")).alias("own"), "length"
+    spread = held.select("series_id", "t", "x", "length", F.explode(homes).alias("c"))
+    spread = spread.repartition(dealt, "series_id", "c") if dealt else spread
+    stacked = spread.select(
+        "series_id", "t", "c", F.concat(*parts).alias("x"), (F.lit(tail == "data") | (F.col("t") <= F.col("length") - 2 * window + 1)).alias("full"), (chunk_of(F.col("t"), chunk) == F.col("c")).alias("own"), "length"
     )
-    stacked = stacked.where(F.col("own") & (F.col("t") <= F.col("length") - window)).drop("own", "length")
+    stacked = stacked.where(F.col("own") & (F.col("t") <= F.col("length") - window)).drop("own", "length", *([] if dealt else ["c"]))
     return stacked.where("full") if tail == "drop" else stacked
 
 

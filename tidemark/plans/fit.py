@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lasso, metrics, moments, scoring, windows
+from tidemark.operators.ordering import chunk_of
 from tidemark.plans.storage import stored
 
 LOG = logging.getLogger(__name__)
@@ -85,7 +86,11 @@ class Model:
         kinds = dict(stacked.dtypes)
         if kinds.get("x") != "array<double>" or "t" not in kinds:
             raise TypeError("windows need t and x array<double>")
-        return scoring.assign(self.costs(stacked), self.parameters.beta, self.parameters.chunk)
+        p = self.parameters
+        if "c" in stacked.columns:
+            shared = stacked.sparkSession.sparkContext.broadcast(self.arrays())
+            return scoring.assign(stacked, p.beta, p.chunk, scoring.model_costs(shared))
+        return scoring.assign(self.costs(stacked), p.beta, p.chunk)
 
 
 @dataclass
@@ -114,8 +119,11 @@ def _solver(p: Parameters, sensors: int):
 
 def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: int) -> dict[int, dict]:
     """Mean and sparse inverse covariance of each cluster that has windows: a task for each cluster, K rows back."""
-    labelled = stacked.join(assigned, ["series_id", "t"]).select("cluster", "x")
-    table = moments.partial_moments(labelled).groupBy("cluster").applyInPandas(_solver(p, sensors), ROW)
+    if "c" in stacked.columns:
+        partial = moments.partial_moments_dealt(stacked, assigned.withColumn("c", chunk_of(F.col("t"), max(p.chunk, p.window))))
+    else:
+        partial = moments.partial_moments(stacked.join(assigned, ["series_id", "t"]).select("cluster", "x"))
+    table = partial.groupBy("cluster").applyInPandas(_solver(p, sensors), ROW)
     return {r["cluster"]: r.asDict() for r in table.collect()}
 
 
@@ -155,10 +163,12 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
     """Fits ``series`` (series_id, t from 0, x). ``labels``: (series_id, t, cluster) to start from.
 
     Labels are compared with those of the round before, before its repair. As long as a cluster
-    stays empty the rounds go on, to ``most_rounds`` at most.
+    stays empty the rounds go on, to ``most_rounds`` at most. The windows are dealt by chunk of time
+    once and held; a round moves labels, moments and a K x K matrix for each chunk.
     """
     p = parameters
-    stacked = windows.stack(series, p.window, sensors, p.tail, p.chunk).persist()
+    dealt = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stacked = windows.stack(stored(series), p.window, sensors, p.tail, p.chunk, dealt).persist()
     assigned = stored(labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(stacked, p))
     model, before, converged, turn = Model(p, sensors), None, False, 0
     for turn in range(p.most_rounds):
