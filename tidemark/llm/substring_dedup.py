@@ -85,7 +85,7 @@ class FingerprintIndex:
         name = f"run_{uuid.uuid4().hex}"
         run = entries.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h")
         with shuffles_end(self.spark):
-            run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.work.path}/{name}").saveAsTable(name)
+            run.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.work.path}/{name}").saveAsTable(name)
         self.runs.append((tier, name))
         return name
 

@@ -62,7 +62,7 @@ class Workspace:
         name = f"tidemark_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with shuffles_end(self.spark):
-            df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+            df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, name: str = "") -> None:
