@@ -245,6 +245,28 @@ def test_files(spark, tmp_path):
     assert readers.random_series(spark, 10, 3).where("size(x) = 3 AND x[0] < 1000").count() == 10
 
 
+def test_series_cover_their_tables(spark, tmp_path):
+    from tidemark import queries
+
+    def sums(x):
+        return x.select(F.posexplode("x").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toPandas().v.tolist()
+
+    days = queries.daily(spark, DATA)
+    items = spark.read.parquet(f"{DATA}/lineitem.parquet")
+    first, last, quantity = items.agg(F.min("l_shipdate"), F.max("l_shipdate"), F.sum("l_quantity")).first()
+    assert sum(sums(days)) == pytest.approx(float(quantity)) and days.count() == (last - first).days + 1
+    assert days.where("t = 0 AND aggregate(x, 0D, (a, v) -> a + v) > 0").count() == 1
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    assert queries.hourly(spark, DATA).count() == queries.HOURS
+    for hours in (24 * 60, -24 * 60):  # some later, and some earlier, than January
+        moved = events.withColumn("ts", F.when(F.col("event_type") == "view", F.expr(f"ts + make_interval(0, 0, 0, 0, {hours})")).otherwise(F.col("ts")))
+        place = str(tmp_path / f"at{hours}")
+        moved.write.parquet(f"{place}/events.parquet")
+        assert sum(sums(queries.hourly(spark, place))) == pytest.approx(events.agg(F.sum("value")).first()[0], abs=1.0)
+        assert queries.hourly(spark, place).count() > queries.HOURS
+
+
 def test_generator():
     p = synth.precision(3, 4, 0.3, 1)
     assert np.allclose(p, p.T) and np.linalg.eigvalsh(p)[0] > 0.09

@@ -28,11 +28,23 @@ def _tidy(column: str, digits: int):
     return F.round(column, digits) + F.lit(0.0)
 
 
+def _events(spark: SparkSession, sf_dir: str):
+    """The events and their hours, counted from the start of 2024."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet"), F.expr("cast(floor(timestampdiff(SECOND, to_timestamp_ntz('2024-01-01 00:00:00'), cast(ts AS timestamp_ntz)) / 3600) AS bigint)")
+
+
+def axis(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(first hour, hours): the first 720 hours of 2024, and those of any event before or after them."""
+    first, length = readers.span(*_events(spark, sf_dir))
+    start = min(0, first)
+    return start, max(HOURS, first + length) - start
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours of January 2024 from the first: sums of value for each type of event."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hour = F.expr("timestampdiff(HOUR, to_timestamp_ntz('2024-01-01 00:00:00'), cast(ts AS timestamp_ntz))")
-    return readers.pivoted(events, hour, F.col("event_type"), F.col("value"), TYPES, HOURS)
+    """Hours from the first of the axis: sums of value for each type of event."""
+    events, hour = _events(spark, sf_dir)
+    start, length = axis(spark, sf_dir)
+    return readers.pivoted(events, hour - start, F.col("event_type"), F.col("value"), TYPES, length)
 
 
 def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,17 +103,17 @@ def window_stack_full(spark, sf_dir):
 
 def window_stack_gaps(spark, sf_dir):
     """Windows over the training rows alone, by rank: gaps close."""
-    train, _ = prepare.split(scaled(spark, sf_dir), W, HOURS, ends=False)
+    train, _ = prepare.split(scaled(spark, sf_dir), W, axis(spark, sf_dir)[1], ends=False)
     ranked = with_rank(train, "rank", PACE).select("series_id", F.col("rank").cast("bigint").alias("t"), "x")
     return _windows_long(windows.stack(ranked, 2, N, "data", PACE))
 
 
 def split_train(spark, sf_dir):
-    return prepare.split(hourly(spark, sf_dir), W, HOURS)[0].select("t")
+    return prepare.split(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1])[0].select("t")
 
 
 def split_test(spark, sf_dir):
-    return prepare.split(hourly(spark, sf_dir), W, HOURS)[1].select("t")
+    return prepare.split(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1])[1].select("t")
 
 
 def subsample_even(spark, sf_dir):
@@ -109,7 +121,7 @@ def subsample_even(spark, sf_dir):
 
 
 def asof_neighbours(spark, sf_dir):
-    train, test = prepare.split(hourly(spark, sf_dir), W, HOURS)
+    train, test = prepare.split(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1])
     return prepare.neighbours(train, test).select("t", "left", "right")
 
 
@@ -173,7 +185,7 @@ def viterbi_labels(spark, sf_dir):
 
 def heldout_assign(spark, sf_dir):
     series = scaled(spark, sf_dir)
-    train, test = prepare.split(series, W, HOURS)
+    train, test = prepare.split(series, W, axis(spark, sf_dir)[1])
     every = windows.stack(series, W, N, "zero", PACE)
     model = diagonal_model(spark, sf_dir)
     near = prepare.neighbours(train, test)
@@ -230,7 +242,7 @@ def network_f1(spark, sf_dir):
 def _bic(spark, sf_dir, per_segment):
     model = diagonal_model(spark, sf_dir)
     found = model.predict(stacked(spark, sf_dir))
-    return metrics.bic(found, fitting.information(model, spark), HOURS, per_segment=per_segment).select(F.round("bic", 1).alias("bic"))
+    return metrics.bic(found, fitting.information(model, spark), axis(spark, sf_dir)[1], per_segment=per_segment).select(F.round("bic", 1).alias("bic"))
 
 
 def bic_per_segment(spark, sf_dir):
@@ -307,7 +319,7 @@ def baseline_networks(spark, sf_dir):
 
 def heldout_mixture(spark, sf_dir):
     series = scaled(spark, sf_dir)
-    train, test = prepare.split(series, W, HOURS)
+    train, test = prepare.split(series, W, axis(spark, sf_dir)[1])
     every = windows.stack(series, W, N, "zero", PACE)
     known = every.join(train.select("series_id", "t"), ["series_id", "t"], "left_semi")
     model = fitting.mixture(known, fitting.Parameters(window=W, clusters=K))
@@ -327,10 +339,16 @@ def fit_given_labels(spark, sf_dir):
     return fitting.fit(s, N, p, given(windows.stack(s, W, N, chunk=PACE))).assignments.select("t", "cluster")
 
 
-def fit_lineitem_daily(spark, sf_dir):
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from the first to the last date of shipping: sums of quantity for each return flag."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    day = F.expr("timestampdiff(DAY, to_timestamp_ntz('1992-01-01 00:00:00'), cast(l_shipdate AS timestamp_ntz))")
-    series = readers.pivoted(items, day, F.col("l_returnflag"), F.col("l_quantity"), ("A", "N", "R"), 2520)
+    day = F.datediff(F.col("l_shipdate").cast("timestamp_ntz").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    first, length = readers.span(items, day)
+    return readers.pivoted(items, day - first, F.col("l_returnflag"), F.col("l_quantity"), ("A", "N", "R"), length)
+
+
+def fit_lineitem_daily(spark, sf_dir):
+    series = daily(spark, sf_dir)
     p = fitting.Parameters(window=2, clusters=3, lam=0.01, beta=20, most_rounds=6)
     return fitting.fit(prepare.range_normalize(series, 3), 3, p).assignments.select("t", "cluster")
 

@@ -41,11 +41,17 @@ def random_series(spark: SparkSession, length: int, sensors: int, seed: int = 0,
     return spark.range(length).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), values.alias("x"))
 
 
+def span(df: DataFrame, t: Column) -> tuple[int, int]:
+    """(first t, length) of the axis that covers every row of ``df`` that has a time; (0, 0) if none has."""
+    first, last = df.agg(F.min(t), F.max(t)).first()
+    return (0, 0) if first is None else (first, last - first + 1)
+
+
 def pivoted(df: DataFrame, t: Column, key: Column, value: Column, keys: Sequence[str], length: Column | int, digits: int | None = 4) -> DataFrame:
     """A series of sums: one row for each t from 0 to ``length`` - 1, one sensor for each key, 0 where none."""
     own = df.select(t.cast("bigint").alias("t"), key.alias("k"), value.alias("v")).where(F.col("k").isin(*keys))
     sums = own.groupBy("t").agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"s{i}") for i, k in enumerate(keys)])
-    spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length).cast("bigint") - 1)).alias("t"))
+    spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length).cast("bigint") - 1)).alias("t")).where(F.col("t").between(0, F.lit(length) - 1))
     tidy = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits) if digits is not None else F.coalesce(c, F.lit(0.0))
     return spine.join(sums, "t", "left").select(F.lit("0").alias("series_id"), "t", F.array(*[tidy(F.col(f"s{i}")) for i in range(len(keys))]).alias("x"))
 
