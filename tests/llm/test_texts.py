@@ -130,6 +130,20 @@ def test_cutoffs_limit_false_rejection(spark):
     assert not any(k in kept for k in range(800, 900))
 
 
+def test_cutoffs_count_every_label(spark):
+    from tidemark.llm.workspace import Workspace
+
+    work, n = Workspace(spark, "test"), 250_000
+    worst = F.when(F.col("id") < 2950, F.lit(0.9)).otherwise(F.lit(0.0))
+    labelled = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(True).alias("good"), *[worst.alias(r) for r in quality_rules.RULES])
+    cuts = quality_rules.choose_cutoffs(work, labelled, "lang").collect()
+    counts = spark.read.parquet(f"{work.path}/counts").collect()
+    assert [(c["n"], c["symbol_ratio@0"]) for c in counts] == [(n, 2950)]
+    assert [c["cut_symbol_ratio"] for c in cuts] == [0.01]
+    many = spark.createDataFrame([(10**12, 10**11)], "n bigint, k bigint")  # far over the mean: no terms are built
+    assert many.select(quality_rules.binomial_tail(F.col("n"), F.col("k"), 0.05).alias("p")).first()["p"] == 1.0
+
+
 def brute_fingerprint(text):
     w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = words(w)

@@ -26,7 +26,6 @@ from tidemark.llm.workspace import Workspace
 RULES = ("symbol_ratio", "repeat_ratio", "dup_line_ratio", "shout_ratio")
 CUTOFFS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.8)
 ALPHA, DELTA = 0.05, 0.05
-MAX_HOLDOUT = 200_000
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -99,25 +98,19 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     step = lambda acc, i: F.struct(
         (acc["t"] + F.log((n - i + 1) / i) + ln_odds).alias("t"), (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i) + ln_odds)).alias("s")
     )
-    total = F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.struct(first.alias("t"), F.exp(first).alias("s")), step)["s"]
+    terms = F.sequence(F.lit(1).cast("long"), F.when(k > n * p, F.lit(1).cast("long")).otherwise(F.greatest(k, F.lit(1).cast("long"))))  # none are built where the answer is 1
+    total = F.aggregate(terms, F.struct(first.alias("t"), F.exp(first).alias("s")), step)["s"]
     return F.when(k > n * p, F.lit(1.0)).when(k < 1, F.exp(first)).otherwise(total)
 
 
 def choose_cutoffs(
-    work: Workspace, labelled: DataFrame, stratum: str, rules: Sequence[str] = RULES, cutoffs: Sequence[float] = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA, max_holdout: int = MAX_HOLDOUT
+    work: Workspace, labelled: DataFrame, stratum: str, rules: Sequence[str] = RULES, cutoffs: Sequence[float] = CUTOFFS, alpha: float = ALPHA, delta: float = DELTA
 ) -> DataFrame:
     """Per stratum the lowest safe cutoff of each rule, null where none is.
 
-    ``labelled``: doc_id, stratum, scores and ``good``. At most about ``max_holdout`` good rows of
-    a stratum are used, chosen by a hash of the id.
+    ``labelled``: doc_id, stratum, scores and ``good``. All good rows of a stratum are counted.
     """
-    good = labelled.where("good")
-    share = good.groupBy(stratum).agg(F.least(F.lit(1.0), F.lit(float(max_holdout)) / F.count("*")).alias("share"))
-    share = share.select(F.col(stratum).alias("of"), "share")
-    held = good.join(F.broadcast(share) if share.count() <= 10_000 else share, F.col(stratum).eqNullSafe(F.col("of"))).where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000
-    )
-    counts = held.groupBy(F.col(stratum).alias("stratum")).agg(
+    counts = labelled.where("good").groupBy(F.col(stratum).alias("stratum")).agg(
         F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}@{j}") for r in rules for j, c in enumerate(cutoffs)]
     )
     counts = work.write(counts, "counts")
