@@ -228,3 +228,42 @@ def test_contamination(spark, block_words):
     got = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words, shard_words=3000)
     assert as_rows(got.select("doc_id", "n_words", "n_hit", "items", "contaminated")) == sorted(want, key=repr)
     assert sum(w[4] for w in want) > 5
+
+
+def brute_similar(texts):
+    """The first row that chains of similar texts reach from each."""
+    sets = []
+    for t in texts:
+        w = words((t or "").lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if 5 * same >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def test_near_copies_are_confirmed_by_their_shingles(spark):
+    import corpus_pipeline
+
+    r, texts = np.random.default_rng(11), []
+    for group in range(12):
+        base = prose(1000 + group, 240).split()
+        texts.append(" ".join(base))
+        for edits in (1, 3, 4, 5, 6, 7, 12, 24):
+            w = list(base)
+            for k, at in enumerate(r.choice(len(w), edits, replace=False)):
+                w[at] = f"x{group}y{edits}z{k}"
+            texts.append(" ".join(w))
+    texts += [texts[0], texts[0].upper(), texts[3], "", "  ", None, "two words", "two  words", "two other"]
+    root = brute_similar(texts)
+    want = [k for k, x in enumerate(root) if x == k]
+    prints = [brute_fingerprint(t) for t in texts]
+    far = sum((prints[k] ^ prints[x]).bit_count() > 4 for k, x in enumerate(root) if x != k)
+    assert far > 10  # near copies that close fingerprints alone do not find
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    left = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows, clashing=False).coalesce(1), "")
+    assert sorted(x["doc_id"] for x in left.collect()) == want
