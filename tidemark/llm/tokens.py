@@ -11,14 +11,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+from tidemark.llm.columns import col
 
 
 def as_bytes(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(doc_id, text as bytes, more columns); every other column, whatever its name, stays behind."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *more)
+    return docs.select(col(id_col).alias("doc_id"), col(text_col).cast("binary").alias("text"), *more)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:

@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where the session names none."""
+    """The shared folder of the session. Where it names none: one of this machine's in local mode, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -63,7 +65,9 @@ class Workspace:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with shuffles_end(self.spark):
             df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+        held = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the entry only: the files belong to this folder, and ``held`` knows them
+        return held
 
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all of them, once no later stage reads it."""
