@@ -7,19 +7,21 @@ full digests (and the strings) confirm, and the longest confirmed rule decides.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and gets the
 default verdict. Repeated pages give repeated rows. Of rules of equal length the one with the
-longer host wins, then ``block`` before ``allow``. Columns beside the id and the URL are unused,
-whatever they are called.
+longer host wins, then ``block`` before ``allow``; a rule without a host, a path or an action is
+none. Columns beside the id and the URL are unused, whatever they are called.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import col
 from tidemark.llm.textsql import ascii_lower
 
 PREFIX_HEX = 8
-MAX_LENGTHS = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -38,7 +40,7 @@ def _digest(host: Column, path: Column) -> Column:
 
 def hashed_rules(rules: DataFrame) -> DataFrame:
     """``rules`` (action, host, path) with digest, its short prefix and precedence."""
-    return rules.select(
+    return rules.where(F.col("action").isNotNull() & F.col("host").isNotNull() & F.col("path").isNotNull()).select(
         F.col("action"),
         ascii_lower(F.col("host")).alias("rule_host"),
         F.col("path").alias("rule_path"),
@@ -52,35 +54,29 @@ def hashed_rules(rules: DataFrame) -> DataFrame:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per page: id, host, path, the deciding rule (or null) and the verdict.
 
-    Only expressions with as many labels and as long a path prefix as some rule has are made,
-    which loses none: no other expression can equal a rule.
+    Only expressions of the shapes that rules have (so many labels with so long a path prefix) are
+    made, which loses none: no other expression can equal a rule. There are at most as many shapes
+    as rules, and a URL has no more of them than it has labels times characters.
     """
     hashed = hashed_rules(rules)
-    shape = hashed.agg(
-        F.array_sort(F.collect_set(F.size(F.split("rule_host", "\\.")))).alias("labels"),
-        F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"),
-    ).first()
-    labels, lengths = shape["labels"], shape["lengths"]
-    if len(labels) * len(lengths) > MAX_LENGTHS:
-        raise ValueError(f"rules have {len(labels)} host depths and {len(lengths)} path lengths; split them")
-    url = F.col(url_col)
+    shapes = hashed.groupBy(F.size(F.split("rule_host", "\\.")).alias("labels")).agg(F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"))
+    known = F.from_json(F.lit(json.dumps([r.asDict() for r in shapes.collect()])), "array<struct<labels:int,lengths:array<int>>>")
+    url = col(url_col)
     parts = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")
+        F.monotonically_increasing_id().alias("row"), col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")
     )
     split = F.split("host", "\\.")
-    suffixes = F.transform(
-        F.filter(F.lit(labels).cast("array<int>"), lambda k: k <= F.size(split)),
-        lambda k: F.concat_ws(".", F.slice(split, F.size(split) - k + 1, k)),
-    )
-    prefixes = F.transform(
-        F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)
-    )
     expressions = F.flatten(
-        F.transform(F.col("suffixes"), lambda h: F.transform(F.col("prefixes"), lambda p: F.struct(h.alias("h"), p.alias("p"))))
+        F.transform(
+            F.filter(known, lambda s: s["labels"] <= F.size(split)),
+            lambda s: F.transform(
+                F.filter(s["lengths"], lambda n: n <= F.length("path")),
+                lambda n: F.struct(F.concat_ws(".", F.slice(split, F.size(split) - s["labels"] + 1, s["labels"])).alias("h"), F.substring(F.col("path"), F.lit(1), n).alias("p")),
+            ),
+        )
     )
     expanded = (
-        parts.select("*", suffixes.alias("suffixes"), prefixes.alias("prefixes"))
-        .select("row", "id", "host", "path", F.explode_outer(expressions).alias("e"))
+        parts.select("row", "id", "host", "path", F.explode_outer(expressions).alias("e"))
         .select("row", "id", "host", "path", "e", _digest(F.col("e.h"), F.col("e.p")).alias("digest"))
         .withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     )
