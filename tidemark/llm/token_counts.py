@@ -1,10 +1,11 @@
 """Token counts by a two-tier lookup of pre-token lengths, all on the map side.
 
 A text's token count is the sum of the lengths of its pre-tokens. Tier one is a compact table of
-frequent pre-tokens and their lengths, fitted on at most about ``SAMPLE_DOCS`` documents and
+frequent pre-tokens and their lengths, fitted on about ``SAMPLE_DOCS`` rows drawn at random and
 broadcast (at most ``FREQUENT`` entries, whatever the input). A pre-token that it lacks is looked
-up in the worker's own cache and encoded by the tokenizer if it is not there either. Pre-tokens
-are never shuffled, and the tables only save work: any sample gives the same counts.
+up in the worker's own cache and encoded by the tokenizer if it is not there either. The corpus's
+pre-tokens are never shuffled (of the sample, each task's commonest are added up), and the tables
+only save work: any sample gives the same counts.
 
 Texts with characters outside a set whose treatment is certain (printable ASCII, blanks, accented
 Latin-1 letters, common marks), or with a special token's string, are encoded whole by the
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 20_000
-SAMPLE_TASKS = 8
+from tidemark.llm.columns import col
+
+SAMPLE_DOCS, SAMPLE_SEED = 20_000, 11
 FREQUENT = 65_536
-CACHE = 400_000
+CACHE, CACHED_CHARS = 400_000, 64
 LIMIT = 2048
 _LETTERS = "a-zß-öø-ÿ"
 #: The pre-tokens of lower-cased texts that consist of PLAIN characters.
@@ -67,6 +69,9 @@ class Lengths:
         length = self.known.__getitem__
         for k, pieces in split.items():
             out[k] = sum(map(length, pieces))
+        for piece in missing:  # long ones are not worth their memory
+            if len(piece) > CACHED_CHARS:
+                del self.known[piece]
         return out
 
 
@@ -88,7 +93,7 @@ def _common(most: int):
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text and PLAIN.fullmatch(text):
-                    seen.update(p for p in PRE_TOKENS.findall(text.lower()) if len(p) <= 64)
+                    seen.update(p for p in PRE_TOKENS.findall(text.lower()) if len(p) <= CACHED_CHARS)
             if len(seen) > 20 * most:
                 seen = Counter(dict(seen.most_common(10 * most)))
         top = seen.most_common(most)
@@ -100,12 +105,9 @@ def _common(most: int):
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> tuple[str, bytes]:
     """The commonest pre-tokens of a bounded sample, joined by newlines, and their lengths (1 to 255)."""
     share = min(1.0, sample_docs / max(1, docs.count()))
-    text = F.col(text_col)
-    sample = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    total: Counter[str] = Counter()
-    for row in sample.repartition(SAMPLE_TASKS).mapInArrow(_common(most // SAMPLE_TASKS), "piece string, n bigint").toLocalIterator():
-        total[row["piece"]] += row["n"]
-    pieces = [p for p, _ in total.most_common(most)]
+    sample = docs.select(col(text_col).alias("text")).where(F.rand(SAMPLE_SEED) < share)
+    met = sample.mapInArrow(_common(most), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = [r["piece"] for r in met.orderBy(F.desc("n"), "piece").limit(most).collect()]
     sized = [(p, n) for p, n in zip(pieces, Lengths(tokenizer, ("", b"")).encode(pieces), strict=True) if 0 < n < 256]
     return "\n".join(p for p, _ in sized), bytes(n for _, n in sized)
 
@@ -124,8 +126,8 @@ def _count(tokenizer: str, frequent):
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every whole text; ``tokenizer``: a tokenizers file."""
-    text = F.col(text_col)
+    text = col(text_col)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer, text_col, sample_docs))
-    read = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), text.alias("text"))
+    read = docs.select(col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), text.alias("text"))
     counted = read.mapInArrow(_count(tokenizer, frequent), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
