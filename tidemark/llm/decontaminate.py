@@ -10,8 +10,8 @@ The phrases reach the tasks in blocks of at most ``block_words`` words, whatever
 benchmark; with several blocks the spans found for a document are merged afterwards.
 
 Defined results: null and empty texts have no words and no hits; an item without words matches
-nothing; equal items all count; repeated rows are judged alike; other columns are not read.
-Ids are compared as strings.
+nothing; equal items all count; an item without an id hits like any other, but has no place in
+``items``; repeated rows are judged alike; other columns are not read. Ids are compared as strings.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import col
 from tidemark.llm.fmindex import FMIndex
 from tidemark.llm.tokens import Batcher, as_bytes, rows_of
 from tidemark.llm.workspace import Workspace
@@ -42,13 +43,15 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Phrases:
     """A block of test items as numbered words and phrases."""
 
-    def __init__(self, items: list[tuple[str, bytes | None]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.number: dict[bytes, int] = {}
         by_phrase: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
             for at in range(max(0, len(ids) - window) + 1) if ids else ():
-                by_phrase.setdefault(tuple(ids[at : at + window]), set()).add(item)
+                own = by_phrase.setdefault(tuple(ids[at : at + window]), set())
+                if item is not None:
+                    own.add(item)
         self.phrases = sorted(by_phrase, key=len)
         self.items = [sorted(by_phrase[p]) for p in self.phrases]
         self.shortest = len(self.phrases[0]) if self.phrases else 0
@@ -145,9 +148,9 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.flush()
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes | None]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
     held, n = [], 0
-    for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("binary")).where(F.col(item_col).isNotNull()).toLocalIterator():
+    for item, text in benchmark.select(col(item_col).cast("string"), col(text_col).cast("binary")).toLocalIterator():
         text = None if text is None else bytes(text)
         held.append((item, text))
         n += len(words_of(text))

@@ -184,7 +184,7 @@ places AS (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 grams AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM places, lengths WHERE i + n - 1 <= len(w)),
 hits AS (SELECT rid, i, n, item FROM grams JOIN phrases USING (n, t)),
 hit_words AS (SELECT rid, count(DISTINCT i + o) AS n_hit FROM hits, range(0, 13) AS v(o) WHERE o < n GROUP BY rid),
-hit_items AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+hit_items AS (SELECT rid, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
