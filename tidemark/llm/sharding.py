@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import col
 from tidemark.llm.workspace import Workspace
 
 ROWS_PER_BUCKET = 50_000
@@ -27,10 +28,13 @@ def draw(key: Column, shard: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def score(key: Column, shard: int, weight: float) -> Column:
+    return F.lit(-float(weight)) / F.log(draw(key, shard))
+
+
 def owner(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of ``key`` among ``len(weights)``; a tie goes to the lower number."""
-    scores = [F.struct((F.lit(-float(w)) / F.log(draw(key, k))).alias("score"), F.lit(-k).alias("k")) for k, w in enumerate(weights) if w > 0]
-    return (-F.array_max(F.array(*scores))["k"]).cast("int")
+    """(score, k): the best score for ``key`` and minus its shard, of ``len(weights)``; a tie goes to the lower number."""
+    return F.array_max(F.array(*[F.struct(score(key, k, w).alias("score"), F.lit(-k).alias("k")) for k, w in enumerate(weights) if w > 0]))
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | None = None, grown_weight: float = 1.0, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -43,18 +47,17 @@ def shard_rows(docs: DataFrame, n_shards: int = 24, weights: Sequence[float] | N
     """
     weights = list(weights or [1.0] * n_shards)
     work = Workspace(docs.sparkSession, "shards")
-    key, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))
-    assigned = work.write(
-        docs.select(
-            key.alias("key"),
-            (F.octet_length(text).cast("long") + 8).alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-            owner(key, weights).alias("shard"),
-            owner(key, [*weights, grown_weight]).alias("grown_shard"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "assigned",
+    text = F.coalesce(col(text_col), F.lit(""))
+    own = docs.select(
+        col(id_col).alias("key"),
+        (F.octet_length(text).cast("long") + 8).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        owner(col(id_col), weights).alias("best"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    shard = (-F.col("best.k")).cast("int")
+    won = score(F.col("key"), len(weights), grown_weight) > F.col("best.score") if grown_weight > 0 else F.lit(False)  # the new shard draws once more, against the winner
+    assigned = work.write(own.select("key", "size", "text_crc32", shard.alias("shard"), F.when(won, F.lit(len(weights))).otherwise(shard).alias("grown_shard"), "row"), "assigned")
     buckets = max(1, -(-assigned.count() // (len(weights) * rows_per_bucket)))
     placed = assigned.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
