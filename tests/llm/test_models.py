@@ -3,10 +3,13 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import combinations, permutations, product
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -109,6 +112,23 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.limit(0), held).count() == 0
 
 
+def test_rules_of_many_shapes(spark):
+    """More depths times lengths than any table of literals would take; only those that exist are made."""
+    rules = [("block", ".".join(["a"] * d + ["com"]), "/" + "x" * n) for d in range(1, 21) for n in range(1, 212)]
+    rules += [("allow", None, "/x"), ("allow", "com", None), (None, "com", "/"), ("block", "a.a.a.com", "/" + "x" * 9)]
+    urls = [f"http://{'b.' * (k % 3)}{'a.' * (k % 23)}com/{'x' * (k * 7 % 230)}y" for k in range(300)]
+    want = []
+    for k, url in enumerate(urls):
+        host, path = url[7:].split("/", 1)
+        own = [r for r in rules if r[0] and r[1] and r[2] and (host == r[1] or host.endswith("." + r[1])) and f"/{path}".startswith(r[2])]
+        best = max(own, key=lambda r: (len(r[1] + r[2]), len(r[1])), default=None)
+        want.append((k, best and best[1] + best[2], best[0] if best else "allow"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "action string, host string, path string"))
+    assert as_rows(got.select("page_id", "rule", "verdict")) == sorted(want, key=repr)
+    assert as_rows(url_filter.filter_urls(pages, spark.createDataFrame([], "action string, host string, path string")).select("rule", "verdict")) == [(None, "allow")] * 300
+
+
 def test_token_counts(spark):
     tok = Tokenizer.from_file(WORD)
     rows = awkward() + [(k, prose(k, 300, "abcdefghé'’-1!") + "İ" * (k % 2), None) for k in range(6000, 6020)]
@@ -157,23 +177,54 @@ def test_packing_is_a_round_trip(spark):
     assert packing.pack_documents(frame(spark, []), **pack_parameters()).count() == 0
 
 
+def _checked(lengths, bins, capacity):
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= capacity for b in bins)
+    return len(bins)
+
+
 @pytest.mark.parametrize("seed", range(4))
-def test_search_never_needs_more_bins(seed):
+def test_search_reaches_the_bound_from_one_document_a_bin(seed):
     r = np.random.default_rng(seed)
-    lengths = r.integers(1, [1024, 700, 500, 360][seed], 3000).tolist()
-    first = packing.best_fit(lengths, 1024)
-    left = packing.pack(lengths, 1024)
-    assert sorted(i for b in left for i in b) == list(range(3000))
-    assert all(sum(lengths[i] for i in b) <= 1024 for b in left)
-    assert len(left) <= len(first)
-    square = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)
-    assert square(left) >= square(first)
-
-
-def test_search_finds_what_best_fit_misses():
-    lengths = [6, 5, 4, 3, 2, 2, 2] * 40 + [7, 5] * 20  # full bins of 12 exist, but not by falling length alone
-    bins = packing.pack(lengths, 12)
-    assert len(bins) == -(-sum(lengths) // 12)
+    lengths = r.integers(1, [600, 700, 500, 360][seed], 3000).tolist()
+    search = packing.LocalSearch(lengths, [[i] for i in range(3000)], 1024)
+    assert _checked(lengths, search.run(), 1024) <= 1.001 * -(-sum(lengths) // 1024) + 1
+
+
+def test_search_saves_bins_that_best_fit_needs():
+    r = np.random.default_rng(1)
+    thirds = r.integers(300, 380, 3000).tolist()
+    triplets = []
+    for _ in range(300):  # three that fill a bin exactly
+        a = int(r.integers(256, 500))
+        b = int(r.integers(max(257, 525 - a), min(500, 767 - a) + 1))
+        triplets += [a, b, 1024 - a - b]
+    for lengths, share in ((thirds, 0.93), (triplets, 0.93)):
+        best = packing.best_fit(lengths, 1024)
+        searched = packing.LocalSearch(lengths, [list(b) for b in best], 1024).run()
+        assert _checked(lengths, searched, 1024) <= share * len(best)
+        assert _checked(lengths, packing.pack(lengths, 1024), 1024) <= share * len(best)
+
+
+def _step_left(lengths, bins, capacity):
+    """Whether any move or exchange of the rule still raises the sum of squares, by trying all of them."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    some = lambda b, most: [c for k in range(most + 1) for c in combinations([lengths[i] for i in b], k)]
+    for a, b in permutations(range(len(bins)), 2):
+        for out, into in product(some(bins[a], 2), some(bins[b], 2)):
+            more = sum(into) - sum(out)
+            if into and len(out) + len(into) < 4 and more > 0 and fill[a] + more <= capacity and fill[a] + more > fill[b] and capacity not in (fill[a], fill[b]):
+                return True
+    return False
+
+
+@given(st.lists(st.integers(1, 30), max_size=40), st.integers(30, 45))
+@settings(max_examples=60, deadline=None)
+def test_search_ends_where_no_step_is_left(lengths, capacity):
+    bins = packing.LocalSearch(lengths, [[i] for i in range(len(lengths))], capacity).run()
+    _checked(lengths, bins, capacity)
+    assert not _step_left(lengths, bins, capacity)
+    assert len(packing.pack(lengths, capacity)) <= len(packing.best_fit(lengths, capacity))
 
 
 def test_pipeline(spark):

@@ -153,38 +153,65 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def test_near_duplicates(spark):
-    rows = awkward()
-    r = np.random.default_rng(3)
+def brute_roots(values, linked):
+    """For each value, the place of the first that chains of links reach."""
+    root = list(range(len(values)))
+    for i in range(len(values)):
+        for j in range(i):
+            if linked(values[i], values[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return root
+
+
+def components_wanted(rows):
+    """(doc_id, fp, component_id) by comparing all rows with each other."""
     prints = [brute_fingerprint(t) for _, t, _ in rows]
-    got = simhash.near_duplicates(frame(spark, rows)).collect()
-    assert sorted((x["fp"] & (2**64 - 1) for x in got)) == sorted(prints)
-    # Planted fingerprints around some centres, and random ones.
-    fps = [int(x) for c in r.integers(0, 2**63, 30) for x in (c, *(c ^ np.bitwise_or.reduce(np.int64(1) << r.choice(63, d, replace=False).astype(np.int64)) for d in (1, 2, 3, 4, 4, 5, 6)))]
-    fps += [0, 1, 3, 7, 15, 31, -1, -2]
-    table = spark.createDataFrame(sorted({(f, k) for k, f in enumerate(dict.fromkeys(fps))}), "fp bigint, node bigint")
+    root = brute_roots(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {x: min((r[0] for r, y in zip(rows, root, strict=True) if x == y and r[0] is not None), default=None) for x in set(root)}
+    return [(r[0], p - (p >> 63 << 64), least[x]) for r, p, x in zip(rows, prints, root, strict=True)]
+
+
+@pytest.mark.parametrize("blocks", [simhash.COARSE, simhash.FINE])
+def test_near_duplicates(spark, blocks):
+    base = prose(70, 200).split()
+    rows = awkward()
+    for k in range(25):  # near copies, at various distances, under repeated and null ids
+        w = list(base)
+        w[k * 7 % 200 : k * 7 % 200 + k // 3] = ["other"] * (k // 3)
+        rows += [((None, 7, 7000 + k)[k % 3], " ".join(w), "en"), ((7, None, 3)[k % 3], prose(300 + k, 30), "en")]
+    rows += [(3, prose(71, 20), "en"), (7, prose(71, 20), "en"), (7, prose(72, 20), "en"), (None, prose(73, 20), "en"), (None, prose(74, 20), "en"), (None, prose(73, 20), "en")]
+    rows += [(None, prose(75 + k, 25), "en") for k in range(4)]
+    want = components_wanted(rows)
+    assert as_rows(simhash.near_duplicates(frame(spark, rows), blocks=blocks)) == sorted(want, key=repr)
+    assert len({w[2] for w in want}) > 15 and any(w[2] is None for w in want)
+
+
+@pytest.mark.parametrize("blocks", [simhash.COARSE, simhash.FINE])
+def test_no_link_is_lost(spark, blocks):
+    """Fingerprints planted at all distances around some centres."""
     from tidemark.llm.components import components
     from tidemark.llm.workspace import Workspace
 
-    work = Workspace(spark, "test")
-    root = {x["u"]: x["root"] for x in components(simhash.links(table, work), work).collect()}
-    nodes = {n: f & (2**64 - 1) for f, n in ((x["fp"], x["node"]) for x in table.collect())}
-    want = {n: n for n in nodes}
-    changed = True
-    while changed:
-        changed = False
-        for a in nodes:
-            for b in nodes:
-                if (nodes[a] ^ nodes[b]).bit_count() <= 4 and want[a] != want[b]:
-                    want[a] = want[b] = min(want[a], want[b])
-                    changed = True
-    assert {n: root.get(n, n) for n in nodes} == want
+    r = np.random.default_rng(3)
+    fps = [int(x) for c in r.integers(0, 2**63, 40) for x in (c, *(c ^ np.bitwise_or.reduce(np.int64(1) << r.choice(63, d, replace=False).astype(np.int64)) for d in (1, 2, 3, 4, 4, 4, 5, 6)))]
+    fps = sorted({*fps, 0, 1, 3, 7, 15, 31, -1, -2})
+    table, work = spark.createDataFrame([(f,) for f in fps], "fp bigint"), Workspace(spark, "test")
+    root = {x["u"]: x["root"] for x in components(simhash.links(table, work, blocks=blocks), work).collect()}
+    want = [fps[x] for x in brute_roots([f & (2**64 - 1) for f in fps], lambda a, b: (a ^ b).bit_count() <= 4)]
+    assert [root.get(f, f) for f in fps] == want
+
+
+def test_blocks_must_cover_the_limit(spark):
+    with pytest.raises(ValueError, match="cover"):
+        simhash.near_duplicates(frame(spark, awkward()), threshold=5)
 
 
 def test_crowded_anchors_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE_HOMES", 8)
     monkeypatch.setattr(simhash, "TILE_VISITS", 16)
-    test_near_duplicates(spark)
+    test_near_duplicates(spark, simhash.COARSE)
+    test_no_link_is_lost(spark, simhash.COARSE)
 
 
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=60), st.lists(st.integers(1, 4), min_size=1, max_size=4))
@@ -211,19 +238,20 @@ def test_contamination(spark, block_words):
 
     rows = awkward()
     passage = prose(50, 20)
-    rows += [(3000, prose(60, 50) + " " + passage.upper() + ". " + prose(61, 10), None), (3001, passage + " " + passage, None), (3002, prose(1, 120)[:60], None), (3003, prose(62, 2000) + " short-item", None)]
-    items = [(1, passage), (2, "short item"), (3, None), (4, "?!"), (5, prose(1, 120)), (6, passage), (7, "one")]
+    rows += [(3000, prose(60, 50) + " " + passage.upper() + ". " + prose(61, 10), None), (3001, passage + " " + passage, None), (3002, prose(1, 120)[:60], None), (3003, prose(62, 2000) + " short-item", None), (3004, prose(80, 20), None)]
+    items = [(1, passage), (2, "short item"), (3, None), (4, "?!"), (5, prose(1, 120)), (6, passage), (7, "one"), (None, prose(80, 20)), (None, passage)]
     cut = lambda t: [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w]
-    phrases = {str(i): {tuple(w[j : j + 13]) for j in range(max(1, len(w) - 12))} for i, t in items if (w := cut(t))}
+    phrases = {(n, i and str(i)): {tuple(w[j : j + 13]) for j in range(max(1, len(w) - 12))} for n, (i, t) in enumerate(items) if (w := cut(t))}
     want = []
     for doc_id, text, _ in rows:
         w, hit, own = cut(text), set(), set()
-        for item, ps in phrases.items():
+        for (_, item), ps in phrases.items():
             for p in ps:
                 for j in range(len(w) - len(p) + 1):
                     if tuple(w[j : j + len(p)]) == p:
                         hit |= set(range(j, j + len(p)))
                         own.add(item)
+        own.discard(None)
         want.append((doc_id, len(w), len(hit), sorted(own), bool(hit) and 20 * len(hit) >= len(w)))
     got = decontaminate.find_contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words, shard_words=3000)
     assert as_rows(got.select("doc_id", "n_words", "n_hit", "items", "contaminated")) == sorted(want, key=repr)
