@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
 
 def quoted(name: str) -> str:
@@ -24,10 +23,6 @@ def others(names: Iterable[str], added: Sequence[str]) -> list[str]:
     return [n for n in names if n.lower() not in taken]
 
 
-def whole(docs: DataFrame) -> Column:
-    """All columns of ``docs`` as one struct: ``select("d.*")`` gives them back, under whatever names."""
-    return F.struct(*[col(c) for c in docs.columns])
-
-
-def schema_with(docs: DataFrame, names: Sequence[str], *added: StructField) -> StructType:
-    return StructType([*docs.select(*[col(n) for n in names]).schema.fields, *added])
+def packed(names: Iterable[str]) -> Column:
+    """Columns as one struct ``d``, to travel beside others under no names of their own: ``select("d.*")`` gives them back."""
+    return F.struct(*[col(n) for n in names])

@@ -5,32 +5,39 @@ byte a softmax over both states gives the probability of each language, and a do
 probabilities are the means over all its bytes. The network is trained here, in numpy, by
 backpropagation through time.
 
-Training uses a bounded sample, on the driver: at most about ``TRAIN_DOCS`` labelled documents of
-a language and ``TRAIN_CUTS`` stretches of each. Prediction reads every byte of every text, in
+Training uses a bounded sample, on the driver: at most ``TRAIN_DOCS`` different labelled documents of
+a language, those of the smallest hashes, and ``TRAIN_CUTS`` stretches of each. Prediction reads every byte of every text, in
 stretches of ``STRETCH`` bytes that are run side by side, in blocks of bounded size; it needs no
 shuffle, and the network (some thousand numbers) is broadcast.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; so is every
 text if no labelled document could be learned from. A tie goes to the language first in order.
-Repeated rows are predicted alike. Columns of the input pass through, except for those named like
-the results, which are replaced.
+Repeated rows are predicted alike and learned from once. Columns of the input pass through, under
+whatever names, except for those named like the results (in any case), which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from math import exp, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from tidemark.llm.columns import col, others, packed
 
 TRAIN_DOCS, TRAIN_CUTS, TRAIN_CHARS = 500, 4, 72
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 240, 128, 0.01, 7
 STRETCH, BLOCK = 128, 2048
 PAD = 256
 UNKNOWN = "und"
+#: What a cutoff on the score may cost, and may be.
+RISK, DELTA = 0.005, 0.05
+CUTOFFS = tuple(c / 40 for c in range(11, 40))
 GATES = ("update", "reset", "new")
 
 
@@ -196,17 +203,24 @@ def has_letter(text: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int, cuts: int, chars: int):
-    """(label, stretches of text) of at most about ``most`` documents of each label, chosen by hash."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    """(label, stretches of text) of at most ``most`` different documents of each label, chosen by hash.
+
+    Documents are told apart by their ids. A first filter leaves about twice as many; those are folded
+    and cut off at ``most`` inside their tasks before anything moves.
+    """
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"), col(label_col).cast("string").alias("label"))
     own = own.where(F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    share = {r["label"]: most / r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    own = own.withColumn("h", F.xxhash64("doc_id"))
+    share = {r["label"]: 2 * most / r["n"] for r in own.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not share:
         return []
-    upto = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(1.0, v) * 1_000_000))])
+    upto = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(min(1.0, v) * 2.0**53))])
     cut = lambda k: F.substring(F.col("text"), (F.length("text") * k / cuts + 1).cast("int"), F.lit(chars))
-    chosen = own.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < upto[F.col("label")]) & has_letter(F.col("text")))
-    rows = chosen.select("label", "doc_id", F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), cut).alias("cuts")).collect()
-    return sorted((r["label"], -1 if r["doc_id"] is None else r["doc_id"], r["cuts"]) for r in rows)
+    chosen = own.where((F.shiftrightunsigned("h", 11).cast("double") < upto[F.col("label")]) & has_letter(F.col("text")))
+    once = chosen.groupBy("label", "h").agg(F.min(F.transform(F.sequence(F.lit(0), F.lit(cuts - 1)), cut)).alias("cuts"))
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    rows = once.withColumn("nth", nth).where(F.col("nth") <= most).collect()
+    return sorted((r["label"], r["h"], r["cuts"]) for r in rows)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most: int = TRAIN_DOCS, cuts: int = TRAIN_CUTS, chars: int = TRAIN_CHARS, steps: int = STEPS) -> ByteTagger | None:
@@ -223,11 +237,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     return tagger
 
 
-def _predict(model, text_at: int, n: int, most: int = 4 << 20):
+def _predict(model, most: int = 4 << 20):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger: ByteTagger = model.value
         for batch in batches:
-            texts = [x if x is not None else b"" for x in batch.column(n).to_pylist()]
+            texts = [x if x is not None else b"" for x in batch.column(1).to_pylist()]
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
             todo = [k for k, x in enumerate(texts) if x] if tagger else []
             while todo:
@@ -239,16 +253,40 @@ def _predict(model, text_at: int, n: int, most: int = 4 << 20):
                 for k, row in zip(todo[:take], p, strict=True):
                     best[k], score[k] = tagger.labels[int(row.argmax())], min(1.0, float(row.max()))
                 todo = todo[take:]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(best, pa.string()), pa.array(score)], [*batch.schema.names[:n], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], ["d", "lang_pred", "score"])
 
     return task
 
 
 def predict(docs: DataFrame, model: ByteTagger | None, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with lang_pred and score."""
-    own = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    text = F.col(text_col)
-    read = docs.select(*own, F.when(has_letter(text), text.cast("binary")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
+    own = others(docs.columns if keep is None else keep, ("lang_pred", "score"))
+    text = col(text_col)
+    read = docs.select(packed(own).alias("d"), F.when(has_letter(text), text.cast("binary")).alias("text"))
+    schema = StructType([read.schema["d"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return read.mapInArrow(_predict(shared, -1, len(own)), f"{schema}, lang_pred string, score double")
+    return read.mapInArrow(_predict(shared), schema).select("d.*", "lang_pred", "score")
+
+
+def least_score(predicted: DataFrame, id_col: str = "doc_id", label_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> float:
+    """The highest score to ask for that is proven to turn away at most ``risk`` of the texts in a known language.
+
+    Every labelled document that was never learned from and is labelled right counts. For each cutoff
+    the exact binomial tail P[Bin(n, risk) <= k], k being how many of the n it turns away, must be at most
+    ``delta`` over the number of cutoffs. 0 if no cutoff can be proven.
+    """
+    right = predicted.where(held_out(col(id_col)) & (F.col("lang_pred") == col(label_col)))
+    found = right.agg(F.count("*").alias("n"), *[F.count_if(F.col("score") < c).alias(f"k{j}") for j, c in enumerate(CUTOFFS)]).first()
+    safe = [c for j, c in enumerate(CUTOFFS) if _tail(found["n"], found[f"k{j}"], risk) <= delta / len(CUTOFFS)]
+    return max(safe, default=0.0)
+
+
+def _tail(n: int, k: int, p: float) -> float:
+    """P[Bin(n, p) <= k], and 1 where k is over the mean."""
+    if k > n * p:
+        return 1.0
+    term, total = n * log1p(-p), 0.0
+    for i in range(k + 1):
+        total += exp(term)
+        term += log((n - i) / (i + 1) * p / (1 - p)) if i < n else 0.0
+    return total
