@@ -13,7 +13,8 @@ share a hash, the later one stays. Texts move once, when they are numbered and d
 
 Defined results: null stays null and has no lines; an empty text is one empty line; chunks without
 a word are left alone; repeated rows are repeats of each other, so all but the first become empty;
-columns of the input pass through, except for those named like the two counts, which are replaced.
+columns of the input pass through, under whatever names, except for those named like the two counts
+(in any case), which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from tidemark.llm.columns import col, others, packed
 from tidemark.llm.tokens import Batcher, rows_of
 from tidemark.llm.workspace import Workspace
 
@@ -83,13 +86,13 @@ def _hand_out(window: int):
     return task
 
 
-def _remove(window: int, text_at: int, n: int, width: int):
+def _remove(window: int, width: int = 512):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, width):
                 part = batch.slice(at, width)
                 texts, counts, removed = [], [], []
-                for text, gone in zip(part.column(n).to_pylist(), part.column(n + 1).to_pylist(), strict=True):
+                for text, gone in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     lines, found = _multi_line(text, window) if text is not None else ([], [])
                     drop = np.zeros(len(lines), bool)
                     for g in gone or ():
@@ -99,8 +102,7 @@ def _remove(window: int, text_at: int, n: int, width: int):
                     texts.append(None if text is None else b"\n".join(kept).decode())
                     counts.append(len(lines))
                     removed.append(int(drop.sum()))
-                columns = [*part.columns[:text_at], pa.array(texts, pa.string()), *part.columns[text_at + 1 : n], pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names[:n], "n_lines", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["d", "text", "n_lines", "n_removed"])
 
     return task
 
@@ -108,10 +110,10 @@ def _remove(window: int, text_at: int, n: int, width: int):
 def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the texts that are left, and (n_lines, n_removed)."""
     work = Workspace(docs.sparkSession, "lines")
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    table = work.write_bucketed(docs.select(F.struct(*own).alias("d"), F.monotonically_increasing_id().alias("row")), "row")
-    text = F.col("d")[text_col].cast("binary")
-    numbered = table.select("row", F.coalesce(F.col("d")[id_col].cast("bigint"), F.lit(-1)).alias("key"), text.alias("text"))
+    own = others(docs.columns, ("n_lines", "n_removed"))
+    rest = [c for c in own if c != text_col]
+    table = work.write_bucketed(docs.select(packed(rest).alias("d"), col(text_col).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row")), "row")
+    numbered = table.select("row", F.coalesce(F.col("d")[id_col].cast("bigint"), F.lit(-1)).alias("key"), "text")
 
     found = work.write(numbered.mapInArrow(_fingerprint(window), "h bigint, key bigint, row bigint, k int"), "chunks")
     place = F.struct("key", "row", "k")
@@ -122,6 +124,7 @@ def remove_repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "
 
     later = found.join(first, "h").where(place != F.col("first")).select("h", "row", "k")
     gone = later.join(stay, "h").groupBy("row").agg(F.collect_list(F.struct("k", "chunk")).alias("gone"))
-    wide = table.join(gone, "row", "left").select("d.*", text.alias("__text"), F.col("gone").alias("__gone"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema)
-    return wide.mapInArrow(_remove(window, own.index(text_col), len(own), 512), f"{schema}, n_lines bigint, n_removed bigint")
+    wide = table.join(gone, "row", "left").select("d", "text", "gone")
+    schema = StructType([wide.schema["d"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    left = wide.mapInArrow(_remove(window), schema)
+    return left.select(*[(F.col("text") if c == text_col else F.col("d")[c]).alias(c) for c in own], "n_lines", "n_removed")
