@@ -5,12 +5,18 @@ inside the window, the smallest (leftmost on a tie). Equal windows have equal an
 offsets, and neighbouring windows mostly share theirs, so a run holds about one entry for every
 twelve windows and no repeat can be missed.
 
-The index is a list of immutable runs, each a table bucketed and sorted by hash. A batch of
-documents becomes a new run; it is merge-joined with every older run, bucket by bucket, without
-a shuffle of the runs; runs of one tier are merged once there are ``fanout`` of them, so a hash
-is rewritten O(log batches) times. Hits are candidates only: the windows they stand for, neighbours
-of one anchor together where they can be, are verified by 128-bit digests of their whole word
-sequence before anything is removed.
+The index is a list of immutable runs of postings (hash, row, place), each a table bucketed and
+sorted by hash, and the texts that they come from. A batch of documents becomes a new run; it is
+merge-joined with every older run, bucket by bucket, without a shuffle of the runs; runs of one tier
+are merged once there are ``fanout`` of them, so a posting is rewritten O(log batches) times. Hits
+are candidates only: the windows they stand for, neighbours of one anchor together where they can
+be, are verified by digests of their whole word sequence, 128 bits made from 128-bit hashes of the
+words, before anything is removed.
+
+``SubstringIndex`` lives in a folder. A later session opens it by its manifest and adds the next batch,
+which loses every word covered by a window that also starts elsewhere in the batch or in any batch
+before it; batches already given out stay as they are. ``remove_repeats`` treats one whole table
+symmetrically, by the same runs in a folder of its own.
 
 Defined results: null and empty texts have no words, nothing removed, and the digest of the
 empty string; texts shorter than a window keep every word; repeated rows are repeats of each
@@ -22,14 +28,15 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import Batcher, WordHashes, as_bytes, mix, rows_of, window_hashes
-from tidemark.llm.workspace import Workspace, shuffles_end
+from tidemark.llm.workspace import Workspace, is_whole
 
 WINDOW = 35
 GRAM = 12
@@ -74,31 +81,66 @@ def fingerprints(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return texts.mapInArrow(_fingerprint(window, gram), "h bigint, row bigint, at int")
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of (h, n), each bucketed the same way."""
+POSTINGS, TEXTS = "h bigint, row bigint, at int", "doc_id bigint, text binary, row bigint"
+MANIFEST = "version bigint, window int, gram int, fanout int, buckets int, base bigint, runs array<struct<tier:int,name:string>>, texts array<string>"
 
-    def __init__(self, work: Workspace, buckets: int, fanout: int = FANOUT):
-        self.work, self.spark, self.buckets, self.fanout = work, work.spark, buckets, fanout
-        self.runs: list[tuple[int, str]] = []
 
-    def _store(self, entries: DataFrame, tier: int) -> str:
+class SubstringIndex:
+    """Sorted immutable runs of postings, each bucketed the same way, with a manifest.
+
+    ``folder``: where the index is or shall be; without one it lives in the session's shared folder. An
+    index that is there already is opened with the parameters it was made with. A manifest is
+    written when a batch is done, and files that it no longer names are deleted after that, so a
+    batch that is broken off leaves the index as it was.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.work = spark, Workspace(spark, "substrings", folder)
+        self.window, self.gram, self.fanout = window, gram, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.base = 0, 0  #: of the manifest; the next row number
+        self.runs: list[tuple[int, str]] = []
+        self.texts: list[str] = []
+        self.done: list[str] = []  #: merged runs whose files are still there
+        if folder and is_whole(spark, f"{self.work.path}/manifest"):
+            last = spark.read.schema(MANIFEST).json(f"{self.work.path}/manifest").orderBy(F.desc("version")).first()
+            self.version, self.base, self.texts = last["version"], last["base"], list(last["texts"])
+            self.window, self.gram, self.fanout, self.buckets = last["window"], last["gram"], last["fanout"], last["buckets"]
+            self.runs = [(r["tier"], r["name"]) for r in last["runs"]]
+
+    def _commit(self) -> None:
+        self.version += 1
+        row = self.version, self.window, self.gram, self.fanout, self.buckets, self.base, self.runs, self.texts
+        self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.work.path}/manifest")
+        for name in self.done:
+            self.work.drop(name)
+        self.done = []
+
+    def _run(self, name: str) -> DataFrame:
+        return self.work.read_bucketed(name, POSTINGS, "h", self.buckets)
+
+    def _store(self, postings: DataFrame, tier: int) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
-        run = entries.groupBy("h").agg(F.sum("n").alias("n")).repartition(self.buckets, "h")
-        with shuffles_end(self.spark):
-            run.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.work.path}/{name}").saveAsTable(name)
         self.runs.append((tier, name))
-        return name
+        return self.work.write_bucketed(postings, "h", name, self.buckets)
+
+    def hold(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """Numbers the rows of a batch and keeps (doc_id, text, row), dealt by number."""
+        name = f"texts_{uuid.uuid4().hex}"
+        texts = self.work.write_bucketed(as_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id() + self.base), "row", name, self.buckets)
+        self.texts.append(name)
+        return texts
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Appends a batch of hashes as a run; gives those of them met before or met twice."""
+    def append(self, postings: DataFrame) -> DataFrame:
+        """Appends (h, row, at) as a run; gives those hashes of them that were met before or are met twice."""
+        self.compact()
         older = [name for _, name in self.runs]
-        run = self.spark.table(self._store(batch.select("h", F.lit(1).cast("bigint").alias("n")), 0))
-        hits = run.where("n > 1").select("h")
+        run = self._store(postings.select("h", "row", "at"), 0)
+        each = run.groupBy("h").agg(F.count("*").alias("n"))
+        hits = each.where("n > 1").select("h")
         for name in older:
-            hits = hits.union(run.hint("merge").join(self.spark.table(name).select("h"), "h").select("h"))
-        hits = self.work.write(hits, f"hits_{uuid.uuid4().hex}")
-        self.compact()
-        return hits
+            hits = hits.union(each.select("h").hint("merge").join(self._run(name).select("h"), "h", "left_semi"))
+        return self.work.write(hits, f"hits_{uuid.uuid4().hex}")
 
     def compact(self) -> None:
         """Merges runs while some tier has ``fanout`` of them."""
@@ -109,29 +151,38 @@ class FingerprintIndex:
                 return
             old = [name for t, name in self.runs if t == tier]
             self.runs = [(t, name) for t, name in self.runs if t != tier]
-            merged = self.spark.table(old[0])
-            for name in old[1:]:
-                merged = merged.union(self.spark.table(name))
-            self._store(merged, tier + 1)
-            for name in old:
-                self._forget(name)
-
-    def _forget(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.work.drop(name)
-
-    def close(self) -> None:
-        for _, name in self.runs:
-            self._forget(name)
-        self.runs = []
+            self._store(reduce(DataFrame.union, map(self._run, old)), tier + 1)
+            self.done += old
+
+    def places(self, hits: DataFrame) -> DataFrame:
+        """(row, hit): where in each text, of any batch, the anchors with these hashes are."""
+        met = reduce(DataFrame.union, [self._run(name).join(hits, "h", "left_semi").select("row", "at") for _, name in self.runs])
+        return self.work.write(met.groupBy("row").agg(F.collect_list("at").alias("hit")), f"places_{uuid.uuid4().hex}")
+
+    def without_repeats(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
+        """(doc_id, n_words, n_removed, kept) of ``texts``, a batch of this index, with the hashes hit."""
+        every = [self.work.read_bucketed(name, TEXTS, "row", self.buckets) for name in self.texts]
+        found = _repeated(every, self.places(hits), self.work, self.window, self.gram)
+        covered = found.groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
+        left = texts.join(covered, "row", "left").select("doc_id", "text", "covered")
+        return left.mapInArrow(_remove(self.window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """Adds a batch for good and gives what is left of its documents; the result is kept in the folder."""
+        texts = self.hold(docs, id_col, text_col)
+        hits = self.append(fingerprints(texts.select("row", "text"), self.window, self.gram)).distinct()
+        left = self.work.write(self.without_repeats(texts, self.work.write(hits, f"hits_{uuid.uuid4().hex}")), f"left_{self.version + 1}")
+        self.base = (texts.agg(F.max("row")).first()[0] or self.base) + 1
+        self._commit()
+        return left
 
 
 GROUPS = "row bigint, h bigint, start int, n int, d1 bigint, d2 bigint"
 
 
-def _pair(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each window, from word hashes and from a bijection of them."""
-    return window_hashes(words, window), window_hashes(mix(words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), window)
+def _pair(words: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each window, each from its own hash of the words."""
+    return window_hashes(words[0], window), window_hashes(words[1], window)
 
 
 def _mark(window: int, gram: int):
@@ -143,15 +194,15 @@ def _mark(window: int, gram: int):
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text, hit in rows_of(batches):
-            one = hashes.of(text.split())
-            grams = window_hashes(one, gram)
+            pair = hashes.pair(text.split())
+            grams = window_hashes(pair[0], gram)
             at = anchors(grams, window - gram + 1)
             begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             end = np.r_[begin[1:], len(at)]
             mine = np.isin(at[begin], hit)
             start, last = begin[mine], end[mine] - 1
             n = last - start + 1
-            digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(one, window)]
+            digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(pair, window)]
             columns = [np.full(len(start), row), grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "h", "start", "n", "d1", "d2"])
 
@@ -166,7 +217,7 @@ def _windows(window: int):
         for row, text, groups in rows_of(batches):
             words = text.split()
             starts = np.concatenate([np.arange(g["start"], g["start"] + g["n"]) for g in groups])
-            d1, d2 = (w[starts].view(np.int64) for w in _pair(hashes.of(words), window))
+            d1, d2 = (w[starts].view(np.int64) for w in _pair(hashes.pair(words), window))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts.astype(np.int32)), pa.array(d1), pa.array(d2)], ["row", "start", "d1", "d2"])
 
     return task
@@ -191,45 +242,36 @@ def _remove(window: int):
     return task
 
 
-def _repeated(texts: DataFrame, hits: DataFrame, work: Workspace, window: int, gram: int) -> DataFrame:
+def _repeated(every: list[DataFrame], hits: DataFrame, work: Workspace, window: int, gram: int) -> DataFrame:
     """(row, start, n): runs of windows that also occur elsewhere, verified by 128-bit digests.
 
     Equal windows have equal anchors. Groups with equal digests repeat as a whole. Only where the
-    groups of an anchor differ are single windows compared, one group for each digest.
+    groups of an anchor differ are single windows compared, one group for each digest. ``every``:
+    the texts, a table for each batch, read beside what they are joined with.
     """
-    groups = work.write(texts.join(hits, "row").select("row", "text", "hit").mapInArrow(_mark(window, gram), GROUPS), "groups")
+    beside = lambda asked, *columns: reduce(DataFrame.union, [t.join(asked, "row").select("row", "text", *columns) for t in every])
+    groups = work.write(beside(hits, "hit").mapInArrow(_mark(window, gram), GROUPS), f"groups_{uuid.uuid4().hex}")
     digests = groups.groupBy("h", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("row", "start", "n")).alias("one"))
-    digests = work.write(digests, "digests")
+    digests = work.write(digests, f"digests_{uuid.uuid4().hex}")
     whole = groups.join(digests.where("c > 1").select("d1", "d2"), ["d1", "d2"], "left_semi").select("row", "start", "n")
     mixed = digests.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     single = digests.join(mixed, "h", "left_semi").select("one.*").groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("groups"))
-    asked = texts.join(single, "row").select("row", "text", "groups")
-    windows = work.write(asked.mapInArrow(_windows(window), "row bigint, start int, d1 bigint, d2 bigint"), "windows")
+    windows = work.write(beside(single, "groups").mapInArrow(_windows(window), "row bigint, start int, d1 bigint, d2 bigint"), f"windows_{uuid.uuid4().hex}")
     twice = windows.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
     parts = windows.join(twice, ["d1", "d2"], "left_semi").select("row", "start", F.lit(1).alias("n"))
-    return work.write(whole.union(parts), "repeated")
+    return work.write(whole.union(parts), f"repeated_{uuid.uuid4().hex}")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one space.
 
     Texts move once, when rows are numbered and dealt by number; every later step joins beside them.
+    The table enters the index in ``batches``, so that a run of the log is no larger than that.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession, "substrings")
-    texts = work.write_bucketed(as_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "row")
+    index = SubstringIndex(docs.sparkSession, None, window, gram)
+    texts, work = index.hold(docs, id_col, text_col), index.work
     batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
     found = work.write(fingerprints(texts.select("row", "text"), window, gram).withColumn("batch", batch), "anchors", ("batch",))
-
-    index = FingerprintIndex(work, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hits = [index.add(found.where(F.col("batch") == b)) for b in range(batches)]
-    index.close()
-    twice = hits[0]
-    for more in hits[1:]:
-        twice = twice.union(more)
-    twice = work.write(twice.distinct(), "repeated_anchors")
-    places = work.write(found.join(twice, "h", "left_semi").groupBy("row").agg(F.collect_list("at").alias("hit")), "hit_places")
+    hits = reduce(DataFrame.union, [index.append(found.where(F.col("batch") == b)) for b in range(batches)])
     work.drop("anchors")
-
-    covered = _repeated(texts, places, work, window, gram).groupBy("row").agg(F.collect_list(F.struct("start", "n")).alias("covered"))
-    left = texts.join(covered, "row", "left").select("doc_id", "text", "covered")
-    return left.mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return index.without_repeats(texts, work.write(hits.distinct(), "repeated_anchors"))

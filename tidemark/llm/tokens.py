@@ -49,22 +49,33 @@ class Batcher:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to a bound."""
+    """word -> place of its 128-bit hash, remembered up to a bound of words and bytes."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 400_000, most_bytes: int = 32 << 20):
         super().__init__()
-        self.most, self.seed = most, seed
+        self.most, self.most_bytes, self.spent = most, most_bytes, 0
+        self.halves = np.empty((1024, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word, self.seed)
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = h
-        return h
+        place = len(self)
+        if place == len(self.halves):
+            self.halves = np.concatenate([self.halves, np.empty_like(self.halves)])
+        h = xxhash.xxh3_128_intdigest(word)
+        self.halves[place] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+        self[word] = place
+        self.spent += len(word)
+        return place
+
+    def pair(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the hashes, as two independent hashes of 64 bits."""
+        if len(self) > self.most or self.spent > self.most_bytes:
+            self.clear()
+            self.spent = 0
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.halves[places, 0], self.halves[places, 1]
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return self.pair(words)[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -44,12 +44,23 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a table was written there to its end."""
+    path, files = _path(spark, f"{folder}/_SUCCESS")
+    return files.exists(path)
+
+
 class Workspace:
-    """A folder of its own below the shared one."""
+    """A folder of its own below the shared one, or the one that is named."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
-        self.path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+        self.path = (folder or f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}").rstrip("/")
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Writes ``df`` and gives it back as a plain scan, which ends its lineage."""
@@ -59,18 +70,26 @@ class Workspace:
             (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def write_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+    def write_bucketed(self, df: DataFrame, key: str, name: str | None = None, buckets: int | None = None) -> DataFrame:
         """Writes ``df`` dealt and sorted by ``key``, so that joins on it move only their other side."""
-        name = f"tidemark_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = name or f"tidemark_{uuid.uuid4().hex}"
+        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with shuffles_end(self.spark):
             df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("compression", "zstd").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return self._held(name)
+
+    def read_bucketed(self, name: str, columns: str, key: str, buckets: int) -> DataFrame:
+        """A table that ``write_bucketed`` left, in this session or another."""
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self._held(name)
+
+    def _held(self, name: str) -> DataFrame:
+        """The table without its entry in the catalog: the files belong to this folder, and the result knows them."""
         held = self.spark.table(name)
-        self.spark.sql(f"DROP TABLE {name}")  # the entry only: the files belong to this folder, and ``held`` knows them
+        self.spark.sql(f"DROP TABLE {name}")
         return held
 
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all of them, once no later stage reads it."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _path(self.spark, f"{self.path}/{name}" if name else self.path)
+        files.delete(path, True)
