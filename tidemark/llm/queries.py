@@ -190,6 +190,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)
 """
 
+#: CRC32 byte by byte over a table of 256 steps; draws and owners as the operator words them; slots of one bucket to a shard.
+_OP6 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+steps AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce([b::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS s),
+sums AS (
+  SELECT rid, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+           lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, steps),
+draws AS (
+  SELECT rid, k, -1.0::DOUBLE / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || k), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) AS score
+  FROM d, range(0, 25) AS r(k)),
+owners AS (
+  SELECT rid, (max_by(k, (score, -k)) FILTER (k < 24))::INT AS shard, max_by(k, (score, -k))::INT AS grown_shard FROM draws GROUP BY rid)
+SELECT doc_id, (strlen(text) + 8)::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, rid) - 1 AS slot, grown_shard
+FROM d JOIN sums USING (rid) JOIN owners USING (rid)
+"""
+
 _L = line_dedup
 _OP2 = f"""
 WITH d AS (
@@ -215,4 +233,4 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(kept, 0))::BIGINT
 FROM d LEFT JOIN left_over USING (rid)
 """
 
-ORACLES = {"op2_line_dedup": _OP2, "op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
+ORACLES = {"op6_rendezvous_shards": _OP6, "op2_line_dedup": _OP2, "op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
