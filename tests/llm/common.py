@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 #: Names that the operators use inside; as extra columns they must change nothing.
-CLASHING = ("row", "h", "n", "k", "key", "at", "batch", "count", "fp", "node", "u", "v", "group", "shard", "slot", "size", "starts", "hit", "items", "gone", "chunk", "d", "best", "stratum", "w", "s", "n_words", "score", "lang_pred", "n_lines", "n_removed", "kept", "length", "piece", "id", "host", "path", "rule", "share")
+CLASHING = ("meta.url", "N_Lines", "Score", "Lang_Pred", "__row", "__text", "__gone", "whole", "read", "predicted", "row", "h", "n", "k", "key", "at", "batch", "count", "fp", "node", "u", "v", "group", "shard", "slot", "size", "starts", "hit", "items", "gone", "chunk", "d", "best", "stratum", "w", "s", "n_words", "n_removed", "kept", "length", "piece", "id", "host", "path", "rule", "share")
 
 
 def words(text: str | None) -> list[str]:

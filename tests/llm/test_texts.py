@@ -45,14 +45,33 @@ def test_no_documents(spark):
 
 
 def test_index_grows_run_by_run(spark):
-    from tidemark.llm.workspace import Workspace
-
-    index = substring_dedup.FingerprintIndex(Workspace(spark, "test"), 4)
-    hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "h bigint")
-    met = [sorted({r["h"] for r in index.add(hashes(*b)).collect()}) for b in ((1, 2), (2, 3), (5, 5), (1, 3, 9), (5, 7))]
+    index = substring_dedup.SubstringIndex(spark, buckets=4)
+    postings = lambda *h: spark.createDataFrame([(x, k, 0) for k, x in enumerate(h)], substring_dedup.POSTINGS)
+    met = [sorted({r["h"] for r in index.append(postings(*b)).collect()}) for b in ((1, 2), (2, 3), (5, 5), (1, 3, 9), (5, 7))]
     assert met == [[], [2], [5], [1, 3], [5]]
     assert len(index.runs) <= 3
-    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "texts_", "tidemark_"))]
+
+
+def test_batches_of_several_sessions(spark, tmp_path):
+    """Each batch is held against those before it, by an index that is opened anew for every batch."""
+    folder, rows = f"file://{tmp_path}/index", [r for r in awkward() if r[0] is not None]
+    later = [(100 + k, t, "en") for k, t in enumerate([prose(1, 120)[40:], prose(3, 5000), "one", None, prose(90, 60), prose(2, 30)])]
+    last = [(200, prose(90, 60) + " end", "en"), (201, prose(3, 5000), "en"), (202, prose(91, 80), "en")]
+    known = []
+    for batch in (rows, later, last, []):
+        known += batch
+        every = brute_repeats([r[1] for r in known], 35)[len(known) - len(batch) :]
+        got = substring_dedup.SubstringIndex(spark, folder).add(frame(spark, batch)).select("doc_id", "n_words", "n_removed", "kept")
+        assert as_rows(got) == sorted(((r[0], *b) for r, b in zip(batch, every, strict=True)), key=repr)
+    index = substring_dedup.SubstringIndex(spark, folder)
+    assert index.version == 4 and len(index.texts) == 4 and len(index.runs) < 4
+    broken = substring_dedup.SubstringIndex(spark, folder)  # a batch that never ends changes nothing
+    broken.append(substring_dedup.fingerprints(broken.hold(frame(spark, last), "doc_id", "text").select("row", "text")))
+    again = substring_dedup.SubstringIndex(spark, folder)
+    assert (again.runs, again.texts) == (index.runs, index.texts)
+    got = again.add(frame(spark, [(300, prose(91, 80), "en"), (301, prose(92, 80), "en")])).select("doc_id", "n_removed")
+    assert as_rows(got) == [(300, 80), (301, 0)]
 
 
 def brute_lines(texts):
@@ -130,6 +149,26 @@ def test_cutoffs_limit_false_rejection(spark):
     assert not any(k in kept for k in range(800, 900))
 
 
+def test_cutoffs_agree_with_sql(spark, monkeypatch):
+    """Enough labels to prove cutoffs in two strata, too few in the third, and none of a null stratum."""
+    from tests.llm.common import oracle
+    from tidemark.llm import queries
+
+    r, rows = np.random.default_rng(8), []
+    for k in range(2300):
+        text = prose(k, 55) + " #" * int(r.integers(0, 3)) + ("\nsame line\nsame line" if k % 40 == 0 else "") + (" LOUD WORDS" if k % 25 == 0 else "")
+        rows.append((k, text, ("en", "en", "de", "de", "fr" if k % 60 < 5 else "en", None if k % 50 == 0 else "de")[k % 6]))
+    rows += [(5000 + k, prose(k, 60) + "".join(f" #{k}${j}%" for j in range(60)), ("en", "de", "fr", None)[k % 4]) for k in range(40)]
+    labels = [(k, int(k < 2300 and k % 97 > 0)) for k in (*range(2300), *range(5000, 5020))] + [(5, 1), (6, 0)]
+    docs, held = frame(spark, rows, clashing=False), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = quality_rules.apply_rules(docs, held)
+    cut = {x["lang"]: x for x in got.groupBy("lang").agg(F.first("cut_symbol_ratio").alias("c"), F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()}
+    assert cut["en"]["c"] is not None and cut["de"]["c"] is not None and cut["fr"]["c"] is None and cut[None]["c"] is None
+    mine = as_rows(got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+    assert mine == oracle(queries.ORACLES["op3_quality_rules"], documents=docs.toPandas(), labels=held.toPandas())
+    assert sum(not x[7] for x in mine) > sum(x[6] for x in mine) + 10  # cutoffs reject some that pass the base rules
+
+
 def test_cutoffs_count_every_label(spark):
     from tidemark.llm.workspace import Workspace
 
@@ -264,14 +303,7 @@ def brute_similar(texts):
     for t in texts:
         w = words((t or "").lower())
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            same = len(sets[i] & sets[j])
-            if 5 * same >= 4 * len(sets[i] | sets[j]):
-                a, b = sorted((root[i], root[j]))
-                root = [a if x == b else x for x in root]
-    return root
+    return brute_roots(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
 
 
 def test_near_copies_are_confirmed_by_their_shingles(spark):
@@ -295,3 +327,25 @@ def test_near_copies_are_confirmed_by_their_shingles(spark):
     rows = [(k, t, "en") for k, t in enumerate(texts)]
     left = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows, clashing=False).coalesce(1), "")
     assert sorted(x["doc_id"] for x in left.collect()) == want
+
+
+@pytest.mark.parametrize("leaders", [1, 3])
+def test_similar_texts_meet_beyond_their_leaders(spark, monkeypatch, leaders):
+    """Chains: texts that are like a neighbour, and unlike the first of their bucket."""
+    from tidemark.llm import resemblance
+
+    monkeypatch.setattr(resemblance, "LEADERS", leaders)
+    monkeypatch.setattr(simhash, "TILE_HOMES", 8)
+    monkeypatch.setattr(simhash, "TILE_VISITS", 16)
+    texts = []
+    for group in range(6):
+        base = prose(2000 + group, 300).split()
+        for k in (4, 2, 0, 6, 1, 5, 3):  # each step takes a sixteenth away and puts as much on
+            texts.append(" ".join(base[k * 12 : k * 12 + 200]))
+        texts += [" ".join([*base[:120], *prose(2100 + 10 * group + k, 40).split()]) for k in range(4)]
+    root = brute_similar(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").repartition(3)
+    none = spark.createDataFrame([], "u bigint, v bigint")
+    found = {x["u"]: x["root"] for x in resemblance.similar_components(docs, none, "row").collect()}
+    assert [found.get(k, k) for k in range(len(texts))] == root
+    assert len(set(root)) < len(texts) - 20
