@@ -96,11 +96,12 @@ def network_accuracy(scored: DataFrame) -> DataFrame:
 def bic(assigned: DataFrame, model: DataFrame, rows: int, above: float = 2e-5, per_segment: bool = True) -> DataFrame:
     """One row. ``model``: (cluster, log_det_theta, trace, nnz). Entries count once for each segment, or each cluster.
 
-    By segment the fits of the clusters are added up, otherwise averaged.
+    By segment the fits of the clusters are added up, otherwise averaged; the fits of all clusters of the
+    model, whether a label uses them or not, while by cluster only the entries of those that are used count.
     """
     used = model.join(assigned.select("cluster").distinct(), "cluster")
     n = segments(assigned).join(model, "cluster").agg(F.sum("nnz")) if per_segment else used.agg(F.sum("nnz"))
-    fit = used.agg((F.sum if per_segment else F.avg)(F.col("log_det_theta") - F.col("trace")).alias("fit"))
+    fit = (model if per_segment else used).agg((F.sum if per_segment else F.avg)(F.col("log_det_theta") - F.col("trace")).alias("fit"))
     return fit.crossJoin(n.toDF("nnz")).select((F.col("nnz") * F.log(F.lit(float(rows))) - 2 * F.col("fit")).alias("bic"))
 
 

@@ -1,8 +1,14 @@
-"""Counts, means and covariances of windows by cluster, from merged partial moments."""
+"""Counts, means and covariances of windows by cluster, from merged partial moments.
+
+A task folds all it meets into one row for each cluster. These rows are merged in two levels, dealt
+by (cluster, bucket) with about the square root of the tasks as buckets, then by cluster; and a
+task merges as rows come in, so it never holds more than one matrix of a cluster and a batch.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -20,7 +26,20 @@ def _partials(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.stack(part["x"].to_numpy())
             mean = x.mean(0)
             held[cluster] = merge(held.get(cluster), (len(x), mean, (x - mean).T @ (x - mean)))
-    yield pd.DataFrame([(k, n, mean, m2.ravel()) for k, (n, mean, m2) in held.items()], columns=["cluster", "n", "mean", "m2"])
+    yield _as_rows(held)
+
+
+def _as_rows(held: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame([(k, n, mean, m2.ravel()) for k, (n, mean, m2) in held.items()], columns=["cluster", "n", "mean", "m2"])
+
+
+def _merging(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of PARTIAL folded into one for each cluster, as they come."""
+    held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            held[row.cluster] = merge(held.get(row.cluster), (row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1))))
+    yield _as_rows(held)
 
 
 def merge(a: tuple | None, b: tuple) -> tuple:
@@ -31,13 +50,6 @@ def merge(a: tuple | None, b: tuple) -> tuple:
     return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
-def merged(part: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    total = None
-    for row in part.sort_values("n").itertuples():
-        total = merge(total, (row.n, np.array(row.mean), np.array(row.m2).reshape(len(row.mean), -1)))
-    return total
-
-
 def partial_moments(windows: DataFrame) -> DataFrame:
     """Of (cluster, x), a row for each cluster and task: nothing but these rows is shuffled."""
     return windows.select("cluster", "x").mapInPandas(_partials, PARTIAL)
@@ -51,7 +63,16 @@ def partial_moments_dealt(windows: DataFrame, assigned: DataFrame) -> DataFrame:
         return next(_partials([met]))
 
     labels = assigned.select(F.col("series_id").alias("of"), F.col("c").alias("chunk"), F.col("t").alias("time"), "cluster")
-    return windows.groupBy("series_id", "c").cogroup(labels.groupBy("of", "chunk")).applyInPandas(one, PARTIAL)
+    each = windows.groupBy("series_id", "c").cogroup(labels.groupBy("of", "chunk")).applyInPandas(one, PARTIAL)
+    return each.mapInPandas(_merging, PARTIAL)  # in the same tasks
+
+
+def by_cluster(partial: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Few enough rows of PARTIAL for each cluster that one task can merge them: about the square root of the tasks."""
+    buckets = buckets or isqrt(int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if buckets < 4:
+        return partial
+    return partial.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(buckets))).repartition("cluster", "bucket").select(*partial.columns).mapInPandas(_merging, PARTIAL)
 
 
 def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray:
@@ -60,14 +81,21 @@ def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray
     return m2 / (n if biased else n - 1)
 
 
-def moments(windows: DataFrame, biased: bool = False) -> DataFrame:
-    """(cluster, n, mean, cov): the covariance row by row."""
+def finished(partial: DataFrame, one, ddl: str) -> DataFrame:
+    """``one(cluster, n, mean, m2)`` of each cluster's merged moments: a row of ``ddl`` for each, in a task for each."""
+    names = [c.split()[0] for c in ddl.split(", ")]
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        n, mean, m2 = merged(part)
-        return pd.DataFrame([(part["cluster"].iloc[0], n, mean, covariance(n, m2, biased, part["cluster"].iloc[0]).ravel())], columns=["cluster", "n", "mean", "cov"])
+    def task(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in next(_merging(frames)).itertuples(index=False):
+            yield pd.DataFrame([one(row.cluster, row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1)))], columns=names)
 
-    return partial_moments(windows).groupBy("cluster").applyInPandas(one, "cluster int, n bigint, mean array<double>, cov array<double>")
+    return by_cluster(partial).repartition("cluster").mapInPandas(task, ddl)
+
+
+def moments(windows: DataFrame, biased: bool = False) -> DataFrame:
+    """(cluster, n, mean, cov): the covariance row by row."""
+    one = lambda cluster, n, mean, m2: (cluster, n, mean, covariance(n, m2, biased, cluster).ravel())
+    return finished(partial_moments(windows), one, "cluster int, n bigint, mean array<double>, cov array<double>")
 
 
 def counts(assigned: DataFrame, clusters: int) -> DataFrame:

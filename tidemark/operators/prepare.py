@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import carried
+from tidemark.operators.ordering import CHUNK, carried, with_rank
 
 
 def forward_fill(series: DataFrame, sensors: int) -> DataFrame:
@@ -31,19 +31,19 @@ def every_nth(series: DataFrame, n: int) -> DataFrame:
     return series.where(F.col("t") % n == 0)
 
 
-def in_training(t: Column, windows: int, share: float = 0.9, ends: bool = True) -> Column:
-    """A repeatable share of 0 … windows - 1, chosen by an arithmetic hash, with both ends if asked for."""
-    chosen = (t * 7919) % 997 < share * 997
+def in_training(t: Column, windows: int, share: float = 0.9, ends: bool = True, seed: int | None = None) -> Column:
+    """A repeatable share of 0 … windows - 1, chosen by an arithmetic hash, or by a seeded one; with both ends if asked for."""
+    chosen = (t * 7919) % 997 < share * 997 if seed is None else F.pmod(F.xxhash64(t.cast("bigint"), F.lit(seed)), F.lit(1 << 20)) < share * (1 << 20)
     if ends:
         chosen = chosen | (t == 0) | (t == windows - 1)
     return chosen & (t < windows)
 
 
-def split(series: DataFrame, window: int, length: int, share: float = 0.9, ends: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(training, held-out) rows of the windows of a series."""
-    index = series.where(F.col("t") <= length - window)
-    flag = in_training(F.col("t"), length - window + 1, share, ends)
-    return index.where(flag), index.where(~flag)
+def split(series: DataFrame, window: int, length: int, share: float = 0.9, ends: bool = True, seed: int | None = None, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(training, held-out) rows of the windows of a series; with ``whole`` the rows after the last window are held out too."""
+    flag = in_training(F.col("t"), length - window + 1, share, ends, seed)
+    upto = series.where(F.col("t") < length) if whole else series.where(F.col("t") <= length - window)
+    return upto.where(flag), upto.where(~flag)
 
 
 def neighbours(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -54,12 +54,14 @@ def neighbours(train: DataFrame, test: DataFrame) -> DataFrame:
     return carried(left, {"right": at}, strict=True, forward=False).where(~F.col("known")).select("series_id", "t", "left", "right")
 
 
-def segments(assigned: DataFrame) -> DataFrame:
-    """Maximal runs of one cluster in (series_id, t, cluster): segment_id, cluster, t_start, t_end, len."""
-    starts = carried(assigned, {"before": F.col("cluster")}, strict=True).where(F.col("before").isNull() | (F.col("before") != F.col("cluster")))
-    order = Window.partitionBy("series_id").orderBy("t")  # of starts only
+def segments(assigned: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Maximal runs of one cluster in (series_id, t, cluster): segment_id, cluster, t_start, t_end, len.
+
+    Starts are numbered and paired chunk by chunk, as everything along one series is.
+    """
+    before = carried(assigned, {"before": F.col("cluster")}, strict=True, chunk=chunk)
+    starts = before.where(F.col("before").isNull() | (F.col("before") != F.col("cluster"))).select("series_id", "t", "cluster")
+    paired = carried(with_rank(starts, "segment_id", chunk), {"next": F.col("t")}, strict=True, forward=False, chunk=chunk)
     ends = assigned.groupBy("series_id").agg(F.max("t").alias("last"))
-    run = starts.join(ends, "series_id").select(
-        "series_id", (F.row_number().over(order) - 1).cast("bigint").alias("segment_id"), "cluster", F.col("t").alias("t_start"), F.coalesce(F.lead("t").over(order) - 1, "last").alias("t_end")
-    )
+    run = paired.join(ends, "series_id").select("series_id", F.col("segment_id").cast("bigint").alias("segment_id"), "cluster", F.col("t").alias("t_start"), F.coalesce(F.col("next") - 1, "last").alias("t_end"))
     return run.withColumn("len", F.col("t_end") - F.col("t_start") + 1)

@@ -16,11 +16,16 @@ def stack(series: DataFrame, window: int, sensors: int, tail: str = "zero", chun
     ``tail="data"`` reads the observations that exist. The filter comes before the window, and a
     chunk also gets the first rows of the next one, so that windows of one series spread over tasks.
     ``dealt``: keep the chunk as ``c`` and stay in that many partitions by (series_id, c).
+
+    A series whose ``t`` is not 0, 1, 2, … without gaps or repeats is an error: what follows what would
+    depend on where a chunk ends. Rank it first (``ordering.with_rank``) where gaps shall close.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     chunk = max(chunk, window)
-    length = series.groupBy("series_id").agg((F.max("t") + 1).alias("length"))
+    each = series.groupBy("series_id").agg((F.max("t") + 1).alias("length"), F.min("t").alias("first"), F.count("*").alias("rows"))
+    gapless = (F.col("first") == 0) & (F.col("rows") == F.col("length"))
+    length = each.select("series_id", F.when(gapless, F.col("length")).otherwise(F.raise_error(F.concat(F.lit("t has gaps or repeats in series "), F.col("series_id"))).cast("bigint")).alias("length"))
     held = series.join(length, "series_id")
     held = held if tail == "data" else held.where(F.col("t") <= F.col("length") - window)
     c = chunk_of(F.col("t"), chunk)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import BETA, HOURS, LAM, PALETTE, TYPES, K, N, W
+from tidemark.queries import BETA, HOURS, LAG, LAM, PAIR_BETA, PAIR_LAM, PALETTE, TYPES, K, N, W
 
 _LAST = HOURS - W  # the last window
 _KEYS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TYPES))
@@ -40,16 +40,47 @@ _PARTS: dict[str, str] = {
     "ranked": f"SELECT t, dense_rank() OVER (ORDER BY t) - 1 AS rank, s, v FROM y WHERE t <= {_LAST} AND (t * 7919) % 997 < 0.9 * 997",
     "moved": f"SELECT ((a.t // 120) % {K})::INT AS cluster, var_samp(a.v) + 0.002 AS p, var_samp(b.v) + 0.002 AS r, covar_samp(a.v, b.v) AS z FROM y a JOIN y b USING (t) WHERE a.s = 0 AND b.s = 1 GROUP BY 1",
     "two": "SELECT cluster, p, r, sign(z) * greatest(abs(z) - 0.002, 0) AS q FROM moved",
+    # The two-sensor model with all its entries: a round from labels, for several rounds.
+    "pair": "SELECT a.t, a.v AS a, b.v AS b FROM y a JOIN y b USING (t) WHERE a.s = 0 AND b.s = 1",
+    "path0": f"SELECT t, ((t // 120) % {K})::INT AS cluster FROM pair",
+    # Online labels: costs of windows that hold data to their end, and the cheapest way to every end.
+    "whole": f"""SELECT t, cluster, sum((v - m) * (v - m) * q) + any_value(ld) AS l FROM (SELECT a.t, k * {N} + a.s AS d, a.s, b.v FROM y a CROSS JOIN (SELECT unnest(range(0, {W})) AS k) JOIN y b ON b.t = a.t + k AND b.s = a.s WHERE a.t <= {_LAST})
+        JOIN mu USING (d) JOIN theta USING (cluster, s) JOIN ld USING (cluster) GROUP BY t, cluster""",
+    "ends": "SELECT t, " + ", ".join(f"max(l) FILTER (cluster = {k}) AS l{k}" for k in range(K)) + " FROM whole GROUP BY t",
+    "online": f"""SELECT t, [l0, l1, l2] AS p, [1, 2, 3] AS stay FROM ends WHERE t = 0 UNION ALL
+        SELECT ends.t, [l0 + least(p[1], list_min(p) + {BETA}), l1 + least(p[2], list_min(p) + {BETA}), l2 + least(p[3], list_min(p) + {BETA})],
+          list_transform([1, 2, 3], lambda k: CASE WHEN p[k] <= list_min(p) + {BETA} THEN k ELSE list_position(p, list_min(p)) END) FROM online JOIN ends ON ends.t = online.t + 1""",
+    "late": f"""SELECT t AS seen, t, list_position(p, list_min(p)) AS k FROM online UNION ALL
+        SELECT seen, late.t - 1, online.stay[k] FROM late JOIN online ON online.t = late.t WHERE late.t > greatest(0, seen - {LAG})""",
     "near": "SELECT test.t, (SELECT max(t) FROM train WHERE train.t < test.t) AS l, (SELECT min(t) FROM train WHERE train.t > test.t) AS r FROM test",
 }
 
 
+def _dense(turn: int) -> dict[str, str]:
+    """Parts of one round of the two-sensor fit, from the labels of the round before."""
+    switched = f"list_transform(g, lambda v, i: v + CASE WHEN i - 1 = p.cluster THEN 0 ELSE {PAIR_BETA} END)"
+    before, n = f"path{turn - 1}", turn
+    step = ", ".join(f"least(f{k} + l{k}, least(f0 + l0, f1 + l1, f2 + l2) + {PAIR_BETA})" for k in range(K))
+    return {
+        f"ds{n}": f"SELECT cluster, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS sa, var_samp(b) AS sb, covar_samp(a, b) AS z, var_samp(a) + {PAIR_LAM} AS p, var_samp(b) + {PAIR_LAM} AS r, sign(covar_samp(a, b)) * greatest(abs(covar_samp(a, b)) - {PAIR_LAM}, 0) AS q FROM pair JOIN {before} USING (t) GROUP BY cluster",
+        f"dc{n}": f"SELECT t, cluster, (r * (a - ma) * (a - ma) - 2 * q * (a - ma) * (b - mb) + p * (b - mb) * (b - mb)) / (p * r - q * q) + ln(p * r - q * q) AS l FROM pair CROSS JOIN ds{n}",
+        f"dl{n}": "SELECT t, " + ", ".join(f"max(l) FILTER (cluster = {k}) AS l{k}" for k in range(K)) + f" FROM dc{n} GROUP BY t",
+        f"df{n}": f"SELECT {HOURS - 1}::BIGINT AS t, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS f2 UNION ALL SELECT df{n}.t - 1, {step} FROM df{n} JOIN dl{n} USING (t) WHERE df{n}.t > 0",
+        f"dg{n}": f"SELECT t, [f0 + l0, f1 + l1, f2 + l2] AS g FROM df{n} JOIN dl{n} USING (t)",
+        f"path{n}": f"SELECT t, (list_position(g, list_min(g)) - 1)::INT AS cluster FROM dg{n} WHERE t = 0 UNION ALL SELECT dg{n}.t, (list_position({switched}, list_min({switched})) - 1)::INT FROM path{n} p JOIN dg{n} ON dg{n}.t = p.t + 1",
+    }
+
+
+for _turn in (1, 2, 3):
+    _PARTS |= _dense(_turn)
+
+
 def _needed(text: str, found: dict[str, None]) -> dict[str, None]:
     """Parts that ``text`` names, each after those it needs itself."""
     import re
 
     for name in _PARTS:
-        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b(?!\()", text):
+        if name not in found and re.search(rf"\b(FROM|JOIN|,)\s+{name}\b(?![(.])", text):
             rest = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", "", _PARTS[name])
             _needed(rest, found)
             found[name] = None
@@ -61,8 +92,10 @@ def _with(sql: str) -> str:
     return f"WITH RECURSIVE {parts}\n{sql}" if parts else sql
 
 
+_RUNS = """SELECT segment_id::BIGINT AS segment_id, any_value(cluster) AS cluster, min(t) AS t_start, max(t) AS t_end, count(*) AS len FROM (
+    SELECT *, sum(new) OVER (ORDER BY t) - 1 AS segment_id FROM (SELECT *, CASE WHEN cluster IS DISTINCT FROM lag(cluster) OVER (ORDER BY t) THEN 1 ELSE 0 END AS new FROM path1)) GROUP BY segment_id"""
 _BIC = f"""SELECT round(n * ln({HOURS}) - 2 * fit, 1) AS bic FROM
-    (SELECT {{how}}(-ld - tr) AS fit FROM ld JOIN (SELECT cluster, sum(v * q) AS tr FROM cov JOIN theta USING (cluster) WHERE i = j AND i % {N} = s GROUP BY cluster) USING (cluster) WHERE cluster IN (SELECT cluster FROM path)),
+    (SELECT {{how}}(-ld - tr) AS fit FROM ld JOIN (SELECT cluster, sum(v * q) AS tr FROM cov JOIN theta USING (cluster) WHERE i = j AND i % {N} = s GROUP BY cluster) USING (cluster) WHERE {{used}}),
     (SELECT {W * N} * count(*) AS n FROM {{each}})"""
 _F1 = "CASE WHEN {tp} > 0 THEN 2 * {tp} / ({a} + {b}) ELSE 0 END"
 _RAW: dict[str, str] = {
@@ -110,14 +143,26 @@ _RAW: dict[str, str] = {
         SELECT a.cluster, count(*) FILTER (abs(a.v) > 0.002 AND abs(b.v) > 0.002) AS tp, count(*) FILTER (abs(a.v) <= 0.002 AND abs(b.v) > 0.002) AS fp,
           count(*) FILTER (abs(a.v) > 0.002 AND abs(b.v) <= 0.002) AS fn, count(*) FILTER (abs(a.v) <= 0.002 AND abs(b.v) <= 0.002) AS tn
         FROM cov a JOIN cov b ON (b.cluster + 1) % {K} = a.cluster AND a.i = b.i AND a.j = b.j GROUP BY a.cluster)""",
-    "bic_per_segment": _BIC.format(how="sum", each="seg"),
-    "bic_per_cluster": _BIC.format(how="avg", each="(SELECT DISTINCT cluster FROM path)"),
+    "bic_per_segment": _BIC.format(how="sum", each="seg", used="true"),
+    "bic_per_cluster": _BIC.format(how="avg", each="(SELECT DISTINCT cluster FROM path)", used="cluster IN (SELECT cluster FROM path)"),
     "mrf_edges": f"""SELECT cluster, ({W - 1} - j // {N})::INT AS lag, (j % {N})::INT AS src, (i - {(W - 1) * N})::INT AS dst, round(v, 5) AS weight FROM cov
         WHERE i >= {(W - 1) * N} AND abs(v) > 0.002 AND (j < {(W - 1) * N} OR j < i)""",
     "cluster_norm_rank": "SELECT cluster, round(norm, 4) AS norm, (row_number() OVER (ORDER BY norm DESC, cluster DESC) - 1)::INT AS place FROM (SELECT cluster, sqrt(sum(v * v)) AS norm FROM cov GROUP BY cluster)",
     "export_colours": "SELECT t, '\"' || [" + ", ".join(f"'{c}'" for c in PALETTE) + "][cluster + 1] || '\"' AS colour FROM path WHERE t % 10 = 0 AND t < 40000",
     "export_channels": "SELECT k::INT AS k, c::INT AS channel, ('0x' || substr(colour, 2 + 2 * c, 2))::INT / 256.0::DOUBLE AS v FROM (VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(PALETTE)) + ") AS p(k, colour), (VALUES (0), (1), (2)) AS ch(c)",
     "export_locations": "SELECT t, 'new GLatLng(' || (t % 90) || ', ' || (t % 180) || ')' AS point FROM path WHERE t % 10 = 0",
+    "cost_matrix_dense": "SELECT t, cluster, round(l, 3) + 0.0 AS cost FROM dc1",
+    "viterbi_labels_dense": "SELECT t, cluster FROM path1",
+    "fit_dense_round": "SELECT t, cluster FROM path1",
+    "fit_three_rounds": "SELECT t, cluster FROM path3",
+    "segments_dense": _RUNS,
+    "bic_dense": f"""SELECT round(n * ln({HOURS}) - 2 * fit, 0) AS bic FROM
+        (SELECT sum(-ln(p * r - q * q) - (sa * r + sb * p - 2 * z * q) / (p * r - q * q)) AS fit FROM ds1),
+        (SELECT sum(CASE WHEN abs(q / (p * r - q * q)) > 2e-5 THEN 4 ELSE 2 END) AS n FROM ({_RUNS}) JOIN ds1 USING (cluster))""",
+    "lasso_zero_penalty": f"""SELECT cluster, i::INT AS i, j::INT AS j, round(CASE WHEN i <> j THEN -z WHEN i = 0 THEN sb ELSE sa END / (sa * sb - z * z), 1) + 0.0 AS v FROM ds1, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS e(i, j)""",
+    "random_init": f"SELECT t, (('0x' || substr(md5('0:' || t || ':102'), 1, 8))::BIGINT % {K})::INT AS cluster FROM range(0, {_LAST + 1}) AS r(t)",
+    "stream_score": "SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM online",
+    "stream_score_lagged": f"SELECT t, (k - 1)::INT AS cluster FROM late WHERE t = seen - {LAG}",
     "cluster_raw_means": "SELECT cluster, s AS sensor, round(avg(v), 4) AS mean FROM path JOIN x USING (t) GROUP BY ALL",
 }
 _RAW["network_accuracy"] = f"SELECT round(avg(f1), 5) AS network_accuracy FROM ({_RAW['network_f1']})"

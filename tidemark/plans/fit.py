@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import logging
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lasso, metrics, moments, scoring, windows
 from tidemark.operators.ordering import chunk_of
-from tidemark.plans.storage import stored
+from tidemark.plans.storage import Tables, stored
 
 LOG = logging.getLogger(__name__)
 ROW = "cluster int, n bigint, mean array<double>, cov array<double>, theta array<double>, sparse array<double>, sigma array<double>, log_det double, iterations int, converged boolean"
 
 
+CELLS = 1 << 23  #: numbers of windows that a task holds at once: 64 MB
+
+
 @dataclass(frozen=True)
 class Parameters:
     window: int = 10
@@ -30,10 +34,12 @@ class Parameters:
     threshold: float = 2e-5
     reassign: int = 20
     biased: bool = False
-    init: str = "kmeans"  #: kmeans, gmm, random or given
-    lam_mode: str = "flat"  #: flat, or lag_scaled
+    init: str = "gmm"  #: gmm (K-means where it leaves a component empty), kmeans, random or given
+    lam_mode: str = "flat"  #: flat, lag_scaled, or matrix: then ``penalty`` is the whole matrix, row by row
+    penalty: tuple[tuple[float, ...], ...] | None = None
     tail: str = "zero"
     rho: float = 1.0
+    rho_update: Callable[[float, float, float], float] | None = None  #: (rho, primal, dual) -> rho; not saved with a model
     floor: float = 1e-4
     eps: float = 1e-6
     seed: int = 102
@@ -44,6 +50,20 @@ class Parameters:
             raise ValueError("most_rounds, window and clusters must be at least 1")
         if self.beta < 0 or self.lam < 0:
             raise ValueError("beta and lam must not be negative")
+        if self.lam_mode not in ("flat", "lag_scaled", "matrix") or (self.lam_mode == "matrix") != (self.penalty is not None):
+            raise ValueError("lam_mode is flat, lag_scaled or matrix, and only matrix takes a penalty")
+
+    def rows(self, sensors: int) -> int:
+        """Rows of a chunk of time: at most ``chunk``, and fewer where windows are wide."""
+        return max(self.window, min(self.chunk, CELLS // (self.window * sensors)))
+
+    def penalties(self, sensors: int) -> float | np.ndarray:
+        if self.lam_mode == "matrix":
+            penalty = np.asarray(self.penalty, float)
+            if penalty.shape != (self.window * sensors,) * 2 or (penalty < 0).any() or not np.allclose(penalty, penalty.T):
+                raise ValueError(f"a penalty matrix must be symmetric, not negative, and {self.window * sensors} wide")
+            return penalty
+        return lasso.lag_scaled(self.lam, self.window, sensors) if self.lam_mode == "lag_scaled" else self.lam
 
 
 @dataclass
@@ -72,25 +92,28 @@ class Model:
         return metrics.edges(self.networks(spark), self.parameters.window, self.sensors, self.parameters.threshold, sensor)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.table(spark).write.mode("overwrite").parquet(path)
+        """K rows, each with the parameters and the number of sensors, so that the table alone is the model."""
+        known = json.dumps({f.name: getattr(self.parameters, f.name) for f in fields(Parameters) if f.name != "rho_update"})
+        self.table(spark).select("*", F.lit(self.sensors).alias("sensors"), F.lit(known).alias("parameters")).write.mode("overwrite").parquet(path)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, parameters: Parameters, sensors: int) -> Model:
-        return cls(parameters, sensors, {r["cluster"]: r.asDict() for r in spark.read.parquet(path).collect()})
+    def load(cls, spark: SparkSession, path: str) -> Model:
+        rows = [r.asDict() for r in spark.read.parquet(path).collect()]
+        known = json.loads(rows[0]["parameters"])
+        known["penalty"] = known["penalty"] and tuple(map(tuple, known["penalty"]))
+        return cls(Parameters(**known), rows[0]["sensors"], {r["cluster"]: r for r in rows})
 
     def costs(self, stacked: DataFrame) -> DataFrame:
         return scoring.cost_table(stacked, *self.arrays())
 
-    def predict(self, stacked: DataFrame) -> DataFrame:
+    def predict(self, stacked: DataFrame, chunks: int | None = None) -> DataFrame:
         """(series_id, t, cluster) of stacked windows (series_id, t, x, full)."""
         kinds = dict(stacked.dtypes)
         if kinds.get("x") != "array<double>" or "t" not in kinds:
             raise TypeError("windows need t and x array<double>")
+        shared = stacked.sparkSession.sparkContext.broadcast(self.arrays())
         p = self.parameters
-        if "c" in stacked.columns:
-            shared = stacked.sparkSession.sparkContext.broadcast(self.arrays())
-            return scoring.assign(stacked, p.beta, p.chunk, scoring.model_costs(shared))
-        return scoring.assign(self.costs(stacked), p.beta, p.chunk)
+        return scoring.assign(stacked, p.beta, p.rows(self.sensors), scoring.model_costs(shared), chunks)
 
 
 @dataclass
@@ -103,16 +126,13 @@ class Fit:
 
 
 def _solver(p: Parameters, sensors: int):
-    penalty = lasso.lag_scaled(p.lam, p.window, sensors) if p.lam_mode == "lag_scaled" else p.lam
+    penalty = p.penalties(sensors)
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        cluster = int(part["cluster"].iloc[0])
-        n, mean, m2 = moments.merged(part)
+    def one(cluster: int, n: int, mean: np.ndarray, m2: np.ndarray) -> tuple:
         cov = moments.covariance(n, m2, p.biased, cluster)
-        found = lasso.solve(cov, p.window, penalty, p.rho, eps_abs=p.eps, eps_rel=p.eps, floor=p.floor)
+        found = lasso.solve(cov, p.window, penalty, p.rho, eps_abs=p.eps, eps_rel=p.eps, floor=p.floor, rho_update=p.rho_update)
         log_det = -np.linalg.slogdet(found.theta)[1]
-        row = cluster, n, mean, cov.ravel(), found.theta.ravel(), found.sparse.ravel(), np.linalg.inv(found.theta).ravel(), log_det, found.iterations, found.converged
-        return pd.DataFrame([row], columns=[c.split()[0] for c in ROW.split(", ")])
+        return cluster, n, mean, cov.ravel(), found.theta.ravel(), found.sparse.ravel(), np.linalg.inv(found.theta).ravel(), log_det, found.iterations, found.converged
 
     return one
 
@@ -120,17 +140,17 @@ def _solver(p: Parameters, sensors: int):
 def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: int) -> dict[int, dict]:
     """Mean and sparse inverse covariance of each cluster that has windows: a task for each cluster, K rows back."""
     if "c" in stacked.columns:
-        partial = moments.partial_moments_dealt(stacked, assigned.withColumn("c", chunk_of(F.col("t"), max(p.chunk, p.window))))
+        partial = moments.partial_moments_dealt(stacked, assigned.withColumn("c", chunk_of(F.col("t"), p.rows(sensors))))
     else:
         partial = moments.partial_moments(stacked.join(assigned, ["series_id", "t"]).select("cluster", "x"))
-    table = partial.groupBy("cluster").applyInPandas(_solver(p, sensors), ROW)
-    return {r["cluster"]: r.asDict() for r in table.collect()}
+    return {r["cluster"]: r.asDict() for r in moments.finished(partial, _solver(p, sensors), ROW).collect()}
 
 
 def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     keys = stacked.select("series_id", "t", "x")
     if p.init == "random":
-        return keys.select("series_id", "t", F.pmod(F.xxhash64("series_id", "t", F.lit(p.seed)), F.lit(p.clusters)).cast("int").alias("cluster"))
+        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(p.seed)))), 1, 8), 16, 10).cast("bigint")
+        return keys.select("series_id", "t", (drawn % p.clusters).cast("int").alias("cluster"))
     vectors = keys.withColumn("features", array_to_vector("x"))
     kinds = {"kmeans": lambda: KMeans(k=p.clusters, seed=p.seed), "gmm": lambda: GaussianMixture(k=p.clusters, seed=p.seed)}
     if p.init not in kinds:
@@ -159,35 +179,60 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
     return assigned.withColumn("cluster", cluster)
 
 
+def checked(series: DataFrame, sensors: int) -> int:
+    """How many rows the longest series has; an error that names the sensor if a value is missing."""
+    missing = F.array_position(F.transform("x", lambda v: v.isNull() | F.isnan(v)), True)
+    wrong = F.when(F.coalesce(F.size("x"), F.lit(-1)) != sensors, F.lit(0)).when(missing > 0, missing)
+    found = series.agg(F.min(wrong).alias("first"), F.count(wrong).alias("n"), F.max("t").alias("last")).first()
+    if found["first"] == 0:
+        raise ValueError(f"rows do not have {sensors} sensors")
+    if found["n"]:
+        raise ValueError(f"{found['n']} rows have no number, the first of them in sensor {found['first'] - 1}; fill or drop them first")
+    return 0 if found["last"] is None else found["last"] + 1
+
+
+def census(assigned: DataFrame) -> dict[int, tuple]:
+    """For each cluster its number of windows and two digests of which they are: equal for equal labels, in one pass without a join."""
+    key = F.xxhash64("series_id", "t")
+    found = assigned.groupBy("cluster").agg(F.count("*"), F.bit_xor(key), F.sum(F.hash("t", "series_id").cast("bigint")))
+    return {r[0]: tuple(r)[1:] for r in found.collect()}
+
+
 def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFrame | None = None, with_bic: bool = False) -> Fit:
-    """Fits ``series`` (series_id, t from 0, x). ``labels``: (series_id, t, cluster) to start from.
+    """Fits ``series`` (series_id, t from 0 without gaps, x). ``labels``: (series_id, t, cluster) to start from.
 
     Labels are compared with those of the round before, before its repair. As long as a cluster
     stays empty the rounds go on, to ``most_rounds`` at most. The windows are dealt by chunk of time
-    once and held; a round moves labels, moments and a K x K matrix for each chunk.
+    once and held; a round moves labels, moments, the windows' K costs, and a K x K matrix for each
+    chunk. Labels older than the round before are deleted.
     """
-    p = parameters
-    dealt = int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stacked = windows.stack(stored(series), p.window, sensors, p.tail, p.chunk, dealt).persist()
-    assigned = stored(labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(stacked, p))
-    model, before, converged, turn = Model(p, sensors), None, False, 0
+    p, spark = parameters, series.sparkSession
+    LOG.info("fit of %d sensors: %s", sensors, p)
+    rows, tables = checked(series, sensors), Tables(spark, "fit")
+    chunks = -(-rows // p.rows(sensors))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stacked = windows.stack(stored(series), p.window, sensors, p.tail, p.rows(sensors), dealt).persist()
+    start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(stacked, p)
+    assigned, model, before, converged, turn = tables.write(start, "start"), Model(p, sensors), None, False, 0
     for turn in range(p.most_rounds):
         model.rows |= estimate(stacked, assigned, p, sensors)
-        found = stored(model.predict(stacked))
-        sizes = {r["cluster"]: r["n"] for r in moments.counts(found, p.clusters).collect()}
-        empty = [k for k in range(p.clusters) if not sizes[k]]
-        assigned = stored(repair(found, model, empty, p, turn)) if empty and turn else found
-        LOG.info("round %d: %s", turn, sizes)
-        if before is not None:
-            moved = assigned.join(before.withColumnRenamed("cluster", "was"), ["series_id", "t"]).where("cluster <> was")
-            converged = moved.isEmpty()
-        before = found
+        found = tables.write(model.predict(stacked, chunks), f"found_{turn}")
+        now = after = census(found)
+        empty = [k for k in range(p.clusters) if k not in now]
+        assigned = found
+        if empty and turn:
+            assigned = tables.write(repair(found, model, empty, p, turn), f"repaired_{turn}")
+            after = census(assigned)
+        LOG.info("round %d: %s", turn, {k: now.get(k, (0,))[0] for k in range(p.clusters)})
+        converged, before = before == after, now
+        for old in (f"found_{turn - 2}", f"repaired_{turn - 2}", "start"):
+            if turn > 1 or old == "start":
+                tables.drop(old)
         if converged:
             break
     score = None
     if with_bic:
-        rows = series.count()
-        score = metrics.bic(assigned, information(model, series.sparkSession), rows, p.threshold).first()["bic"]
+        score = metrics.bic(assigned, information(model, spark), series.count(), p.threshold).first()["bic"]
     stacked.unpersist()
     return Fit(assigned, model, turn + 1, converged, score)
 
@@ -205,13 +250,8 @@ def mixture(windows_: DataFrame, p: Parameters) -> GaussianMixtureModel:
 
 def sample_networks(labelled: DataFrame, biased: bool = False) -> DataFrame:
     """(cluster, theta): the plain inverse covariance of the windows (cluster, x) of any clustering, as a baseline."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        n, _, m2 = moments.merged(part)
-        cluster = int(part["cluster"].iloc[0])
-        return pd.DataFrame([(cluster, np.linalg.pinv(moments.covariance(n, m2, biased, cluster), hermitian=True).ravel())], columns=["cluster", "theta"])
-
-    return moments.partial_moments(labelled).groupBy("cluster").applyInPandas(one, "cluster int, theta array<double>")
+    one = lambda cluster, n, mean, m2: (cluster, np.linalg.pinv(moments.covariance(n, m2, biased, cluster), hermitian=True).ravel())
+    return moments.finished(moments.partial_moments(labelled), one, "cluster int, theta array<double>")
 
 
 def mixture_networks(model: GaussianMixtureModel) -> DataFrame:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
-from tidemark.operators import lasso, metrics, moments, prepare, scoring, windows
+from tidemark.operators import metrics, moments, prepare, scoring, windows
 from tidemark.operators.ordering import with_rank
 from tidemark.plans import fit as fitting
 from tidemark.plans.storage import shared_folder, stored
@@ -164,10 +163,7 @@ def mrf_diag(spark, sf_dir):
 
 
 def mrf_2var(spark, sf_dir):
-    pair = scaled(spark, sf_dir).select("series_id", "t", F.slice("x", 1, 2).alias("x"), F.lit(True).alias("full"))
-    p = fitting.Parameters(window=1, clusters=K, lam=0.002, init="given", rho=0.001, floor=0.0, eps=1e-12)
-    model = fitting.Model(p, 2, fitting.estimate(pair, given(pair), p, 2))
-    return model.networks(spark).select("cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), _tidy("v", 2).alias("v"))
+    return dense_model(spark, sf_dir).networks(spark).select("cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), _tidy("v", 2).alias("v"))
 
 
 def cost_matrix_diag(spark, sf_dir):
@@ -327,9 +323,67 @@ def heldout_mixture(spark, sf_dir):
     return fitting.mixture_assign(model, held).select("t", "cluster")
 
 
+def pair_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two sensors, whose inverse covariance SQL can write down with all its entries."""
+    return scaled(spark, sf_dir).select("series_id", "t", F.slice("x", 1, 2).alias("x"))
+
+
+PAIR_LAM, PAIR_BETA = 0.002, 1.5
+
+
+def _pair_parameters(**more) -> fitting.Parameters:
+    return fitting.Parameters(window=1, clusters=K, lam=PAIR_LAM, beta=PAIR_BETA, init="given", rho=0.001, floor=0.0, eps=1e-12, chunk=PACE, **more)
+
+
+def dense_model(spark: SparkSession, sf_dir: str) -> fitting.Model:
+    """Two sensors under a small penalty: matrices off the diagonal too."""
+    pair, p = pair_series(spark, sf_dir).withColumn("full", F.lit(True)), _pair_parameters()
+    return fitting.Model(p, 2, fitting.estimate(pair, given(pair), p, 2))
+
+
+def _dense_found(spark, sf_dir):
+    return dense_model(spark, sf_dir).predict(pair_series(spark, sf_dir).withColumn("full", F.lit(True)))
+
+
+def cost_matrix_dense(spark, sf_dir):
+    costs = dense_model(spark, sf_dir).costs(pair_series(spark, sf_dir).withColumn("full", F.lit(True)))
+    return costs.select("t", F.posexplode("cost").alias("cluster", "cost")).select("t", "cluster", _tidy("cost", 3).alias("cost"))
+
+
+def viterbi_labels_dense(spark, sf_dir):
+    return _dense_found(spark, sf_dir).select("t", "cluster")
+
+
+def segments_dense(spark, sf_dir):
+    return prepare.segments(_dense_found(spark, sf_dir), PACE).select("segment_id", "cluster", "t_start", "t_end", "len")
+
+
+def bic_dense(spark, sf_dir):
+    model, length = dense_model(spark, sf_dir), axis(spark, sf_dir)[1]
+    found = stored(_dense_found(spark, sf_dir))
+    return metrics.bic(found, fitting.information(model, spark), length).select(F.round("bic", 0).alias("bic"))
+
+
+def fit_dense_round(spark, sf_dir):
+    """One round of a fit from given labels, with networks that are not diagonal."""
+    pair = pair_series(spark, sf_dir)
+    return fitting.fit(pair, 2, _pair_parameters(most_rounds=1), given(pair)).assignments.select("t", "cluster")
+
+
+def fit_three_rounds(spark, sf_dir):
+    """Three rounds from given labels: each round's networks are those of the labels before."""
+    pair = pair_series(spark, sf_dir)
+    return fitting.fit(pair, 2, _pair_parameters(most_rounds=3), given(pair)).assignments.select("t", "cluster")
+
+
+FIT_ROUNDS = 10
+
+
 def fit_events(spark, sf_dir):
-    p = fitting.Parameters(window=W, clusters=K, lam=0.01, beta=20, most_rounds=8)
-    return fitting.fit(scaled(spark, sf_dir), N, p).assignments.select("t", "cluster")
+    """Labels after at most ``FIT_ROUNDS`` rounds; how many there were, and whether the labels stand still."""
+    p = fitting.Parameters(window=W, clusters=K, lam=0.01, beta=20, most_rounds=FIT_ROUNDS)
+    found = fitting.fit(scaled(spark, sf_dir), N, p)
+    return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
 
 def fit_given_labels(spark, sf_dir):
@@ -349,8 +403,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_lineitem_daily(spark, sf_dir):
     series = daily(spark, sf_dir)
-    p = fitting.Parameters(window=2, clusters=3, lam=0.01, beta=20, most_rounds=6)
-    return fitting.fit(prepare.range_normalize(series, 3), 3, p).assignments.select("t", "cluster")
+    p = fitting.Parameters(window=2, clusters=3, lam=0.01, beta=20, most_rounds=FIT_ROUNDS)
+    found = fitting.fit(prepare.range_normalize(series, 3), 3, p)
+    return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
 
 def fit_embeddings(spark, sf_dir):
@@ -358,32 +413,48 @@ def fit_embeddings(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     keyed = e.select(F.lit("0").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
     series = with_rank(keyed).drop("t").withColumnRenamed("rank", "t")
-    labels = series.select("series_id", "t", (F.col("label") % 3).cast("int").alias("cluster"))
-    p = fitting.Parameters(window=1, clusters=3, lam=0.05, beta=50, most_rounds=2, init="given")
-    return fitting.fit(series.select("series_id", "t", "x"), 64, p, labels).assignments.select("t", "cluster")
+    labels = series.select("series_id", "t", F.col("label").cast("int").alias("cluster"))
+    p = fitting.Parameters(window=1, clusters=10, lam=0.05, beta=50, init="given", most_rounds=FIT_ROUNDS)
+    found = fitting.fit(series.select("series_id", "t", "x"), 64, p, labels)
+    return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
 
-def stream_score(spark, sf_dir):
-    """The series as a stream of files, scored in order of time and written as it goes."""
+def _streamed(spark, sf_dir, lag):
+    """The series as a stream of files, one a micro-batch in order of time, scored and written as it goes."""
     series, model = scaled(spark, sf_dir), diagonal_model(spark, sf_dir)
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
-    series.write.parquet(f"{place}/in")
-    stream = score_stream(spark.readStream.schema(series.schema).parquet(f"{place}/in"), model)
-    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
+    cut = -(-axis(spark, sf_dir)[1] // 4)
+    for k in range(4):
+        series.where(F.floor(F.col("t") / cut) == k).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(series.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    run = score_stream(source, model, lag).writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
     run.awaitTermination()
     return spark.read.schema("series_id string, t bigint, cluster int").parquet(f"{place}/out").select("t", "cluster")
 
 
+def stream_score(spark, sf_dir):
+    """The label of each window as known when its last observation comes."""
+    return _streamed(spark, sf_dir, 0)
+
+
+LAG = 5
+
+
+def stream_score_lagged(spark, sf_dir):
+    """The label of each window as known ``LAG`` windows later."""
+    return _streamed(spark, sf_dir, LAG)
+
+
 def synthetic(spark, sf_dir):
     return readers.long_form(synth.synthetic_series(spark, 3).select("series_id", "t", "x"))
 
 
 def lasso_zero_penalty(spark, sf_dir):
-    """Without a penalty a block-Toeplitz inverse is found again: entries of it and of the solution."""
-    theta = synth.precision(3, 2, 0.5, 4)
-    found = lasso.solve(np.linalg.inv(theta), 3, 0.0, floor=1e-9).theta
-    rows = [(i, j, round(float(theta[i, j]), 3), abs(float(found[i, j] - theta[i, j])) < 1e-2) for i in range(6) for j in range(6)]
-    return spark.createDataFrame(rows, "i int, j int, v double, found boolean")
+    """Without a penalty the solver ends at the plain inverse covariance."""
+    pair = pair_series(spark, sf_dir).withColumn("full", F.lit(True))
+    p = fitting.Parameters(window=1, clusters=K, lam=0.0, init="given", rho=0.001, floor=0.0, eps=1e-12)
+    table = fitting.Model(p, 2, fitting.estimate(pair, given(pair), p, 2)).networks(spark, "theta")
+    return table.select("cluster", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), _tidy("v", 1).alias("v"))
 
 
 _ROWS = (
@@ -391,5 +462,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged,
 )
 QUERIES = {f.__name__: f for f in _ROWS}

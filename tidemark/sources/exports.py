@@ -8,15 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def colours(assigned: DataFrame, palette: Sequence[str], every: int = 10, most: int = 40_000) -> DataFrame:
-    """The colour of each ``every``-th window's cluster, quoted; the first ``most`` windows."""
+def _some(assigned: DataFrame, every: int, most: int | None) -> DataFrame:
+    some = assigned.where(F.col("t") % every == 0)
+    return some if most is None else some.where(F.col("t") < most)
+
+
+def colours(assigned: DataFrame, palette: Sequence[str], every: int = 10, most: int | None = None) -> DataFrame:
+    """The colour of each ``every``-th window's cluster, quoted; of all windows, or of those before ``most``."""
     names = F.array(*[F.lit(c) for c in palette])
-    return assigned.where((F.col("t") % every == 0) & (F.col("t") < most)).select("series_id", "t", F.format_string('"%s"', F.element_at(names, F.col("cluster") + 1)).alias("colour"))
+    return _some(assigned, every, most).select("series_id", "t", F.format_string('"%s"', F.element_at(names, F.col("cluster") + 1)).alias("colour"))
 
 
-def locations(assigned: DataFrame, places: DataFrame, every: int = 10, most: int = 40_000) -> DataFrame:
+def locations(assigned: DataFrame, places: DataFrame, every: int = 10, most: int | None = None) -> DataFrame:
     """Coordinates (series_id, t, lat, lon) of the same windows, as text for a map."""
-    some = assigned.where((F.col("t") % every == 0) & (F.col("t") < most)).select("series_id", "t")
+    some = _some(assigned, every, most).select("series_id", "t")
     return some.join(places, ["series_id", "t"]).select("series_id", "t", F.format_string("new GLatLng(%s, %s)", F.col("lat").cast("string"), F.col("lon").cast("string")).alias("point"))
 
 

@@ -22,6 +22,11 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[int], sep: str
     return with_ordinal(table.select(*[F.col(f"`{table.columns[i]}`").cast("double").alias(f"s{k}") for k, i in enumerate(columns)]))
 
 
+def as_series(table: DataFrame, columns: Sequence[str], series_id: str = "0") -> DataFrame:
+    """(series_id, t, x) of a table with ``t`` and a column for each sensor, nulls kept."""
+    return table.select(F.lit(series_id).alias("series_id"), F.col("t").cast("bigint").alias("t"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+
+
 def read_matrix(spark: SparkSession, path: str, k: int = 0, sep: str = ",") -> DataFrame:
     """A matrix file in long form (k, i, j, v)."""
     rows = with_ordinal(spark.read.text(path).where("trim(value) <> ''"), "i")
@@ -48,8 +53,13 @@ def span(df: DataFrame, t: Column) -> tuple[int, int]:
 
 
 def pivoted(df: DataFrame, t: Column, key: Column, value: Column, keys: Sequence[str], length: Column | int, digits: int | None = 4) -> DataFrame:
-    """A series of sums: one row for each t from 0 to ``length`` - 1, one sensor for each key, 0 where none."""
+    """A series of sums: one row for each t from 0 to ``length`` - 1, one sensor for each key, 0 where none.
+
+    A row with one of the keys and a ``t`` that the axis does not hold is an error, never left out.
+    """
     own = df.select(t.cast("bigint").alias("t"), key.alias("k"), value.alias("v")).where(F.col("k").isin(*keys))
+    inside = F.col("t").between(0, F.lit(length) - 1) | F.col("t").isNull()
+    own = own.withColumn("t", F.when(inside, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("the axis does not hold t = "), F.col("t").cast("string"))).cast("bigint")))
     sums = own.groupBy("t").agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"s{i}") for i, k in enumerate(keys)])
     spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length).cast("bigint") - 1)).alias("t")).where(F.col("t").between(0, F.lit(length) - 1))
     tidy = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits) if digits is not None else F.coalesce(c, F.lit(0.0))
