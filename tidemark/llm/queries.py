@@ -216,7 +216,7 @@ l AS (
   SELECT rid, doc_id, len(ls) AS n, i, ls[i] AS line, ('0x' || substr(md5(ls[i]), 1, 8))::BIGINT % {_L.PRIME} AS v
   FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 r AS (
-  SELECT *, (v + coalesce(lag(v, 1) OVER o, 0) * {_L.BASE} % {_L.PRIME} + coalesce(lag(v, 2) OVER o, 0) * {pow(_L.BASE, 2, _L.PRIME)} % {_L.PRIME}) % {_L.PRIME} AS x
+  SELECT *, (v + coalesce(lag(v, 1) OVER o, 0) * {_L.BASE} % {_L.PRIME}) % {_L.PRIME} AS x
   FROM l WINDOW o AS (PARTITION BY rid ORDER BY i)),
 cut AS (
   SELECT *, CASE WHEN i >= 2 AND i <= n - 2 AND x < lag(x) OVER o AND x <= lead(x) OVER o THEN 1 ELSE 0 END AS c
