@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.columns import col
 
-SAMPLE_DOCS, SAMPLE_SEED = 20_000, 11
-FREQUENT = 65_536
-CACHE, CACHED_CHARS = 400_000, 64
+SAMPLE_DOCS, SAMPLE_SEED = 10_000, 11
+FREQUENT, OF_A_TASK = 65_536, 16_384
+CACHE, CACHED_CHARS = 200_000, 64
 LIMIT = 2048
 _LETTERS = "a-zß-öø-ÿ"
 #: The pre-tokens of lower-cased texts that consist of PLAIN characters.
@@ -75,27 +75,30 @@ class Lengths:
         return out
 
 
-def _by_size(texts: list, most: int = 1 << 20) -> Iterator[slice]:
-    """Slices of texts with together about ``most`` characters."""
-    at, n = 0, 0
-    for k, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most:
-            yield slice(at, k + 1)
-            at, n = k + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
+def _by_size(column: pa.Array, most: int = 1 << 19) -> Iterator[list[str | None]]:
+    """Texts of a column, as many at a time as have together about ``most`` characters: few are Python objects at once."""
+    held, n = [], 0
+    for at in range(0, len(column), 64):
+        for t in column.slice(at, 64).to_pylist():
+            held.append(t)
+            n += len(t or "")
+            if n >= most:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
 
 
 def _common(most: int):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and PLAIN.fullmatch(text):
-                    seen.update(p for p in PRE_TOKENS.findall(text.lower()) if len(p) <= CACHED_CHARS)
-            if len(seen) > 20 * most:
-                seen = Counter(dict(seen.most_common(10 * most)))
+            for texts in _by_size(batch.column(0)):
+                for text in texts:
+                    if text and PLAIN.fullmatch(text):
+                        seen.update(p for p in PRE_TOKENS.findall(text.lower()) if len(p) <= CACHED_CHARS)
+                if len(seen) > 8 * most:
+                    seen = Counter(dict(seen.most_common(4 * most)))
         top = seen.most_common(most)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
@@ -106,7 +109,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", sa
     """The commonest pre-tokens of a bounded sample, joined by newlines, and their lengths (1 to 255)."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     sample = docs.select(col(text_col).alias("text")).where(F.rand(SAMPLE_SEED) < share)
-    met = sample.mapInArrow(_common(most), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+    met = sample.mapInArrow(_common(OF_A_TASK), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
     pieces = [r["piece"] for r in met.orderBy(F.desc("n"), "piece").limit(most).collect()]
     sized = [(p, n) for p, n in zip(pieces, Lengths(tokenizer, ("", b"")).encode(pieces), strict=True) if 0 < n < 256]
     return "\n".join(p for p, _ in sized), bytes(n for _, n in sized)
@@ -117,8 +120,7 @@ def _count(tokenizer: str, frequent):
         lengths = Lengths(tokenizer, frequent.value)
         for batch in batches:
             ids, n_bytes, texts = batch.columns
-            texts = texts.to_pylist()
-            counts = [n for part in _by_size(texts) for n in lengths.count(texts[part])]
+            counts = [n for part in _by_size(texts) for n in lengths.count(part)]
             yield pa.RecordBatch.from_arrays([ids, n_bytes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return task
