@@ -5,10 +5,10 @@ inside the window, the smallest (leftmost on a tie). Equal windows have equal an
 offsets, and neighbouring windows mostly share theirs, so a run holds about one entry for every
 twelve windows and no repeat can be missed.
 
-The index is a list of immutable runs of postings (hash, row, place), each a table bucketed and
-sorted by hash, and the texts that they come from. A batch of documents becomes a new run; it is
+The index is a list of immutable runs of (hash, count), each a table bucketed and sorted by hash, and
+of every batch its texts and where in them its anchors are. A batch of documents becomes a new run; it is
 merge-joined with every older run, bucket by bucket, without a shuffle of the runs; runs of one tier
-are merged once there are ``fanout`` of them, so a posting is rewritten O(log batches) times. Hits
+are merged once there are ``fanout`` of them, so a hash is rewritten O(log batches) times. Hits
 are candidates only: the windows they stand for, neighbours of one anchor together where they can
 be, are verified by digests of their whole word sequence, 128 bits made from 128-bit hashes of the
 words, before anything is removed.
@@ -81,12 +81,12 @@ def fingerprints(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     return texts.mapInArrow(_fingerprint(window, gram), "h bigint, row bigint, at int")
 
 
-POSTINGS, TEXTS = "h bigint, row bigint, at int", "doc_id bigint, text binary, row bigint"
-MANIFEST = "version bigint, window int, gram int, fanout int, buckets int, base bigint, runs array<struct<tier:int,name:string>>, texts array<string>"
+RUN, ANCHORS, TEXTS = "h bigint, n bigint", "h bigint, row bigint, at int", "doc_id bigint, text binary, row bigint"
+MANIFEST = "version bigint, window int, gram int, fanout int, buckets int, base bigint, runs array<struct<tier:int,name:string>>, texts array<string>, anchors array<string>"
 
 
 class SubstringIndex:
-    """Sorted immutable runs of postings, each bucketed the same way, with a manifest.
+    """Sorted immutable runs of hashes, each bucketed the same way, with the batches behind them and a manifest.
 
     ``folder``: where the index is or shall be; without one it lives in the session's shared folder. An
     index that is there already is opened with the parameters it was made with. A manifest is
@@ -101,28 +101,30 @@ class SubstringIndex:
         self.version, self.base = 0, 0  #: of the manifest; the next row number
         self.runs: list[tuple[int, str]] = []
         self.texts: list[str] = []
+        self.anchors: list[str] = []
         self.done: list[str] = []  #: merged runs whose files are still there
         if folder and is_whole(spark, f"{self.work.path}/manifest"):
             last = spark.read.schema(MANIFEST).json(f"{self.work.path}/manifest").orderBy(F.desc("version")).first()
-            self.version, self.base, self.texts = last["version"], last["base"], list(last["texts"])
+            self.version, self.base, self.texts, self.anchors = last["version"], last["base"], list(last["texts"]), list(last["anchors"])
             self.window, self.gram, self.fanout, self.buckets = last["window"], last["gram"], last["fanout"], last["buckets"]
             self.runs = [(r["tier"], r["name"]) for r in last["runs"]]
 
     def _commit(self) -> None:
         self.version += 1
-        row = self.version, self.window, self.gram, self.fanout, self.buckets, self.base, self.runs, self.texts
+        row = self.version, self.window, self.gram, self.fanout, self.buckets, self.base, self.runs, self.texts, self.anchors
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.work.path}/manifest")
         for name in self.done:
             self.work.drop(name)
         self.done = []
 
     def _run(self, name: str) -> DataFrame:
-        return self.work.read_bucketed(name, POSTINGS, "h", self.buckets)
+        return self.work.read_bucketed(name, RUN, "h", self.buckets)
 
-    def _store(self, postings: DataFrame, tier: int) -> DataFrame:
+    def _store(self, counted: DataFrame, tier: int) -> DataFrame:
+        """(h, n) added up, as a run."""
         name = f"run_{uuid.uuid4().hex}"
         self.runs.append((tier, name))
-        return self.work.write_bucketed(postings, "h", name, self.buckets)
+        return self.work.write_bucketed(counted.groupBy("h").agg(F.sum("n").alias("n")), "h", name, self.buckets)
 
     def hold(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """Numbers the rows of a batch and keeps (doc_id, text, row), dealt by number."""
@@ -131,15 +133,21 @@ class SubstringIndex:
         self.texts.append(name)
         return texts
 
-    def append(self, postings: DataFrame) -> DataFrame:
-        """Appends (h, row, at) as a run; gives those hashes of them that were met before or are met twice."""
+    def find(self, texts: DataFrame, batches: int) -> list[DataFrame]:
+        """Keeps the anchors of texts that are held; gives them in so many parts."""
+        name, part = f"anchors_{uuid.uuid4().hex}", F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
+        self.anchors.append(name)
+        found = self.work.write(fingerprints(texts.select("row", "text"), self.window, self.gram).withColumn("part", part), name, ("part",))
+        return [found.where(F.col("part") == k) for k in range(batches)]
+
+    def append(self, hashes: DataFrame) -> DataFrame:
+        """Appends (h, …) as a run; gives those hashes of them that were met before or are met twice."""
         self.compact()
         older = [name for _, name in self.runs]
-        run = self._store(postings.select("h", "row", "at"), 0)
-        each = run.groupBy("h").agg(F.count("*").alias("n"))
-        hits = each.where("n > 1").select("h")
+        run = self._store(hashes.select("h", F.lit(1).cast("bigint").alias("n")), 0)
+        hits = run.where("n > 1").select("h")
         for name in older:
-            hits = hits.union(each.select("h").hint("merge").join(self._run(name).select("h"), "h", "left_semi"))
+            hits = hits.union(run.select("h").hint("merge").join(self._run(name).select("h"), "h"))
         return self.work.write(hits, f"hits_{uuid.uuid4().hex}")
 
     def compact(self) -> None:
@@ -156,7 +164,8 @@ class SubstringIndex:
 
     def places(self, hits: DataFrame) -> DataFrame:
         """(row, hit): where in each text, of any batch, the anchors with these hashes are."""
-        met = reduce(DataFrame.union, [self._run(name).join(hits, "h", "left_semi").select("row", "at") for _, name in self.runs])
+        every = reduce(DataFrame.union, [self.spark.read.schema(ANCHORS).parquet(f"{self.work.path}/{name}").select("h", "row", "at") for name in self.anchors])
+        met = every.join(hits, "h", "left_semi")
         return self.work.write(met.groupBy("row").agg(F.collect_list("at").alias("hit")), f"places_{uuid.uuid4().hex}")
 
     def without_repeats(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
@@ -170,7 +179,7 @@ class SubstringIndex:
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Adds a batch for good and gives what is left of its documents; the result is kept in the folder."""
         texts = self.hold(docs, id_col, text_col)
-        hits = self.append(fingerprints(texts.select("row", "text"), self.window, self.gram)).distinct()
+        hits = self.append(self.find(texts, 1)[0]).distinct()
         left = self.work.write(self.without_repeats(texts, self.work.write(hits, f"hits_{uuid.uuid4().hex}")), f"left_{self.version + 1}")
         self.base = (texts.agg(F.max("row")).first()[0] or self.base) + 1
         self._commit()
@@ -269,9 +278,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     The table enters the index in ``batches``, so that a run of the log is no larger than that.
     """
     index = SubstringIndex(docs.sparkSession, None, window, gram)
-    texts, work = index.hold(docs, id_col, text_col), index.work
-    batch = F.pmod(F.xxhash64("row"), F.lit(batches)).cast("int")
-    found = work.write(fingerprints(texts.select("row", "text"), window, gram).withColumn("batch", batch), "anchors", ("batch",))
-    hits = reduce(DataFrame.union, [index.append(found.where(F.col("batch") == b)) for b in range(batches)])
-    work.drop("anchors")
-    return index.without_repeats(texts, work.write(hits.distinct(), "repeated_anchors"))
+    texts = index.hold(docs, id_col, text_col)
+    hits = reduce(DataFrame.union, [index.append(part) for part in index.find(texts, batches)])
+    return index.without_repeats(texts, index.work.write(hits.distinct(), "repeated_anchors"))

@@ -54,28 +54,32 @@ class WordHashes(dict):
     def __init__(self, most: int = 400_000, most_bytes: int = 32 << 20):
         super().__init__()
         self.most, self.most_bytes, self.spent = most, most_bytes, 0
-        self.halves = np.empty((1024, 2), np.uint64)
+        self.high, self.low = np.empty(1024, np.uint64), np.empty(1024, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         place = len(self)
-        if place == len(self.halves):
-            self.halves = np.concatenate([self.halves, np.empty_like(self.halves)])
+        if place == len(self.high):
+            self.high, self.low = (np.concatenate([x, np.empty_like(x)]) for x in (self.high, self.low))
         h = xxhash.xxh3_128_intdigest(word)
-        self.halves[place] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+        self.high[place], self.low[place] = h >> 64, h & 0xFFFFFFFFFFFFFFFF
         self[word] = place
         self.spent += len(word)
         return place
 
-    def pair(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Both halves of the hashes, as two independent hashes of 64 bits."""
+    def _places(self, words: list[bytes]) -> np.ndarray:
         if len(self) > self.most or self.spent > self.most_bytes:
             self.clear()
             self.spent = 0
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.halves[places, 0], self.halves[places, 1]
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def pair(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of the hashes, as two independent hashes of 64 bits."""
+        places = self._places(words)
+        return self.high[places], self.low[places]
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return self.pair(words)[0]
+        places = self._places(words)  # may put a longer table in place
+        return self.high[places]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
