@@ -44,34 +44,51 @@ BATCHES = 4
 FANOUT = 2
 
 
+PLACE_BITS = 24
+
+
 def anchors(h: np.ndarray, span: int) -> np.ndarray:
-    """For each window of ``span`` entries of ``h``, the place of its leftmost smallest entry."""
+    """For each window of ``span`` entries of ``h``, the place of its leftmost smallest entry, by the upper 40 bits.
+
+    Place and entry share one number, so that a sliding minimum finds both. Equal windows agree
+    wherever they are: places only decide between entries that are equal in those bits.
+    """
     if len(h) < span:
         return np.empty(0, np.int64)
-    at, width = np.arange(len(h)), 1
+    most = 1 << PLACE_BITS
+    if len(h) > most:  # in parts that overlap by a window
+        step = most - span + 1
+        return np.concatenate([anchors(h[at : at + most], span) + at for at in range(0, len(h) - span + 1, step)])
+    low, width = (h & np.uint64(~(most - 1) & (1 << 64) - 1)) | np.arange(len(h), dtype=np.uint64), 1
     while width * 2 <= span:
-        a, b = at[: len(at) - width], at[width:]
-        at, width = np.where(h[a] <= h[b], a, b), width * 2
+        low, width = np.minimum(low[:-width], low[width:]), width * 2
     if width < span:
-        a, b = at[: len(h) - span + 1], at[span - width : span - width + len(h) - span + 1]
-        at = np.where(h[a] <= h[b], a, b)
-    return at
+        low = np.minimum(low[: len(h) - span + 1], low[span - width :])
+    return (low & np.uint64(most - 1)).astype(np.int64)
 
 
-def _fingerprint(window: int, gram: int):
+def _fingerprint(window: int, gram: int, docs: int = 256):
+    """Some documents at a time, their words in one array; windows that span two of them are none."""
     seen = WordHashes()
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, hashes = [], [], []
-            for row, text in rows_of([batch]):
-                grams = window_hashes(seen.of((text or b"").split()), gram)
+            for first in range(0, batch.num_rows, docs):
+                part = batch.slice(first, docs)
+                words, sizes = [], []
+                for text in part.column(1).to_pylist():
+                    own = (text or b"").split()
+                    words += own
+                    sizes.append(len(own))
+                ends = np.cumsum(sizes)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                grams = window_hashes(seen.of(words), gram)
                 picked = anchors(grams, window - gram + 1)
+                picked = picked[of[: len(picked)] == of[window - 1 :]] if len(picked) else picked
                 picked = picked[np.r_[True, picked[1:] != picked[:-1]]] if len(picked) else picked
-                hashes.append(grams[picked])
-                at.append(picked.astype(np.int32))
-                rows.append(np.full(len(picked), row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.empty(0, t)]).view(v)) for x, t, v in ((hashes, np.uint64, np.int64), (rows, np.int64, np.int64), (at, np.int32, np.int32))], ["h", "row", "at"])
+                doc = of[picked]
+                at = picked - (ends - sizes)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(grams[picked].view(np.int64)), pa.array(part.column(0).to_numpy(zero_copy_only=False)[doc]), pa.array(at.astype(np.int32))], ["h", "row", "at"])
 
     return task
 
@@ -189,9 +206,9 @@ class SubstringIndex:
 GROUPS = "row bigint, h bigint, start int, n int, d1 bigint, d2 bigint"
 
 
-def _pair(words: tuple[np.ndarray, np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each window, each from its own hash of the words."""
-    return window_hashes(words[0], window), window_hashes(words[1], window)
+def _pair(words: tuple[np.ndarray, np.ndarray], window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each window that begins at ``starts``, each from its own hash of the words."""
+    return window_hashes(words[0], window, starts), window_hashes(words[1], window, starts)
 
 
 def _mark(window: int, gram: int):
@@ -211,7 +228,8 @@ def _mark(window: int, gram: int):
             mine = np.isin(at[begin], hit)
             start, last = begin[mine], end[mine] - 1
             n = last - start + 1
-            digests = [mix(mix(w[start]) + w[last] * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for w in _pair(pair, window)]
+            begins, ends = _pair(pair, window, start), _pair(pair, window, last)
+            digests = [mix(mix(b) + e * np.uint64(3) + n.astype(np.uint64)).view(np.int64) for b, e in zip(begins, ends, strict=True)]
             columns = [np.full(len(start), row), grams[at[start]].view(np.int64), start.astype(np.int32), n.astype(np.int32), *digests]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["row", "h", "start", "n", "d1", "d2"])
 
@@ -226,7 +244,7 @@ def _windows(window: int):
         for row, text, groups in rows_of(batches):
             words = text.split()
             starts = np.concatenate([np.arange(g["start"], g["start"] + g["n"]) for g in groups])
-            d1, d2 = (w[starts].view(np.int64) for w in _pair(hashes.pair(words), window))
+            d1, d2 = (w.view(np.int64) for w in _pair(hashes.pair(words), window, starts))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), row)), pa.array(starts.astype(np.int32)), pa.array(d1), pa.array(d2)], ["row", "start", "d1", "d2"])
 
     return task

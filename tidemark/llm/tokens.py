@@ -89,21 +89,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of ``k`` consecutive items, built by doubling: O(n log k)."""
+_BASE = 0x9E3779B97F4A7C15
+_STEPS = tuple(np.ones(1, np.uint64) for _ in range(2))  #: powers of the base and of its inverse, as far as they were needed
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _STEPS
+    if len(_STEPS[0]) < n:
+        size, out = max(n, 1 << 16), []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            each = np.full(size, np.uint64(base))
+            each[0] = 1
+            out.append(np.cumprod(each, dtype=np.uint64))
+        _STEPS = tuple(out)
+    return _STEPS[0][:n], _STEPS[1][:n]
+
+
+def window_hashes(h: np.ndarray, k: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all windows of ``k`` consecutive items, or of those that begin at ``starts``: a polynomial of the items mod 2^64, mixed."""
     n = len(h)
     if n < k:
         return np.empty(0, np.uint64)
-    done, out, power, span = 0, None, h, 1
-    while True:
-        if k & span:
-            if out is None:
-                out, done = power, span
-            else:  # the windows of the bits so far, followed by this power's
-                m = len(power) - done
-                out, done = mix(out[:m] * np.uint64(0x9E3779B97F4A7C15) + power[done : done + m]), done + span
-        span *= 2
-        if span > k:
-            return out[: n - k + 1]
-        m = len(power) - span // 2
-        power = mix(power[:m] * np.uint64(0xD6E8FEB86659FD93) + power[span // 2 : span // 2 + m])
+    up, down = _powers(n + 1)
+    upto = np.zeros(n + 1, np.uint64)
+    np.cumsum(h * up[:n], out=upto[1:])
+    if starts is None:
+        return mix((upto[k:] - upto[:-k]) * down[: n - k + 1])
+    return mix((upto[starts + k] - upto[starts]) * down[starts])
