@@ -46,8 +46,8 @@ def test_no_documents(spark):
 
 def test_index_grows_run_by_run(spark):
     index = substring_dedup.SubstringIndex(spark, buckets=4)
-    postings = lambda *h: spark.createDataFrame([(x, k, 0) for k, x in enumerate(h)], substring_dedup.POSTINGS)
-    met = [sorted({r["h"] for r in index.append(postings(*b)).collect()}) for b in ((1, 2), (2, 3), (5, 5), (1, 3, 9), (5, 7))]
+    hashes = lambda *h: spark.createDataFrame([(x,) for x in h], "h bigint")
+    met = [sorted({r["h"] for r in index.append(hashes(*b)).collect()}) for b in ((1, 2), (2, 3), (5, 5), (1, 3, 9), (5, 7))]
     assert met == [[], [2], [5], [1, 3], [5]]
     assert len(index.runs) <= 3
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("run_", "texts_", "tidemark_"))]
@@ -67,20 +67,30 @@ def test_batches_of_several_sessions(spark, tmp_path):
     index = substring_dedup.SubstringIndex(spark, folder)
     assert index.version == 4 and len(index.texts) == 4 and len(index.runs) < 4
     broken = substring_dedup.SubstringIndex(spark, folder)  # a batch that never ends changes nothing
-    broken.append(substring_dedup.fingerprints(broken.hold(frame(spark, last), "doc_id", "text").select("row", "text")))
+    broken.append(broken.find(broken.hold(frame(spark, last), "doc_id", "text"), 1)[0])
     again = substring_dedup.SubstringIndex(spark, folder)
     assert (again.runs, again.texts) == (index.runs, index.texts)
     got = again.add(frame(spark, [(300, prose(91, 80), "en"), (301, prose(92, 80), "en")])).select("doc_id", "n_removed")
     assert as_rows(got) == [(300, 80), (301, 0)]
 
 
+@given(st.lists(st.integers(0, 5), max_size=80), st.integers(1, 9), st.sampled_from([4, 24]))
+@settings(max_examples=80, deadline=None)
+def test_anchors_are_leftmost_smallest(items, span, bits):
+    h = window_hashes(np.array(items, np.uint64), 1)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring_dedup, "PLACE_BITS", bits)
+        got = substring_dedup.anchors(h, min(span, 1 << bits)).tolist()
+    assert got == [i + int(np.argmin(h[i : i + span] >> np.uint64(24))) for i in range(len(h) - span + 1)]
+
+
 def brute_lines(texts):
     """Chunks by a plain reading of the rule."""
     found = []
     for t in texts:
         lines = [] if t is None else t.split("\n")
         v = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) % line_dedup.PRIME for x in lines]
-        r = [sum(v[i - j] * line_dedup.BASE**j for j in range(3) if i >= j) % line_dedup.PRIME for i in range(len(v))]
+        r = [sum(v[i - j] * line_dedup.BASE**j for j in range(line_dedup.WINDOW) if i >= j) % line_dedup.PRIME for i in range(len(v))]
         cuts = [i + 1 for i in range(1, len(lines) - 2) if r[i] < r[i - 1] and r[i] <= r[i + 1]]
         found.append([lines[a:b] for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True)] if lines else [])
     return found
