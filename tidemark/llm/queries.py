@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, line_dedup, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter
+from tidemark.llm import alignment, decontaminate, exact_dedup, language_id, line_dedup, merkle, packing, quality_rules, sharding, simhash, substring_dedup, token_counts, url_filter
+from tidemark.llm.textsql import ascii_lower
 
 #: Where the public tokenizers' files are; a parameter of the operators that need one.
 TOKENIZERS = public_tokenizers
@@ -75,6 +76,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), TOKENIZERS.path("word_bpe_49k.json"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(_documents(spark, sf_dir), TOKENIZERS.path("byte_bpe_50k.json"), TOKENIZERS.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, held against texts of which some were tampered with: one row in five has its text lower-cased."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    claim = F.when(tampered, merkle.leaf_of(merkle.COLUMNS, {"text": ascii_lower(F.col("text"))}))
+    found = merkle.manifest(_documents(spark, sf_dir), claim)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +105,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_counts": op10_token_counts,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _OP1 = """
@@ -233,4 +255,39 @@ SELECT doc_id, len(ls)::BIGINT AS n_lines, (len(ls) - coalesce(kept, 0))::BIGINT
 FROM d LEFT JOIN left_over USING (rid)
 """
 
-ORACLES = {"op6_rendezvous_shards": _OP6, "op2_line_dedup": _OP2, "op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
+_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER p AS keep_id, count(*) OVER p AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST, rid) = 1 AS kept, sha256(t) AS text_sha256
+FROM d WINDOW p AS (PARTITION BY t)
+"""
+
+
+def _merkle_sql(levels: int = 6, upper: int = 4) -> str:
+    """A level of each tree after the other; ``levels`` and ``upper``: how many runs lead from a leaf, and from a group, to its root at most."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join([*map(field, ("doc_id", "source", "lang", "n_chars")), text]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        "steps AS (SELECT list_transform(range(0, 256), lambda b: list_reduce([b::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS s)",
+        f"""d AS (SELECT doc_id, source, {leaf(field("text"))} AS leaf, {leaf(field(lower))} AS bad,
+          coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, s[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0, false) AS tampered FROM documents, steps)""",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d)",
+        "a0 AS (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM l)",
+    ]
+    for name, many in (("a", levels), ("b", upper)):
+        for k in range(many):
+            run = "WINDOW r AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), f AS (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+            parts.append(f"p{name}{k} AS (SELECT tree, i, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER r, '') ELSE '' END AS u, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER f, '') ELSE '' END AS v FROM {name}{k} {run})")
+            parts.append(f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + 15) // 16 AS n FROM {name}{k} GROUP BY tree, i // 16)")
+        if name == "a":
+            parts.append(f"b0 AS (SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS n FROM a{levels})")
+    parts.append("f0 AS (SELECT *, CASE WHEN tampered THEN bad ELSE leaf END AS fold, '' AS proof FROM l)")
+    steps = [(f"pa{k}", f"p.tree = f.tree AND p.i = f.i // {16**k}") for k in range(levels)] + [(f"pb{k}", f"p.i = f.tree // {16**k}") for k in range(upper)]
+    for k, (part, on) in enumerate(steps):
+        parts.append(f"f{k + 1} AS (SELECT f.* REPLACE (CASE WHEN p.n > 1 THEN sha256(u || fold || v) ELSE fold END AS fold, proof || u || v AS proof) FROM f{k} f JOIN {part} p ON {on})")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, a.h AS subroot, b.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = b.h AS verified FROM f{len(steps)} f JOIN a{levels} a ON a.tree = f.tree, b{upper} b
+"""
+
+
+ORACLES = {"op11_exact_dedup": _OP11, "op13_merkle_manifest": _merkle_sql(), "op6_rendezvous_shards": _OP6, "op2_line_dedup": _OP2, "op8_decontaminate": _OP8, "op1_substring_dedup": _OP1, "op3_quality_rules": _OP3, "op7_url_filter": _OP7}
