@@ -87,6 +87,28 @@ def test_chunked_assignment_is_the_sequential_one(spark, beta, levels, monkeypat
     assert scoring.assign(table.limit(0), beta, 10).count() == 0
 
 
+@given(st.integers(1, 60), st.integers(1, 4), st.integers(1, 20), st.floats(0, 5), st.integers(0, 10**6))
+@settings(max_examples=80, deadline=None)
+def test_rolling_blocks_end_as_their_own_path(t, k, block, beta, seed):
+    costs = np.random.default_rng(seed).normal(size=(t, k))
+    got = scoring.last_labels(costs, beta, block)
+    assert got.tolist() == [sequential(costs[i : i + block], beta)[-1] for i in range(t - block + 1)]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+@pytest.mark.parametrize("block", [1, 5, 30])
+def test_rolling_over_chunks(spark, block, chunk):
+    made = {s: np.random.default_rng(3).normal(size=(n, 3)) for s, n in (("a", 80), ("b", 31), ("c", 4))}
+    table = spark.createDataFrame([(s, t, c.tolist()) for s, costs in made.items() for t, c in enumerate(costs)], "series_id string, t bigint, cost array<double>")
+    first = table.select("series_id", "t", F.lit(9).alias("cluster"))
+    got = scoring.rolling(table.repartition(3), 0.7, block, chunk, first=first).toPandas().sort_values("t")
+    for s, costs in made.items():
+        want = [9] * min(block, len(costs)) + [sequential(costs[i - block : i], 0.7)[-1] for i in range(block, len(costs))]
+        assert got[got.series_id == s].cluster.tolist() == want
+    with pytest.raises(ValueError):
+        scoring.rolling(table, 1.0, 0)
+
+
 def test_stack_over_chunks(spark):
     x = np.arange(60.0).reshape(30, 2)
     n = 30 - 3 + 1

@@ -298,6 +298,69 @@ def assign(costs: DataFrame, beta: float, chunk: int = CHUNK, costs_of=given_cos
     return met.select("series_id", "k", "t", "cost", "after", "entry").mapInPandas(_labels(beta), "series_id string, t bigint, cluster int")
 
 
+def last_labels(costs: np.ndarray, beta: float, block: int) -> np.ndarray:
+    """For every run of ``block`` rows the last cluster of its own cheapest path; of equal ones the lower.
+
+    Cuts at every ``block``-th row meet each run once. What lies before the cut is, for each cluster at its
+    end, the cheapest way from the run's start (a matrix stepped backwards, then its least rows); what lies
+    behind is a matrix stepped forwards from each cluster before the cut. So a row costs K x K steps
+    whatever the length of a block, and all stretches between cuts step side by side.
+    """
+    rows, k = costs.shape
+    n = rows - block + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    many = -(-rows // block)
+    cut = np.zeros((many * block, k))
+    cut[:rows] = costs
+    cut = cut.reshape(many, block, k)
+    unit = np.where(np.eye(k, dtype=bool), 0.0, np.inf)
+    before, behind = np.empty(cut.shape), np.empty((many, block, k, k))
+    ways = np.broadcast_to(unit, (many, k, k))  # [from, to]
+    for at in range(block - 1, -1, -1):
+        step = ways if at == block - 1 else np.minimum(ways, ways.min(1, keepdims=True) + beta)
+        ways = step + cut[:, at, :, None]
+        before[:, at] = ways.min(1)
+    ways = np.broadcast_to(unit, (many, k, k))
+    for at in range(block):
+        ways = np.minimum(ways, ways.min(2, keepdims=True) + beta) + cut[:, at, None, :]
+        behind[:, at] = ways
+    first = np.arange(n)
+    ends = before.reshape(-1, k)[first]
+    over = first % block > 0  # runs that reach over a cut
+    after = behind.reshape(-1, k, k)[first[over] + block - 1]
+    ends[over] = (ends[over][:, :, None] + after).min(1)
+    return ends.argmin(1)
+
+
+def _rolling(beta: float, block: int, chunk: int, costs_of):
+    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("t")
+        t = part["t"].to_numpy(np.int64)
+        if len(t) and t[-1] - t[0] + 1 != len(t):
+            raise ValueError(f"t has gaps or repeats in series {key[0]}")
+        found = last_labels(costs_of(part), beta, block)
+        at = t[0] + block + np.arange(len(found))
+        own = (at // chunk == key[1]) & (at <= t[-1])
+        return pd.DataFrame({"series_id": key[0], "t": at[own], "cluster": found[own].astype(np.int32)})
+
+    return one
+
+
+def rolling(costs: DataFrame, beta: float, block: int, chunk: int = CHUNK, costs_of=given_costs, first: DataFrame | None = None) -> DataFrame:
+    """(series_id, t, cluster): the last label of the cheapest path over nothing but the ``block`` windows before ``t``.
+
+    The first ``block`` rows of a series have no whole block before them: they take the labels ``first``
+    (series_id, t, cluster) if given, or are left out. A chunk also gets the ``block`` rows before it.
+    """
+    if beta < 0 or block < 1:
+        raise ValueError("beta must not be negative, and a block holds a window at least")
+    chunk = max(chunk, block)
+    homes = F.array_distinct(F.array(chunk_of(F.col("t"), chunk), chunk_of(F.col("t") + block, chunk)))
+    found = costs.drop("c").select("*", F.explode(homes).alias("c")).groupBy("series_id", "c").applyInPandas(_rolling(beta, block, chunk, costs_of), "series_id string, t bigint, cluster int")
+    return found if first is None else found.unionByName(first.where(F.col("t") < block).select("series_id", "t", F.col("cluster").cast("int").alias("cluster")))
+
+
 def held_out_assign(windows: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray, trained: DataFrame, beta: float) -> DataFrame:
     """Clusters of held-out windows (series_id, t, left, right, x): own cost plus a penalty for each neighbour that differs."""
     costs = cost_table(windows.withColumn("full", F.lit(True)), means, thetas, log_dets)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import BETA, HOURS, LAG, LAM, PAIR_BETA, PAIR_LAM, PALETTE, TYPES, K, N, W
+from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, PAIR_BETA, PAIR_LAM, PALETTE, TYPES, K, N, W
 
 _LAST = HOURS - W  # the last window
 _KEYS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TYPES))
@@ -56,6 +56,11 @@ _PARTS: dict[str, str] = {
 }
 
 
+for _b in BLOCKS:
+    _PARTS[f"roll{_b}"] = f"""SELECT t + {_b} AS t, 1 AS s, [l0, l1, l2] AS p FROM l UNION ALL
+        SELECT roll{_b}.t, s + 1, [l0 + least(p[1], list_min(p) + {BETA}), l1 + least(p[2], list_min(p) + {BETA}), l2 + least(p[3], list_min(p) + {BETA})] FROM roll{_b} JOIN l ON l.t = roll{_b}.t - {_b} + s WHERE s < {_b}"""
+
+
 def _dense(turn: int) -> dict[str, str]:
     """Parts of one round of the two-sensor fit, from the labels of the round before."""
     switched = f"list_transform(g, lambda v, i: v + CASE WHEN i - 1 = p.cluster THEN 0 ELSE {PAIR_BETA} END)"
@@ -163,6 +168,8 @@ _RAW: dict[str, str] = {
     "random_init": f"SELECT t, (('0x' || substr(md5('0:' || t || ':102'), 1, 8))::BIGINT % {K})::INT AS cluster FROM range(0, {_LAST + 1}) AS r(t)",
     "stream_score": "SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM online",
     "stream_score_lagged": f"SELECT t, (k - 1)::INT AS cluster FROM late WHERE t = seen - {LAG}",
+    "rolling_block": f"SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM roll{BLOCKS[0]} WHERE s = {BLOCKS[0]} AND t <= {_LAST} UNION ALL SELECT t, cluster FROM path WHERE t < {BLOCKS[0]}",
+    "rolling_block_wide": f"SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM roll{BLOCKS[1]} WHERE s = {BLOCKS[1]} AND t <= {_LAST}",
     "cluster_raw_means": "SELECT cluster, s AS sensor, round(avg(v), 4) AS mean FROM path JOIN x USING (t) GROUP BY ALL",
 }
 _RAW["network_accuracy"] = f"SELECT round(avg(f1), 5) AS network_accuracy FROM ({_RAW['network_f1']})"

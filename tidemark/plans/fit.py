@@ -111,11 +111,16 @@ class Model:
         kinds = dict(stacked.dtypes)
         if kinds.get("x") != "array<double>" or "t" not in kinds:
             raise TypeError("windows need t and x array<double>")
-        shared = stacked.sparkSession.sparkContext.broadcast(self.arrays())
-        p = self.parameters
+        shared, p = stacked.sparkSession.sparkContext.broadcast(self.arrays()), self.parameters
         return scoring.assign(stacked, p.beta, p.rows(self.sensors), scoring.model_costs(shared), chunks)
 
 
+    def predict_rolling(self, stacked: DataFrame, block: int, first: DataFrame | None = None) -> DataFrame:
+        """(series_id, t, cluster): what the ``block`` windows before each ``t`` alone say; ``first``: labels of the rows before those."""
+        shared, p = stacked.sparkSession.sparkContext.broadcast(self.arrays()), self.parameters
+        return scoring.rolling(stacked, p.beta, block, p.rows(self.sensors), scoring.model_costs(shared), first)
+
+
 @dataclass
 class Fit:
     assignments: DataFrame

@@ -445,6 +445,18 @@ def stream_score_lagged(spark, sf_dir):
     return _streamed(spark, sf_dir, LAG)
 
 
+BLOCKS = (5, 40)
+
+
+def rolling_block(spark, sf_dir):
+    """What the five windows before each one alone say; the first ones as the whole series says."""
+    return diagonal_model(spark, sf_dir).predict_rolling(stacked(spark, sf_dir), BLOCKS[0], assigned_diag(spark, sf_dir)).select("t", "cluster")
+
+
+def rolling_block_wide(spark, sf_dir):
+    return diagonal_model(spark, sf_dir).predict_rolling(stacked(spark, sf_dir), BLOCKS[1]).select("t", "cluster")
+
+
 def synthetic(spark, sf_dir):
     return readers.long_form(synth.synthetic_series(spark, 3).select("series_id", "t", "x"))
 
@@ -462,6 +474,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
