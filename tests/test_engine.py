@@ -279,12 +279,39 @@ def test_model_round_trip_and_guards(spark, tmp_path):
         fitting.fit(series(spark, x), 2, empty, series(spark, x).select("series_id", "t", F.lit(0).alias("cluster")))
 
 
-def test_repair_moves_a_run_of_rows(spark):
-    assigned = spark.range(100).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 2).cast("int").alias("cluster"))
-    model = fitting.Model(fitting.Parameters(clusters=3), 1, {k: {"cluster": k, "sigma": [float(k + 1)]} for k in range(2)})
-    got = fitting.repair(assigned, model, [2], fitting.Parameters(clusters=3, reassign=7), 1).where("cluster = 2").agg(F.count("*"), F.max("t") - F.min("t")).first()
-    assert 1 <= got[0] <= 7 and got[1] == got[0] - 1
-    assert model.rows[2]["sigma"] == [2.0]  # of the donor with the larger norm
+@pytest.mark.parametrize("empty", [[2], [2, 3], [2, 3, 4, 5, 6], [1, 2, 3, 4, 5, 6]])
+def test_repair_gives_each_empty_cluster_a_run_of_its_own(spark, empty):
+    """One donor, several, and more empty clusters than donors: every one gets rows, in disjoint runs that start at its donor's rows."""
+    donors, run = [k for k in (0, 1) if k not in empty], 7
+    assigned = spark.range(400).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 2 if 1 in donors else F.lit(0)).cast("int").alias("cluster"))
+    before = {r["t"]: r["cluster"] for r in assigned.collect()}
+    for turn in (1, 2, 3):
+        p = fitting.Parameters(clusters=7, reassign=run)
+        model = fitting.Model(p, 1, {k: {"cluster": k, "sigma": [float(k + 1)], "mean": [0.0]} for k in range(7)})
+        stacked = assigned.select("series_id", "t", F.array(F.col("t").cast("double")).alias("x"))
+        got = fitting.repair(assigned, model, empty, p, turn, stacked=stacked).toPandas()
+        assert len(got) == 400
+        order = sorted(donors, reverse=True)  # the larger norm first
+        for nth, k in enumerate(empty):
+            t = sorted(got[got.cluster == k].t)
+            assert t == list(range(t[0], min(t[0] + run, 400))) and before[t[0]] == order[nth % len(order)]
+            assert model.rows[k]["sigma"] == [float(order[nth % len(order)] + 1)] and model.rows[k]["mean"] == [float(t[-1])]
+        moved = set(got[got.cluster.isin(empty)].t)
+        assert all(before[t] == c for t, c in zip(got.t, got.cluster, strict=True) if t not in moved)
+
+
+def test_repair_of_tiny_donors():
+    """Too few rows for disjoint runs: each empty cluster still starts at a row of its own, as long as there are any."""
+    at = {0: [("0", t) for t in (3, 1, 2)]}
+    got = fitting.starts([1, 2, 3, 4], [0] * 4, at, 20)
+    assert got == {1: ("0", 3), 2: ("0", 1), 3: ("0", 2)}
+
+
+def test_members_are_the_smallest_draws(spark):
+    assigned = spark.range(3000).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 3).cast("int").alias("cluster")).withColumn("draw", fitting.drawn(5))
+    want = {k: [("0", r["t"]) for r in assigned.where(f"cluster = {k}").orderBy("draw").limit(50).collect()] for k in (0, 2)}
+    assert fitting.members(assigned.drop("draw"), {0: 1000, 2: 1000}, 50, 5) == want
+    assert len(fitting.members(assigned.drop("draw"), {1: 1000}, 5000, 5)[1]) == 1000
 
 
 @pytest.mark.parametrize("init", ["kmeans", "gmm", "random"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, PAIR_BETA, PAIR_LAM, PALETTE, TYPES, K, N, W
+from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, MANY, PAIR_BETA, PAIR_LAM, PALETTE, REASSIGN, TYPES, K, N, W
 
 _LAST = HOURS - W  # the last window
 _KEYS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TYPES))
@@ -61,23 +61,37 @@ for _b in BLOCKS:
         SELECT roll{_b}.t, s + 1, [l0 + least(p[1], list_min(p) + {BETA}), l1 + least(p[2], list_min(p) + {BETA}), l2 + least(p[3], list_min(p) + {BETA})] FROM roll{_b} JOIN l ON l.t = roll{_b}.t - {_b} + s WHERE s < {_b}"""
 
 
-def _dense(turn: int) -> dict[str, str]:
-    """Parts of one round of the two-sensor fit, from the labels of the round before."""
+def _dense(n: int | str, before: str, k: int = K) -> dict[str, str]:
+    """Parts of one round of the two-sensor fit of ``k`` clusters, from the labels ``before``."""
     switched = f"list_transform(g, lambda v, i: v + CASE WHEN i - 1 = p.cluster THEN 0 ELSE {PAIR_BETA} END)"
-    before, n = f"path{turn - 1}", turn
-    step = ", ".join(f"least(f{k} + l{k}, least(f0 + l0, f1 + l1, f2 + l2) + {PAIR_BETA})" for k in range(K))
+    each = [f"f{c} + l{c}" for c in range(k)]
+    step = ", ".join(f"least({e}, least({', '.join(each)}) + {PAIR_BETA})" for e in each)
     return {
         f"ds{n}": f"SELECT cluster, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS sa, var_samp(b) AS sb, covar_samp(a, b) AS z, var_samp(a) + {PAIR_LAM} AS p, var_samp(b) + {PAIR_LAM} AS r, sign(covar_samp(a, b)) * greatest(abs(covar_samp(a, b)) - {PAIR_LAM}, 0) AS q FROM pair JOIN {before} USING (t) GROUP BY cluster",
         f"dc{n}": f"SELECT t, cluster, (r * (a - ma) * (a - ma) - 2 * q * (a - ma) * (b - mb) + p * (b - mb) * (b - mb)) / (p * r - q * q) + ln(p * r - q * q) AS l FROM pair CROSS JOIN ds{n}",
-        f"dl{n}": "SELECT t, " + ", ".join(f"max(l) FILTER (cluster = {k}) AS l{k}" for k in range(K)) + f" FROM dc{n} GROUP BY t",
-        f"df{n}": f"SELECT {HOURS - 1}::BIGINT AS t, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS f2 UNION ALL SELECT df{n}.t - 1, {step} FROM df{n} JOIN dl{n} USING (t) WHERE df{n}.t > 0",
-        f"dg{n}": f"SELECT t, [f0 + l0, f1 + l1, f2 + l2] AS g FROM df{n} JOIN dl{n} USING (t)",
+        f"dl{n}": "SELECT t, " + ", ".join(f"max(l) FILTER (cluster = {c}) AS l{c}" for c in range(k)) + f" FROM dc{n} GROUP BY t",
+        f"df{n}": f"SELECT {HOURS - 1}::BIGINT AS t, {', '.join(f'0.0::DOUBLE AS f{c}' for c in range(k))} UNION ALL SELECT df{n}.t - 1, {step} FROM df{n} JOIN dl{n} USING (t) WHERE df{n}.t > 0",
+        f"dg{n}": f"SELECT t, [{', '.join(each)}] AS g FROM df{n} JOIN dl{n} USING (t)",
         f"path{n}": f"SELECT t, (list_position(g, list_min(g)) - 1)::INT AS cluster FROM dg{n} WHERE t = 0 UNION ALL SELECT dg{n}.t, (list_position({switched}, list_min({switched})) - 1)::INT FROM path{n} p JOIN dg{n} ON dg{n}.t = p.t + 1",
     }
 
 
+def _repaired(n: str, norms: str, rows: int) -> dict[str, str]:
+    """Given labels of ``rows`` windows after repair: clusters K to MANY - 1 are empty, donors go by falling norm."""
+    return {
+        f"donor{n}": f"SELECT cluster, row_number() OVER (ORDER BY norm DESC, cluster DESC) - 1 AS place FROM ({norms})",
+        f"member{n}": f"SELECT t, ((t // 120) % {K})::INT AS c, ('0x' || substr(md5('0:' || t || ':103'), 1, 13))::BIGINT AS draw FROM range(0, {rows}) AS r(t)",
+        f"picks{n}": f"""SELECT -1 AS e, []::BIGINT[] AS used UNION ALL SELECT p.e + 1, list_append(p.used, (SELECT min_by(m.t, m.draw) FROM member{n} m JOIN donor{n} d ON d.cluster = m.c
+            WHERE d.place = (p.e + 1) % {K} AND NOT coalesce(list_bool_or(list_transform(p.used, lambda u: abs(u - m.t) < {REASSIGN})), false))) FROM picks{n} p WHERE p.e < {MANY - K - 1}""",
+        f"repaired{n}": f"""SELECT m.t, coalesce((SELECT max({K} + e) FROM picks{n} WHERE e >= 0 AND m.t BETWEEN used[e + 1] AND used[e + 1] + {REASSIGN - 1}), m.c)::INT AS cluster FROM member{n} m""",
+    }
+
+
+_PARTS |= _repaired("w", f"SELECT cluster, sqrt({W} * sum(1 / (q * q))) AS norm FROM theta GROUP BY cluster", HOURS - W + 1)
+_PARTS |= _repaired("d", "SELECT cluster, sqrt(p * p + r * r + 2 * q * q) AS norm FROM ds1", HOURS)
+_PARTS |= _dense("d", "repairedd", MANY)
 for _turn in (1, 2, 3):
-    _PARTS |= _dense(_turn)
+    _PARTS |= _dense(_turn, f"path{_turn - 1}")
 
 
 def _needed(text: str, found: dict[str, None]) -> dict[str, None]:
@@ -168,6 +182,8 @@ _RAW: dict[str, str] = {
     "random_init": f"SELECT t, (('0x' || substr(md5('0:' || t || ':102'), 1, 8))::BIGINT % {K})::INT AS cluster FROM range(0, {_LAST + 1}) AS r(t)",
     "stream_score": "SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM online",
     "stream_score_lagged": f"SELECT t, (k - 1)::INT AS cluster FROM late WHERE t = seen - {LAG}",
+    "repaired_labels": "SELECT t, cluster FROM repairedw",
+    "repaired_round": "SELECT t, cluster FROM pathd",
     "rolling_block": f"SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM roll{BLOCKS[0]} WHERE s = {BLOCKS[0]} AND t <= {_LAST} UNION ALL SELECT t, cluster FROM path WHERE t < {BLOCKS[0]}",
     "rolling_block_wide": f"SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM roll{BLOCKS[1]} WHERE s = {BLOCKS[1]} AND t <= {_LAST}",
     "cluster_raw_means": "SELECT cluster, s AS sensor, round(avg(v), 4) AS mean FROM path JOIN x USING (t) GROUP BY ALL",

@@ -154,8 +154,8 @@ def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: in
 def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     keys = stacked.select("series_id", "t", "x")
     if p.init == "random":
-        drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(p.seed)))), 1, 8), 16, 10).cast("bigint")
-        return keys.select("series_id", "t", (drawn % p.clusters).cast("int").alias("cluster"))
+        number = F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(p.seed)))), 1, 8), 16, 10).cast("bigint")
+        return keys.select("series_id", "t", (number % p.clusters).cast("int").alias("cluster"))
     vectors = keys.withColumn("features", array_to_vector("x"))
     kinds = {"kmeans": lambda: KMeans(k=p.clusters, seed=p.seed), "gmm": lambda: GaussianMixture(k=p.clusters, seed=p.seed)}
     if p.init not in kinds:
@@ -167,23 +167,82 @@ def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     return found
 
 
-def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, turn: int) -> DataFrame:
+def drawn(seed: int):
+    """A seeded number of 52 bits for each row (series_id, t)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint")
+
+
+def members(assigned: DataFrame, sizes: dict[int, int], most: int, seed: int) -> dict[int, list[tuple[str, int]]]:
+    """For each cluster of ``sizes`` (its number of rows) the ``most`` rows of the smallest draws, in order of them.
+
+    Only rows under a bound on the draw come back, about twice as many as are wanted; a bound that let
+    too few through is doubled.
+    """
+    out, share = {}, {k: min(1.0, 2 * most / n) for k, n in sizes.items() if n}
+    while share:
+        bound = F.create_map(*[x for k, v in share.items() for x in (F.lit(k), F.lit(int(v * 2**52)))])
+        some = assigned.where(F.col("cluster").isin(*share)).withColumn("draw", drawn(seed)).where(F.col("draw") < bound[F.col("cluster")])
+        met: dict[int, list[tuple]] = {k: [] for k in share}
+        for r in some.select("cluster", "draw", "series_id", "t").collect():
+            met[r["cluster"]].append((r["draw"], r["series_id"], r["t"]))
+        for k, rows in met.items():
+            if len(rows) >= most or share[k] >= 1.0:
+                out[k] = [r[1:] for r in sorted(rows)[:most]]
+                del share[k]
+            else:
+                share[k] = min(1.0, 2 * share[k])
+    return out
+
+
+def starts(empty: list[int], donors: list[int], at: dict[int, list[tuple[str, int]]], run: int) -> dict[int, tuple[str, int]]:
+    """For each empty cluster a row of its donor from which ``run`` rows are to go, none of which goes to another too.
+
+    Where a donor is too small for that, runs may overlap, but each still begins at a row that no other has.
+    """
+    out: dict[int, tuple[str, int]] = {}
+    for k, donor in zip(empty, donors, strict=True):
+        apart = lambda r, least: all(r[0] != s or abs(r[1] - t) >= least for s, t in out.values())  # noqa: B023, E731
+        found = next((r for least in (run, 1) for r in at.get(donor, []) if apart(r, least)), None)
+        if found is not None:
+            out[k] = found
+    return out
+
+
+def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, turn: int, sizes: dict[int, int] | None = None, stacked: DataFrame | None = None) -> DataFrame:
     """Gives each empty cluster ``reassign`` rows in a row, from the clusters of largest covariance in turn.
 
-    They begin at a member of the donor chosen by a seeded hash, and go whatever their own label is.
+    Each run begins at a member of its donor chosen by a seeded draw, a member of its own for each empty cluster,
+    and its rows go whatever their own label is; a row that two runs reach belongs to the later run's start.
+    An empty cluster takes over its donor's matrices, around the last window that it got (of ``stacked``, if given).
+    ``sizes``: rows of each cluster, if known.
     """
-    norms = sorted(((float(np.linalg.norm(model.rows[k]["sigma"])), k) for k in model.rows if k not in empty), reverse=True)
-    starts = {r["cluster"]: r for r in assigned.groupBy("cluster").agg(F.min_by(F.struct("series_id", "t"), F.xxhash64("t", F.lit(p.seed + turn))).alias("at")).collect()}
+    sizes = sizes or {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+    norms = sorted(((float(np.linalg.norm(model.rows[k]["sigma"])), k) for k in model.rows if k not in empty and sizes.get(k)), reverse=True)
+    if not norms:
+        return assigned
+    donors = [norms[nth % len(norms)][1] for nth in range(len(empty))]
+    most = (len(empty) - 1) * (2 * p.reassign - 1) + 1  # each run rules out so many starts, so one is left among as many
+    found = starts(empty, donors, members(assigned, {k: sizes[k] for k in set(donors)}, most, p.seed + turn), p.reassign)
+    ends = {r["series_id"]: r["last"] for r in assigned.where(F.col("series_id").isin(*{s for s, _ in found.values()})).groupBy("series_id").agg(F.max("t").alias("last")).collect()} if stacked is not None else {}
+    last = {k: (s, min(t + p.reassign - 1, ends.get(s, t))) for k, (s, t) in found.items()}
+    seen = {(r["series_id"], r["t"]): r["x"] for r in _windows_at(stacked, set(last.values()))} if stacked is not None else {}
     cluster = F.col("cluster")
-    for nth, k in enumerate(empty):
-        donor = norms[nth % len(norms)][1]
-        at = starts[donor]["at"]
-        LOG.info("cluster %d is empty: %d rows from %d go to it", k, p.reassign, at["t"])
+    for k, (series_id, t) in sorted(found.items(), key=lambda kv: kv[1][1]):
+        donor = donors[empty.index(k)]
+        LOG.info("cluster %d is empty: %d rows from %d go to it", k, p.reassign, t)
         model.rows[k] = model.rows[donor] | {"cluster": k}
-        cluster = F.when((F.col("series_id") == at["series_id"]) & F.col("t").between(at["t"], at["t"] + p.reassign - 1), F.lit(k)).otherwise(cluster)
+        if last[k] in seen:
+            model.rows[k]["mean"] = list(seen[last[k]])
+        cluster = F.when((F.col("series_id") == series_id) & F.col("t").between(t, t + p.reassign - 1), F.lit(k)).otherwise(cluster)
     return assigned.withColumn("cluster", cluster)
 
 
+def _windows_at(stacked: DataFrame, places: set[tuple[str, int]]) -> list:
+    """A few windows by their places."""
+    named = F.array(*[F.struct(F.lit(s).alias("series_id"), F.lit(t).cast("bigint").alias("t")) for s, t in sorted(places)])
+    return stacked.where(F.array_contains(named, F.struct("series_id", "t"))).select("series_id", "t", "x").collect() if places else []
+
+
 def checked(series: DataFrame, sensors: int) -> int:
     """How many rows the longest series has; an error that names the sensor if a value is missing."""
     missing = F.array_position(F.transform("x", lambda v: v.isNull() | F.isnan(v)), True)
@@ -226,7 +285,7 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
         empty = [k for k in range(p.clusters) if k not in now]
         assigned = found
         if empty and turn:
-            assigned = tables.write(repair(found, model, empty, p, turn), f"repaired_{turn}")
+            assigned = tables.write(repair(found, model, empty, p, turn, {k: v[0] for k, v in now.items()}, stacked), f"repaired_{turn}")
             after = census(assigned)
         LOG.info("round %d: %s", turn, {k: now.get(k, (0,))[0] for k in range(p.clusters)})
         converged, before = before == after, now

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -445,6 +446,25 @@ def stream_score_lagged(spark, sf_dir):
     return _streamed(spark, sf_dir, LAG)
 
 
+REASSIGN, MANY = 20, 7
+
+
+def repaired_labels(spark, sf_dir):
+    """Given labels of three clusters where there should be seven: each of the four empty ones gets a run of rows of its own."""
+    model = diagonal_model(spark, sf_dir)
+    p = fitting.Parameters(window=W, clusters=MANY, reassign=REASSIGN)
+    return fitting.repair(given(stacked(spark, sf_dir)), model, list(range(K, MANY)), p, 1).select("t", "cluster")
+
+
+def repaired_round(spark, sf_dir):
+    """One round of a two-sensor fit from labels that leave four of seven clusters empty, after their repair."""
+    pair = pair_series(spark, sf_dir)
+    p = replace(_pair_parameters(most_rounds=1), clusters=MANY, reassign=REASSIGN)
+    model = dense_model(spark, sf_dir)
+    labels = fitting.repair(given(pair), model, list(range(K, MANY)), p, 1)
+    return fitting.fit(pair, 2, p, labels).assignments.select("t", "cluster")
+
+
 BLOCKS = (5, 40)
 
 
@@ -474,6 +494,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
