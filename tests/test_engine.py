@@ -13,6 +13,7 @@ from tests.conftest import DATA, rows
 from tidemark.functions import arrays
 from tidemark.operators import lasso, metrics, moments, ordering, prepare, scoring, windows
 from tidemark.plans import fit as fitting
+from tidemark.plans import mixture as mixtures
 from tidemark.sources import exports, readers, synth
 from tidemark.streaming.score import Path, score_stream
 
@@ -477,14 +478,37 @@ def test_a_fit_ends_where_its_own_labels_give_them_again(spark):
     assert found.converged and sequential(costs, p.beta) == label.tolist()
 
 
-def test_mixture_baselines(spark):
-    x = np.concatenate([np.random.default_rng(6).normal(m, s, (300, 2)) for m, s in ((0, 1.0), (9, 0.5))])
-    table = series(spark, x)
-    model = fitting.mixture(table, fitting.Parameters(window=1, clusters=2))
-    got = fitting.mixture_assign(model, table).toPandas().sort_values("t").cluster.to_numpy()
-    assert set(got[:300]) != set(got[300:]) and len(set(got)) == 2
-    for row in fitting.mixture_networks(model).collect():
-        assert np.allclose(np.reshape(row["theta"], (2, 2)), np.linalg.inv(np.cov(x[got == row["cluster"]].T, ddof=0)), rtol=0.05, atol=0.02)
+def test_a_mixture_finds_its_components(spark):
+    r = np.random.default_rng(6)
+    parts = [(r.normal(m, s, (n, 2))) for m, s, n in ((0, 1.0, 300), (9, 0.5, 200), (-9, 2.0, 100))]
+    table = series(spark, np.concatenate(parts)).repartition(3)
+    model = mixtures.fitted(table, 3, seed=5)
+    got = mixtures.assigned(model, table).toPandas().sort_values("t").cluster.to_numpy()
+    names = [set(got[a:b]) for a, b in ((0, 300), (300, 500), (500, 600))]
+    assert all(len(n) == 1 for n in names) and len(set.union(*names)) == 3
+    for row in mixtures.networks(model, spark).collect():
+        own = np.concatenate(parts)[got == row["cluster"]]
+        assert np.allclose(np.reshape(row["theta"], (2, 2)), np.linalg.inv(np.cov(own.T, ddof=0)), rtol=0.05, atol=0.02)
+    assert sorted(np.round(model.weights * 600)) == [100, 200, 300]
+
+
+def test_rounds_of_a_mixture_are_the_plain_ones(spark):
+    """Responsibilities, moments and likelihood against plain formulas; the likelihood never falls."""
+    x = np.random.default_rng(8).normal(size=(90, 3)) * [1, 2, 3]
+    table, floor = series(spark, x).repartition(4), np.full(3, 1e-9)
+    now = mixtures.Mixture(np.array([0.3, 0.7]), x[:2], np.array([np.eye(3), 2 * np.eye(3)]))
+    last = -np.inf
+    for _ in range(4):
+        dens = np.stack([w * np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(now.weights, now.means, now.covs, strict=True)], 1)
+        share = dens / dens.sum(1, keepdims=True)
+        after = mixtures._round(table, {0: now}, 2, floor)[0]
+        assert np.allclose(after.weights, share.mean(0)) and np.isclose(after.log_likelihood, np.log(dens.sum(1)).mean()) and after.log_likelihood >= last
+        for k in range(2):
+            mean = share[:, k] @ x / share[:, k].sum()
+            assert np.allclose(after.means[k], mean) and np.allclose(after.covs[k], (share[:, k, None] * (x - mean)).T @ (x - mean) / share[:, k].sum() + 1e-9 * np.eye(3))
+        now, last = after, after.log_likelihood
+    with pytest.raises(ValueError, match="no windows"):
+        mixtures.fitted(table.limit(0), 2)
 
 
 def test_uncapped_exports(spark):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PARTIAL = "cluster int, n bigint, mean array<double>, m2 array<double>"
+WEIGHTED = "cluster int, n double, mean array<double>, m2 array<double>"  #: windows that count in part
 
 
 def _partials(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -26,10 +27,10 @@ def _partials(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = np.stack(part["x"].to_numpy())
             mean = x.mean(0)
             held[cluster] = merge(held.get(cluster), (len(x), mean, (x - mean).T @ (x - mean)))
-    yield _as_rows(held)
+    yield as_rows(held)
 
 
-def _as_rows(held: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def as_rows(held: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame([(k, n, mean, m2.ravel()) for k, (n, mean, m2) in held.items()], columns=["cluster", "n", "mean", "m2"])
 
 
@@ -39,7 +40,7 @@ def _merging(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for row in frame.itertuples(index=False):
             held[row.cluster] = merge(held.get(row.cluster), (row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1))))
-    yield _as_rows(held)
+    yield as_rows(held)
 
 
 def merge(a: tuple | None, b: tuple) -> tuple:
@@ -72,7 +73,12 @@ def by_cluster(partial: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or isqrt(int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if buckets < 4:
         return partial
-    return partial.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(buckets))).repartition("cluster", "bucket").select(*partial.columns).mapInPandas(_merging, PARTIAL)
+    return partial.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(buckets))).repartition("cluster", "bucket").select(*partial.columns).mapInPandas(_merging, partial.schema)
+
+
+def merged(partial: DataFrame) -> DataFrame:
+    """Partial moments as one row for each cluster."""
+    return by_cluster(partial).repartition("cluster").mapInPandas(_merging, partial.schema)
 
 
 def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray:

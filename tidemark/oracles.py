@@ -56,6 +56,12 @@ _PARTS: dict[str, str] = {
 }
 
 
+_SHARES = [f"((t // 120 + {k}) % {K} * 2 + t * {k + 1} % 5 + 1)" for k in range(K)]
+for _name, _only in (("mix", "true"), ("mixtrain", "t IN (SELECT t FROM train)")):
+    _PARTS[f"shared{_name}"] = f"SELECT t, a, b, k AS cluster, [{', '.join(_SHARES)}][k + 1] / ({' + '.join(_SHARES)})::DOUBLE AS w FROM pair, range(0, {K}) AS r(k) WHERE {_only}"
+    _PARTS[f"centred{_name}"] = f"SELECT cluster, sum(w) AS n, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb FROM shared{_name} GROUP BY cluster"
+    _PARTS[_name] = f"""SELECT cluster::INT AS cluster, any_value(n) / sum(any_value(n)) OVER () AS weight, any_value(ma) AS ma, any_value(mb) AS mb, sum(w * (a - ma) * (a - ma)) / any_value(n) AS aa,
+        sum(w * (a - ma) * (b - mb)) / any_value(n) AS ab, sum(w * (b - mb) * (b - mb)) / any_value(n) AS bb FROM shared{_name} JOIN centred{_name} USING (cluster) GROUP BY cluster"""
 for _b in BLOCKS:
     _PARTS[f"roll{_b}"] = f"""SELECT t + {_b} AS t, 1 AS s, [l0, l1, l2] AS p FROM l UNION ALL
         SELECT roll{_b}.t, s + 1, [l0 + least(p[1], list_min(p) + {BETA}), l1 + least(p[2], list_min(p) + {BETA}), l2 + least(p[3], list_min(p) + {BETA})] FROM roll{_b} JOIN l ON l.t = roll{_b}.t - {_b} + s WHERE s < {_b}"""
@@ -168,7 +174,10 @@ _RAW: dict[str, str] = {
         WHERE i >= {(W - 1) * N} AND abs(v) > 0.002 AND (j < {(W - 1) * N} OR j < i)""",
     "cluster_norm_rank": "SELECT cluster, round(norm, 4) AS norm, (row_number() OVER (ORDER BY norm DESC, cluster DESC) - 1)::INT AS place FROM (SELECT cluster, sqrt(sum(v * v)) AS norm FROM cov GROUP BY cluster)",
     "export_colours": "SELECT t, '\"' || [" + ", ".join(f"'{c}'" for c in PALETTE) + "][cluster + 1] || '\"' AS colour FROM path WHERE t % 10 = 0 AND t < 40000",
-    "export_channels": "SELECT k::INT AS k, c::INT AS channel, ('0x' || substr(colour, 2 + 2 * c, 2))::INT / 256.0::DOUBLE AS v FROM (VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(PALETTE)) + ") AS p(k, colour), (VALUES (0), (1), (2)) AS ch(c)",
+    "export_channels": "SELECT t, ch::INT AS channel, ('0x' || substr([" + ", ".join(f"'{c}'" for c in PALETTE) + "][cluster + 1], 2 + 2 * ch, 2))::INT / 256.0::DOUBLE AS v FROM path, (VALUES (0), (1), (2)) AS c(ch) WHERE t % 10 = 0",
+    "gmm_round": "SELECT cluster, round(weight, 6) + 0.0 AS weight, round(ma, 6) + 0.0 AS mean_a, round(mb, 6) + 0.0 AS mean_b, round(aa, 6) + 0.0 AS aa, round(ab, 6) + 0.0 AS ab, round(bb, 6) + 0.0 AS bb FROM mix",
+    "gmm_labels": "SELECT t, max_by(cluster, (d + ln(weight), -cluster)) AS cluster FROM (SELECT t, cluster, weight, -((bb * (a - ma) * (a - ma) - 2 * ab * (a - ma) * (b - mb) + aa * (b - mb) * (b - mb)) / (aa * bb - ab * ab) + ln(aa * bb - ab * ab)) / 2 AS d FROM pair CROSS JOIN mix) GROUP BY t",
+    "heldout_mixture_round": "SELECT t, max_by(cluster, (d, -cluster)) AS cluster FROM (SELECT t, cluster, -((bb * (a - ma) * (a - ma) - 2 * ab * (a - ma) * (b - mb) + aa * (b - mb) * (b - mb)) / (aa * bb - ab * ab) + ln(aa * bb - ab * ab)) / 2 AS d FROM pair CROSS JOIN mixtrain WHERE t IN (SELECT t FROM test)) GROUP BY t",
     "export_locations": "SELECT t, 'new GLatLng(' || (t % 90) || ', ' || (t % 180) || ')' AS point FROM path WHERE t % 10 = 0",
     "cost_matrix_dense": "SELECT t, cluster, round(l, 3) + 0.0 AS cost FROM dc1",
     "viterbi_labels_dense": "SELECT t, cluster FROM path1",

@@ -8,13 +8,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lasso, metrics, moments, scoring, windows
 from tidemark.operators.ordering import chunk_of
+from tidemark.plans import mixture as mixtures
 from tidemark.plans.storage import Tables, stored
 
 LOG = logging.getLogger(__name__)
@@ -34,7 +35,7 @@ class Parameters:
     threshold: float = 2e-5
     reassign: int = 20
     biased: bool = False
-    init: str = "gmm"  #: gmm (K-means where it leaves a component empty), kmeans, random or given
+    init: str = "gmm"  #: gmm, kmeans, random or given
     lam_mode: str = "flat"  #: flat, lag_scaled, or matrix: then ``penalty`` is the whole matrix, row by row
     penalty: tuple[tuple[float, ...], ...] | None = None
     tail: str = "zero"
@@ -156,15 +157,15 @@ def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     if p.init == "random":
         number = F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(p.seed)))), 1, 8), 16, 10).cast("bigint")
         return keys.select("series_id", "t", (number % p.clusters).cast("int").alias("cluster"))
-    vectors = keys.withColumn("features", array_to_vector("x"))
-    kinds = {"kmeans": lambda: KMeans(k=p.clusters, seed=p.seed), "gmm": lambda: GaussianMixture(k=p.clusters, seed=p.seed)}
-    if p.init not in kinds:
+    if p.init not in ("gmm", "kmeans"):
         raise ValueError(f"unknown init {p.init!r}: give labels for 'given'")
-    found = stored(kinds[p.init]().fit(vectors).transform(vectors).select("series_id", "t", F.col("prediction").cast("int").alias("cluster")))
-    if p.init == "gmm" and found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").count() < p.clusters:
-        LOG.warning("the Gaussian mixture left a component empty; K-means starts instead")
-        found = stored(kinds["kmeans"]().fit(vectors).transform(vectors).select("series_id", "t", F.col("prediction").cast("int").alias("cluster")))
-    return found
+    if p.init == "gmm":
+        found = mixtures.start(keys, p.clusters, p.seed)
+        if found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").count() == p.clusters:
+            return found
+        LOG.warning("no start of the Gaussian mixture has windows in all components; K-means starts instead")
+    vectors = keys.withColumn("features", array_to_vector("x"))
+    return stored(KMeans(k=p.clusters, seed=p.seed).fit(vectors).transform(vectors).select("series_id", "t", F.col("prediction").cast("int").alias("cluster")))
 
 
 def drawn(seed: int):
@@ -225,7 +226,7 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
     found = starts(empty, donors, members(assigned, {k: sizes[k] for k in set(donors)}, most, p.seed + turn), p.reassign)
     ends = {r["series_id"]: r["last"] for r in assigned.where(F.col("series_id").isin(*{s for s, _ in found.values()})).groupBy("series_id").agg(F.max("t").alias("last")).collect()} if stacked is not None else {}
     last = {k: (s, min(t + p.reassign - 1, ends.get(s, t))) for k, (s, t) in found.items()}
-    seen = {(r["series_id"], r["t"]): r["x"] for r in _windows_at(stacked, set(last.values()))} if stacked is not None else {}
+    seen = {(r["series_id"], r["t"]): r["x"] for r in windows_at(stacked, set(last.values()))} if stacked is not None else {}
     cluster = F.col("cluster")
     for k, (series_id, t) in sorted(found.items(), key=lambda kv: kv[1][1]):
         donor = donors[empty.index(k)]
@@ -237,7 +238,7 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
     return assigned.withColumn("cluster", cluster)
 
 
-def _windows_at(stacked: DataFrame, places: set[tuple[str, int]]) -> list:
+def windows_at(stacked: DataFrame, places: set[tuple[str, int]]) -> list:
     """A few windows by their places."""
     named = F.array(*[F.struct(F.lit(s).alias("series_id"), F.lit(t).cast("bigint").alias("t")) for s, t in sorted(places)])
     return stacked.where(F.array_contains(named, F.struct("series_id", "t"))).select("series_id", "t", "x").collect() if places else []
@@ -308,23 +309,7 @@ def information(model: Model, spark: SparkSession) -> DataFrame:
     return model.table(spark).select("cluster", (-F.col("log_det")).alias("log_det_theta"), trace.alias("trace"), size.cast("bigint").alias("nnz"))
 
 
-def mixture(windows_: DataFrame, p: Parameters) -> GaussianMixtureModel:
-    return GaussianMixture(k=p.clusters, seed=p.seed).fit(windows_.withColumn("features", array_to_vector("x")))
-
-
 def sample_networks(labelled: DataFrame, biased: bool = False) -> DataFrame:
     """(cluster, theta): the plain inverse covariance of the windows (cluster, x) of any clustering, as a baseline."""
     one = lambda cluster, n, mean, m2: (cluster, np.linalg.pinv(moments.covariance(n, m2, biased, cluster), hermitian=True).ravel())
     return moments.finished(moments.partial_moments(labelled), one, "cluster int, theta array<double>")
-
-
-def mixture_networks(model: GaussianMixtureModel) -> DataFrame:
-    """(cluster, theta): inverse covariances of a mixture's components, K rows."""
-    rows = [(k, np.linalg.pinv(r["cov"].toArray(), hermitian=True).ravel().tolist()) for k, r in enumerate(model.gaussiansDF.collect())]
-    return SparkSession.active().createDataFrame(rows, "cluster int, theta array<double>")
-
-
-def mixture_assign(model: GaussianMixtureModel, windows_: DataFrame) -> DataFrame:
-    """Held-out windows (series_id, t, x) by the likeliest component, without a penalty."""
-    found = model.transform(windows_.withColumn("features", array_to_vector("x")))
-    return found.select("series_id", "t", F.col("prediction").cast("int").alias("cluster"))

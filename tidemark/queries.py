@@ -12,6 +12,7 @@ from tidemark.functions import arrays
 from tidemark.operators import metrics, moments, prepare, scoring, windows
 from tidemark.operators.ordering import with_rank
 from tidemark.plans import fit as fitting
+from tidemark.plans import mixture as mixtures
 from tidemark.plans.storage import shared_folder, stored
 from tidemark.sources import exports, readers, synth
 from tidemark.streaming.score import score_stream
@@ -264,8 +265,9 @@ def export_colours(spark, sf_dir):
 
 
 def export_channels(spark, sf_dir):
-    some = spark.createDataFrame([(k, c) for k, c in enumerate(PALETTE)], "k int, colour string")
-    return some.select("k", F.posexplode(arrays.hex_channels(F.col("colour"))).alias("channel", "v"))
+    """The colour of every tenth window's cluster as three numbers."""
+    some = exports.colours(assigned_diag(spark, sf_dir), PALETTE).select("t", F.btrim("colour", F.lit('"')).alias("colour"))
+    return some.select("t", F.posexplode(arrays.hex_channels(F.col("colour"))).alias("channel", "v"))
 
 
 def export_locations(spark, sf_dir):
@@ -318,10 +320,40 @@ def heldout_mixture(spark, sf_dir):
     series = scaled(spark, sf_dir)
     train, test = prepare.split(series, W, axis(spark, sf_dir)[1])
     every = windows.stack(series, W, N, "zero", PACE)
-    known = every.join(train.select("series_id", "t"), ["series_id", "t"], "left_semi")
-    model = fitting.mixture(known, fitting.Parameters(window=W, clusters=K))
+    known = stored(every.join(train.select("series_id", "t"), ["series_id", "t"], "left_semi"))
+    model = mixtures.fitted(known, K, seed=102)
     held = windows.stack_held_out(known, test, prepare.neighbours(train, test), W, N)
-    return fitting.mixture_assign(model, held).select("t", "cluster")
+    return mixtures.assigned(model, held, weighted=False).select("t", "cluster")
+
+
+def _shared_out(pair: DataFrame) -> DataFrame:
+    """Given responsibilities of three components, which change from hour to hour and always sum to one."""
+    part = [(F.pmod(F.floor(F.col("t") / 120) + k, F.lit(K)) * 2 + F.pmod(F.col("t") * (k + 1), F.lit(5)) + 1).cast("double") for k in range(K)]
+    return pair.withColumn("share", F.array(*[p / sum(part) for p in part]))
+
+
+def _given_mixture(spark, sf_dir, known: DataFrame):
+    return mixtures.maximised(_shared_out(known), K)
+
+
+def gmm_round(spark, sf_dir):
+    """Shares, means and covariances of two sensors by given responsibilities: one maximisation."""
+    model = _given_mixture(spark, sf_dir, pair_series(spark, sf_dir))
+    rows = [(k, float(w), *map(float, m), float(c[0, 0]), float(c[0, 1]), float(c[1, 1])) for k, (w, m, c) in enumerate(zip(model.weights, model.means, model.covs, strict=True))]
+    table = spark.createDataFrame(rows, "cluster int, weight double, mean_a double, mean_b double, aa double, ab double, bb double")
+    return table.select("cluster", *[_tidy(c, 6).alias(c) for c in ("weight", "mean_a", "mean_b", "aa", "ab", "bb")])
+
+
+def gmm_labels(spark, sf_dir):
+    """The expectation of the next round: each hour's likeliest component."""
+    pair = pair_series(spark, sf_dir)
+    return mixtures.assigned(_given_mixture(spark, sf_dir, pair), pair).select("t", "cluster")
+
+
+def heldout_mixture_round(spark, sf_dir):
+    """Held-out hours by the densities of a mixture that one maximisation over the training hours gave."""
+    train, test = prepare.split(pair_series(spark, sf_dir), W, axis(spark, sf_dir)[1])
+    return mixtures.assigned(_given_mixture(spark, sf_dir, train), test, weighted=False).select("t", "cluster")
 
 
 def pair_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,6 +526,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
