@@ -11,10 +11,8 @@ them as plain arrays beside it; workers map them into memory and search them by
 lost executor's successor fetches them again, so the shared folder has to stay while the session lasts.
 What is broadcast is each left id's highest count, which the vocabulary bounds.
 
-Both tokenizers break before white space, so a text is encoded and aligned in stretches of
-``[ \\n]*[^ \\n]+``, and a worker remembers the commonest. Where it is not certain that stretches are
-independent (other white space in the text, or a vocabulary with pieces over such a border), the text is
-encoded whole.
+A corpus is encoded once: the ids are kept in a table of the shared folder, two or four bytes each, from which
+both later passes (counts, then the result) align them anew, all documents of a batch at a time in numpy.
 
 Defined results: null and empty texts, and texts whose joined token bytes are not those of a space and
 the text (as when it holds U+2581), have no tokens; they count nothing. Repeated rows are documents
@@ -24,28 +22,28 @@ of their own. Other columns are not read, whatever their names. Texts are never
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import col
+from tidemark.llm.packing import Encoder
 from tidemark.llm.tokens import Batcher
 from tidemark.llm.workspace import Workspace
 
 SHIFT = 32
-REMEMBERED, LONG = 200_000, 64  #: stretches that a worker remembers, and characters of the longest of them
 HELD_KEYS = 1 << 21  #: keys that a task holds before it folds them
 SHARD_ROWS = 1 << 21
-STRETCH = re.compile("[ \n]*[^ \n]+|[ \n]+")
-#: White space beside the blank and the line feed, by any library's reckoning, and marks that some take for it.
-ODD = re.compile("[\x09\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u2029\u202f\u205f\u2060\u3000\ufeff]")
+AT_ONCE = 1 << 19  #: bytes of text, or of ids, that are aligned together
+HUGE = 4096  #: links of a group that are told apart by its distinct ids alone
+_TENS = np.array([10**k for k in range(1, 19)])
 ALIGNED = pa.schema([(c, pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")] + [("groups", pa.string())])
 ALIGNED_DDL = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
 
@@ -58,85 +56,117 @@ def byte_of_characters() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers, inside a worker. ``a``: a tokenizers file, byte-level; ``b``: a sentencepiece model."""
+    """Both tokenizers, inside a worker. ``a``: a tokenizers file, byte-level; ``b``: a sentencepiece model; ``ranks`` as for ``packing.Encoder``."""
 
-    def __init__(self, a: str, b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, a: str, b: str, ranks: str | None = None, pattern: str = ""):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(a), SentencePieceProcessor(model_file=b)
-        self.a.encode_special_tokens = True
-        of = byte_of_characters()
-        added = {t.content for t in self.a.get_added_tokens_decoder().values()}
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for piece, k in self.a.get_vocab().items():
+
+        self.a, self.b = Encoder(a, ranks, pattern), SentencePieceProcessor(model_file=b)
+        slow = self.a.slow
+        slow.encode_special_tokens = True  # their strings in a text are ordinary text
+        of, added = byte_of_characters(), {t.content for t in slow.get_added_tokens_decoder().values()}
+        self.a_bytes = [b""] * slow.get_vocab_size()
+        for piece, k in slow.get_vocab().items():
             self.a_bytes[k] = piece.encode() if piece in added else bytes(map(of.__getitem__, piece))
         self.b_bytes = [self._piece(k) for k in range(self.b.get_piece_size())]
-        self.splits = not any(re.search("[^ ][ ]|\n", x.decode(errors="replace")) for k, x in enumerate(self.b_bytes) if not self.b.is_byte(k))
-        self.lead = self.b.encode("x")
+        self.kind = np.dtype("<u2" if max(len(self.a_bytes), len(self.b_bytes)) < 1 << 16 else "<u4")
+        self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)]
 
     def _piece(self, k: int) -> bytes:
         return bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace("▁", " ").encode()
 
-    def ids(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Of stretches that begin with white space; the second tokenizer is led into each by an x of its own."""
-        for at in range(0, len(stretches), 4096):
-            some = stretches[at : at + 4096]
-            left = self.a.encode_batch_fast(some, add_special_tokens=False)
-            right = self.b.encode(["x" + s for s in some], num_threads=1)
-            for a, b in zip(left, right, strict=True):
-                yield a.ids, b[len(self.lead) :]
-
-    def whole(self, text: str) -> tuple[list[int], list[int]]:
-        return self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-
-    def align(self, text: str, a: list[int], b: list[int]) -> Aligned | None:
-        """None where the tokens' bytes are not the text's."""
-        left, right = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b]
-        raw = text.encode()
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        i = j = 0
-        groups = []
-        while i < len(left):
-            first, second, x, y = i, j, len(left[i]), len(right[j])
-            i, j = i + 1, j + 1
-            while x != y:
-                if x < y:
-                    x, i = x + len(left[i]), i + 1
-                else:
-                    y, j = y + len(right[j]), j + 1
-            groups.append((a[first:i], b[second:j]))
-        return Aligned(groups)
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes] | None]:
+        """Ids of each text by both, as numbers of ``kind``; None where it has no tokens."""
+        some = [t for t in texts if t]
+        others = iter(self.b.encode(some, num_threads=1))
+        for t in texts:
+            if not t:
+                yield None
+                continue
+            a, b = self.a.ids(" " + t), next(others)
+            raw = b" " + t.encode()
+            whole = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            yield (np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if whole else None
+
+    def aligned(self, left: list[bytes | None], right: list[bytes | None]) -> tuple[Aligned, np.ndarray]:
+        """Encoded documents aligned, and which of them those are that have tokens."""
+        good = [k for k, x in enumerate(left) if x is not None]
+        ids, many = [], []
+        for x in (left, right):
+            ids.append(np.frombuffer(b"".join([x[k] for k in good]), self.kind).astype(np.int64))
+            many.append(np.fromiter((len(x[k]) // self.kind.itemsize for k in good), np.int64, len(good)))
+        return Aligned(*ids, *(size[x] for size, x in zip(self.sizes, ids, strict=True)), *many), np.array(good, np.int64)
 
 
 class Aligned:
-    """Groups of ids, their links as distinct keys with how often each occurs, and their text."""
-
-    def __init__(self, groups: list[tuple[list[int], list[int]]]):
-        links: dict[int, int] = {}
-        for a, b in groups:
-            if len(a) == len(b) == 1:
-                key = a[0] << SHIFT | b[0]
-                links[key] = links.get(key, 0) + 1
-            else:
-                for x, m in _counted(a):
-                    for y, n in _counted(b):
-                        key = x << SHIFT | y
-                        links[key] = links.get(key, 0) + m * n
-        self.keys, self.times = np.fromiter(links, np.int64, len(links)), np.fromiter(links.values(), np.int64, len(links))
-        self.sizes = sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(len(a) * len(b) for a, b in groups)
-        self.text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-
-
-def _counted(ids: list[int]) -> list[tuple[int, int]]:
-    if len(ids) == 1:
-        return [(ids[0], 1)]
-    met: dict[int, int] = {}
-    for k in ids:
-        met[k] = met.get(k, 0) + 1
-    return list(met.items())
+    """Groups and links of some documents' tokens, which lie one document behind the other."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, of_a: np.ndarray, of_b: np.ndarray):
+        """Ids, the bytes of each token, and the tokens of each document."""
+        ends, others = np.cumsum(a_size), np.cumsum(b_size)
+        _, i, j = np.intersect1d(ends, others, assume_unique=True, return_indices=True)
+        self.a, self.b = a, b
+        self.a_from, self.b_from = np.r_[0, i[:-1] + 1].astype(np.int64)[: len(i)], np.r_[0, j[:-1] + 1].astype(np.int64)[: len(j)]
+        self.n, self.m = i + 1 - self.a_from, j + 1 - self.b_from  # tokens of each group
+        doc_ends = np.searchsorted(i, np.cumsum(of_a) - 1, side="right") if len(i) else np.zeros(len(of_a), np.int64)
+        self.groups = np.diff(np.r_[0, doc_ends])  # of each document; a document's end is a common end
+        self.doc_ends = doc_ends
+
+    def sums(self, each: np.ndarray) -> np.ndarray:
+        """By documents, of numbers of groups."""
+        upto = np.r_[0, np.cumsum(each)]
+        return upto[self.doc_ends] - upto[self.doc_ends - self.groups]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, key, how often) of all links, by documents; of very large groups by their distinct ids."""
+        doc = np.repeat(np.arange(len(self.groups)), self.groups)
+        many = self.n * self.m
+        small = many <= HUGE
+        size = np.where(small, many, 0)
+        of = np.repeat(np.arange(len(many)), size)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        left, right = self.a[self.a_from[of] + nth // self.m[of]], self.b[self.b_from[of] + nth % self.m[of]]
+        docs, keys, times = [doc[of]], [left << SHIFT | right], [np.ones(len(of), np.int64)]
+        for g in np.flatnonzero(~small).tolist():
+            x, n = np.unique(self.a[self.a_from[g] : self.a_from[g] + self.n[g]], return_counts=True)
+            y, m = np.unique(self.b[self.b_from[g] : self.b_from[g] + self.m[g]], return_counts=True)
+            keys.append((x[:, None] << SHIFT | y).ravel())
+            times.append((n[:, None] * m).ravel())
+            docs.append(np.full(len(keys[-1]), doc[g]))
+        if len(docs) == 1:
+            return docs[0], keys[0], times[0]
+        d, k, t = map(np.concatenate, (docs, keys, times))
+        order = np.argsort(d, kind="stable")
+        return d[order], k[order], t[order]
+
+    def texts(self) -> list[str]:
+        """Of each document ``a1,a2|b1;a3|b2``."""
+        total = len(self.a) + len(self.b)
+        ids, after = np.empty(total, np.int64), np.full(total, ord(","), np.uint8)
+        start = self.a_from + self.b_from
+        at_a = np.arange(len(self.a)) + np.repeat(self.b_from, self.n)
+        at_b = np.arange(len(self.b)) + np.repeat(self.a_from + self.n, self.m)
+        ids[at_a], ids[at_b] = self.a, self.b
+        after[start + self.n - 1] = ord("|")
+        after[start + self.n + self.m - 1] = ord(";")
+        width = np.searchsorted(_TENS, ids, side="right") + 1
+        ends = np.cumsum(width + 1)
+        out = np.empty(int(ends[-1]) if total else 0, np.uint8)
+        out[ends - 1] = after
+        rest, place = ids, ends - 2
+        for k in range(int(width.max(initial=0))):
+            some = width > k
+            out[place[some] - k] = rest[some] % 10 + ord("0")
+            rest = rest // 10
+        last = self.doc_ends[self.groups > 0] - 1
+        cuts = np.zeros(len(self.groups), np.int64)
+        cuts[self.groups > 0] = ends[(start + self.n + self.m - 1)[last]]
+        cuts = np.maximum.accumulate(cuts)
+        data, begin, found = out.tobytes(), 0, []
+        for end in cuts.tolist():
+            found.append(data[begin : end - 1].decode() if end > begin else "")
+            begin = max(begin, end)
+        return found
 
 
 class Counts:
@@ -169,104 +199,50 @@ class Counts:
                 out[a:b] = n[np.searchsorted(known, keys[a:b])]
         return out
 
-    def weigh(self, aligned: list[Aligned]) -> Iterator[tuple[int, int]]:
-        """(links whose count is the highest of their left id, sum of the counts over the links) of each."""
-        keys = np.concatenate([x.keys for x in aligned]) if aligned else np.empty(0, np.int64)
+    def weigh(self, docs: np.ndarray, keys: np.ndarray, times: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each document, the links whose count is the highest of their left id, and the sum of the counts over its links."""
         distinct, back = np.unique(keys, return_inverse=True)
         counts = self.of(distinct)
-        top = (counts == self.best[distinct >> SHIFT])[back]
-        counts, at = counts[back], 0
-        for x in aligned:
-            here = slice(at, at + len(x.keys))
-            yield int(x.times[top[here]].sum()), int((x.times * counts[here]).sum())
-            at += len(x.keys)
-
-
-class Memory:
-    """Stretches that this worker has met: for each its sizes, its keys and its text."""
-
-    def __init__(self, pair: Pair, counts: Counts | None = None):
-        self.pair, self.counts = pair, counts
-        self.place: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.place.clear()
-        self.found: list[Aligned | None] = []  #: as long as counts are not known
-        self.texts: list[str] = []  #: once they are
-        self.numbers = np.zeros((1024, 6), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
-        self.wrong = np.zeros(1024, bool)
-
-    def add(self, names: list[str], found: list[Aligned | None]) -> None:
-        whole = [x for x in found if x is not None]
-        weights = self.counts.weigh(whole) if self.counts else ((0, 0) for _ in whole)
-        for name, x in zip(names, found, strict=True):
-            k = self.place[name] = len(self.found)
-            if k == len(self.numbers):
-                self.numbers, self.wrong = (np.concatenate([v, np.zeros_like(v)]) for v in (self.numbers, self.wrong))
-            self.found.append(None if self.counts else x)
-            self.texts.append(x.text if self.counts and x is not None else "")
-            self.wrong[k] = x is None
-            self.numbers[k] = 0 if x is None else (*x.sizes, *next(weights))
-
-    def read(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
-        """Of each text the places of its stretches, good until the next is asked for; None if it has no tokens."""
-        if len(self.found) > REMEMBERED:
-            self.clear()
-        split: list[list[str] | str | None] = []
-        missing: dict[str, None] = {}
-        for t in texts:
-            if t and self.pair.splits and not ODD.search(t):
-                split.append(STRETCH.findall(" " + t))
-                missing.update(dict.fromkeys(s for s in split[-1] if s not in self.place))
-            else:
-                split.append(t or None)
-        self.add(list(missing), [self.pair.align(s, *ids) for s, ids in zip(missing, self.pair.ids(list(missing)), strict=True)])
-        for parts in split:
-            if parts is None:
-                yield None
-            elif isinstance(parts, list):
-                places = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
-                yield None if self.wrong[places].any() else places
-            else:
-                self.add(["whole"], [self.pair.align(" " + parts, *self.pair.whole(parts))])
-                last = len(self.found) - 1
-                yield None if self.wrong[last] else np.array([last])
-                self.forget("whole")
-        for name in missing:
-            if len(name) > LONG:
-                self.forget(name)
-
-    def forget(self, name: str) -> None:
-        k = self.place.pop(name)
-        self.found[k], self.texts[k] = None, ""
+        top = (counts == self.best[distinct >> SHIFT])[back] * times
+        upto = np.searchsorted(docs, np.arange(many + 1))
+        by_doc = lambda v: np.diff(np.r_[0, np.cumsum(v)][upto])
+        return by_doc(top), by_doc(counts[back] * times)
 
 
 _HELD: dict[tuple, Pair] = {}
 
 
-def _pair(a: str, b: str) -> Pair:
-    if (a, b) not in _HELD:
+def _pair(*files: str | None) -> Pair:
+    """A worker's tokenizers, which it keeps from task to task."""
+    if files not in _HELD:
         _HELD.clear()
-        _HELD[a, b] = Pair(a, b)
-    return _HELD[a, b]
+        _HELD[files] = Pair(*files)
+    return _HELD[files]
+
 
+def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows one behind the other, with about ``most`` bytes of a column together."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.empty(0)
+    at = 0
+    while at < batch.num_rows:
+        before = sizes[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(sizes, before + most)))
+        yield batch.slice(at, upto - at)
+        at = upto
 
-def _texts(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) of about ``most`` characters together."""
-    held, n, first = [], 0, 0
-    for at in range(0, len(column), 64):
-        for k, t in enumerate(column.slice(at, 64).to_pylist(), at):
-            held.append(t)
-            n += len(t or "")
-            if n >= most:
-                yield first, held
-                held, n, first = [], 0, k + 1
-    if held:
-        yield first, held
 
+def _encoded(files: tuple):
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(*files)
+        for batch in batches:
+            for part in _slices(batch, 1, AT_ONCE):
+                found = list(pair.encode(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x and x[w] for x in found], pa.binary()) for w in range(2))], ["doc_id", "a", "b"])
+
+    return task
 
-def _partials(a: str, b: str):
+
+def _partials(files: tuple):
     def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
         distinct, back = np.unique(keys, return_inverse=True)
@@ -277,22 +253,25 @@ def _partials(a: str, b: str):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in pairs], ["key", "n"])
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(_pair(a, b))
+        pair = _pair(*files)
         held, n = [], 0
         for rows in batches:
-            for _, texts in _texts(rows.column(0)):
-                for places in memory.read(texts):
-                    if places is None:
-                        continue
-                    keys = np.unique(np.concatenate([memory.found[k].keys for k in np.unique(places).tolist()]))
-                    held.append((keys, np.ones(len(keys), np.int64)))
-                    n += len(keys)
-                    if n >= HELD_KEYS:
-                        held = [folded(held)]
-                        n = len(held[0][0])
-                        if n >= HELD_KEYS // 2:  # nothing to be gained by holding on to them
-                            yield from batch(held[0])
-                            held, n = [], 0
+            for part in _slices(rows, 1, AT_ONCE):
+                aligned, _ = pair.aligned(*(c.to_pylist() for c in part.columns[1:]))
+                docs, keys, _ = aligned.links()
+                ends = np.searchsorted(docs, np.arange(len(aligned.groups) + 1)).tolist()
+                once = [np.unique(keys[x:y]) for x, y in zip(ends, ends[1:], strict=False)]  # a document counts a pair once
+                if not once:
+                    continue
+                keys = np.concatenate(once)
+                held.append((keys, np.ones(len(keys), np.int64)))
+                n += len(keys)
+                if n >= HELD_KEYS:
+                    held = [folded(held)]
+                    n = len(held[0][0])
+                    if n >= HELD_KEYS // 2:  # nothing to be gained by holding on to them
+                        yield from batch(held[0])
+                        held, n = [], 0
         if held:
             yield from batch(folded(held))
 
@@ -318,40 +297,54 @@ def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
 
-def pair_counts(docs: DataFrame, a: str, b: str, text_col: str = "text", work: Workspace | None = None) -> DataFrame:
-    """(key, n): in how many documents each pair of ids is linked; sorted by key within and across its files."""
+def encoded(docs: DataFrame, files: tuple, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
+    """(doc_id, a, b): the ids of every text by both tokenizers, as little-endian numbers; null where it has no tokens."""
     work = work or Workspace(docs.sparkSession, "alignment")
-    partial = work.write(docs.select(col(text_col).alias("text")).mapInArrow(_partials(a, b), "key bigint, n bigint"), "partial")
+    read = docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).alias("text"))
+    return work.write(read.mapInArrow(_encoded(files), "doc_id bigint, a binary, b binary"), "encoded")
+
+
+def pair_counts(ids: DataFrame, files: tuple, work: Workspace | None = None) -> DataFrame:
+    """(key, n) of encoded documents: in how many of them each pair of ids is linked; sorted by key within and across its files."""
+    work = work or Workspace(ids.sparkSession, "alignment")
+    partial = work.write(ids.mapInArrow(_partials(files), "key bigint, n bigint"), "partial")
     shards = max(1, -(-partial.count() // SHARD_ROWS))
     ordered = partial.repartitionByRange(shards, "key").sortWithinPartitions("key")
-    return work.write(ordered.mapInArrow(_summed, "key bigint, n bigint"), "counts")
+    counts = work.write(ordered.mapInArrow(_summed, "key bigint, n bigint"), "counts")
+    work.drop("partial")
+    return counts
 
 
-def _aligned(a: str, b: str, names: list[str], best):
+def _aligned(files: tuple, names: list[str], best):
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Memory(_pair(a, b), Counts(names, best.value))
-        out, nothing = Batcher(ALIGNED, cost=8 << 20), (0, 0, 0, 0, 0, 0)
+        pair, counts = _pair(*files), Counts(names, best.value)
+        out = Batcher(ALIGNED, cost=8 << 20)
         for rows in batches:
-            ids = rows.column(0)
-            for first, texts in _texts(rows.column(1)):
-                for doc_id, places in zip(ids.slice(first, len(texts)).to_pylist(), memory.read(texts), strict=True):
-                    if places is None:
-                        yield from out.add((doc_id, *nothing, ""))
-                        continue
-                    groups = ";".join(map(memory.texts.__getitem__, places.tolist()))
-                    yield from out.add((doc_id, *memory.numbers[places].sum(0).tolist(), groups), len(groups))
+            for part in _slices(rows, 1, AT_ONCE):
+                ids, *both = (c.to_pylist() for c in part.columns)
+                aligned, good = pair.aligned(*both)
+                tops, sums = counts.weigh(*aligned.links(), len(good))
+                numbers = np.zeros((len(ids), 6), np.int64)
+                numbers[good] = np.stack([aligned.sums(aligned.n), aligned.sums(aligned.m), aligned.groups, aligned.sums(aligned.n * aligned.m), tops, sums], 1)
+                groups = dict(zip(good.tolist(), aligned.texts(), strict=True))
+                for k, (doc_id, each) in enumerate(zip(ids, numbers.tolist(), strict=True)):
+                    text = groups.get(k, "")
+                    yield from out.add((doc_id, *each, text), len(text))
         yield from out.flush()
 
     return task
 
 
-def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str = "") -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every row.
 
     ``groups``: ``a1,a2|b1;a3|b2`` in decimal ids; ``a`` is a tokenizers file (byte-level), ``b`` a sentencepiece model.
+    ``ranks`` and ``pattern``: the first vocabulary as byte ranks, for texts where a faster library is certain to agree.
     """
-    spark = docs.sparkSession
-    counts = pair_counts(docs, a, b, text_col)
+    spark, files = docs.sparkSession, (a, b, ranks, pattern)
+    work = Workspace(spark, "alignment")
+    ids = encoded(docs, files, id_col, text_col, work)
+    counts = pair_counts(ids, files, work)
     highest = counts.groupBy(F.shiftright("key", SHIFT).alias("a")).agg(F.max("n").alias("n")).collect()  # a row for each entry of the vocabulary at most
     best = np.zeros(max((r["a"] for r in highest), default=0) + 1, np.int64)
     for r in highest:
@@ -360,5 +353,4 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     for file in counts.inputFiles():
         spark.sparkContext.addFile(file)
         names.append(unquote(file.rsplit("/", 1)[1]))
-    read = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    return read.mapInArrow(_aligned(a, b, names, spark.sparkContext.broadcast(best)), ALIGNED_DDL)
+    return ids.mapInArrow(_aligned(files, names, spark.sparkContext.broadcast(best)), ALIGNED_DDL)

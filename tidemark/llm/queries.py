@@ -81,7 +81,7 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = alignment.align(_documents(spark, sf_dir), TOKENIZERS.path("byte_bpe_50k.json"), TOKENIZERS.path("piece_bpe_32k.model"))
+    found = alignment.align(_documents(spark, sf_dir), TOKENIZERS.path("byte_bpe_50k.json"), TOKENIZERS.path("piece_bpe_32k.model"), ranks=TOKENIZERS.path("byte_bpe_50k.tiktoken"), pattern=TOKENIZERS.PATTERN)
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
 
