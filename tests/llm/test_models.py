@@ -26,7 +26,7 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 
 def test_gradient_is_right():
     rng = np.random.default_rng(0)
-    x, y = rng.integers(0, 257, (5, 3)), rng.normal(size=(5, 3, 4)).astype(np.float32)
+    x, y = np.r_[rng.integers(0, 257, (5, 3)), [[5, language_id.PAD, 7]], rng.integers(0, 257, (2, 3))], rng.normal(size=(8, 3, 4)).astype(np.float32)
     layer = language_id.Layer(4, 1)
     layer.p = {k: v.astype(np.float64) for k, v in layer.p.items()}
     loss = lambda: float((layer.trace(x)[0] * y).sum())
@@ -71,8 +71,7 @@ def plain_probabilities(tagger, text, stretch):
     total = [0.0] * len(tagger.labels)
     for at in range(0, len(text), stretch):
         part = list(text[at : at + stretch])
-        filled = part + [language_id.PAD] * ((stretch if len(text) > stretch else len(part)) - len(part))
-        ahead, behind = states(tagger.ahead, filled), states(tagger.behind, filled[::-1])[::-1]
+        ahead, behind = states(tagger.ahead, part), states(tagger.behind, part[::-1])[::-1]
         for a, b in list(zip(ahead, behind, strict=True))[: len(part)]:
             e = [exp(sum(v * float(w) for v, w in zip([*a, *b], tagger.head[:, k], strict=True)) + float(tagger.bias[k])) for k in range(len(total))]
             total = [t + x / sum(e) for t, x in zip(total, e, strict=True)]
@@ -87,6 +86,27 @@ def test_documents_are_the_plain_recursion():
         assert np.allclose(tagger.documents([text], stretch=16)[0], plain_probabilities(tagger, text, 16), atol=1e-5)
 
 
+def test_neighbours_change_nothing():
+    """Texts alone, beside others, in any order and any size of block."""
+    r = np.random.default_rng(3)
+    tagger = language_id.ByteTagger(["a", "b", "c"])
+    texts = [bytes(r.integers(97, 123, int(n)).astype(np.uint8)) for n in [*r.integers(1, 60, 30), *r.integers(100, 900, 8), 128, 127, 129]]
+    alone = np.array([tagger.documents([t])[0] for t in texts])
+    order = r.permutation(len(texts))
+    for block in (1, 7, 2048):
+        assert np.allclose(tagger.documents([texts[k] for k in order], block=block), alone[order], atol=1e-6)
+
+
+def test_predictions_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", F.explode(F.array(F.col("text"), F.substring("text", 1, 20), F.substring("text", 30, 9))).alias("text"))
+    model = language_id.train(docs, steps=40)
+    read = lambda df: {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in language_id.predict(df, model, keep=("doc_id", "text")).collect()}
+    one = read(docs.coalesce(1).orderBy("text"))
+    other = read(docs.repartition(7).orderBy(F.length("text")))
+    assert len(one) > 300 and one.keys() == other.keys()
+    assert all(one[k][0] == other[k][0] and abs(one[k][1] - other[k][1]) <= 1e-4 for k in one)
+
+
 def test_training_sample_is_bounded(spark):
     rows = [(k, f"text number {k} of many", "en") for k in range(300)] + [(9, "the same again", "de")] * 200 + [(8, "12 34", "de")]
     some = language_id.training_sample(frame(spark, rows), "doc_id", "text", "lang", 40, 4, 20)

@@ -8,7 +8,8 @@ backpropagation through time.
 Training uses a bounded sample, on the driver: at most ``TRAIN_DOCS`` different labelled documents of
 a language, those of the smallest hashes, and ``TRAIN_CUTS`` stretches of each. Prediction reads every byte of every text, in
 stretches of ``STRETCH`` bytes that are run side by side, in blocks of bounded size; it needs no
-shuffle, and the network (some thousand numbers) is broadcast.
+shuffle, and the network (some thousand numbers) is broadcast. A text's probabilities are a function of
+the text: what fills up its last stretch leaves the states at zero, so its neighbours in a block do not matter.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; so is every
 text if no labelled document could be learned from. A tie goes to the language first in order.
@@ -32,8 +33,9 @@ from tidemark.llm.columns import col, others, packed
 
 TRAIN_DOCS, TRAIN_CUTS, TRAIN_CHARS = 500, 4, 72
 HIDDEN, STEPS, BATCH, RATE, SEED = 16, 240, 128, 0.01, 7
-STRETCH, BLOCK = 128, 2048
+STRETCH, BLOCK, LEAST_ROWS = 128, 2048, 16
 PAD = 256
+DIGITS = 4  #: of probabilities; products of different shapes differ in the last bits of single precision
 UNKNOWN = "und"
 #: What a cutoff on the score may cost, and may be.
 RISK, DELTA = 0.005, 0.05
@@ -79,19 +81,25 @@ class Layer:
             self.p[f"back_{g}"] = rng.normal(0, 0.5 / np.sqrt(self.hidden), (self.hidden, self.hidden)).astype(np.float32)
 
     def states(self, x: np.ndarray) -> np.ndarray:
-        """(time, row, hidden) for symbols (time, row)."""
-        p, h = self.p, np.zeros((x.shape[1], self.hidden), np.float32)
-        out = np.empty((*x.shape, self.hidden), np.float32)
+        """(time, row, hidden) for symbols (time, row). PAD holds a state at zero, so bytes behind it are read as if it were not there."""
+        m, h = self.hidden, np.zeros((x.shape[1], self.hidden), np.float32)
+        back, table = (np.concatenate([self.p[f"{side}_{g}"] for g in GATES], 1) for side in ("back", "in"))
+        out, pad = np.empty((*x.shape, m), np.float32), x == PAD
+        filled = pad.any(1)
         for t in range(len(x)):
-            z, r, q = h @ p["back_update"], h @ p["back_reset"], h @ p["back_new"]
-            z += p["in_update"].take(x[t], 0)
-            r += p["in_reset"].take(x[t], 0)
-            q *= _sigmoid(r)
-            q += p["in_new"].take(x[t], 0)
+            a, b = h @ back, table.take(x[t], 0)
+            gates = a[:, : 2 * m]
+            gates += b[:, : 2 * m]
+            _sigmoid(gates)
+            q = a[:, 2 * m :]
+            q *= gates[:, m:]
+            q += b[:, 2 * m :]
             np.tanh(q, out=q)
             q -= h
-            q *= _sigmoid(z)
+            q *= gates[:, :m]
             h = np.add(h, q, out=out[t])
+            if filled[t]:
+                h[pad[t]] = 0
         return out
 
     def trace(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
@@ -104,7 +112,7 @@ class Layer:
             q = h @ p["back_new"]
             n = np.tanh(p["in_new"][x[t]] + r * q)
             kept.append((h, z, r, q, n))
-            h = out[t] = h + z * (n - h)
+            h = out[t] = np.where((x[t] == PAD)[:, None], 0, h + z * (n - h))
         return out, kept
 
     def gradient(self, x: np.ndarray, kept: list[tuple], into: np.ndarray) -> dict[str, np.ndarray]:
@@ -114,7 +122,7 @@ class Layer:
         out = {k: np.zeros_like(v) for k, v in p.items()}
         for t in range(len(x) - 1, -1, -1):
             h, z, r, q, n = kept[t]
-            dh = dh + into[t]
+            dh = np.where((x[t] == PAD)[:, None], 0, dh + into[t])
             dn = dh * z * (1 - n * n)
             dz = dh * (n - h) * z * (1 - z)
             dr, dq = dn * q * r * (1 - r), dn * r
@@ -186,10 +194,11 @@ class ByteTagger:
         for at in range(0, len(rows), block):
             part, n = rows[at : at + block], filled[at : at + block]
             longest = int(n.max())
-            p = self.positions(part[:, :longest])
+            several = np.pad(part[:, :longest], ((0, max(0, LEAST_ROWS - len(part))), (0, 0)), constant_values=PAD)
+            p = self.positions(several)[:, : len(part)]
             if int(n.min()) < longest:
                 p *= (np.arange(longest)[:, None] < n)[:, :, None]
-            np.add.at(total, of[at : at + block], p.sum(0))
+            np.add.at(total, of[at : at + block], p.sum(0, dtype=np.float64))
         return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
@@ -251,6 +260,7 @@ def _predict(model, most: int = 4 << 20):
                     take += 1
                 p = tagger.documents([texts[k] for k in todo[:take]])
                 for k, row in zip(todo[:take], p, strict=True):
+                    row = row.round(DIGITS)
                     best[k], score[k] = tagger.labels[int(row.argmax())], min(1.0, float(row.max()))
                 todo = todo[take:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score)], ["d", "lang_pred", "score"])
