@@ -8,9 +8,13 @@ Texts with the same set fall together first. Then each text is compared with one
 one of its buckets. Those that link drop out of the bucket, and what is left is compared with its own
 smallest, ``LEADERS`` times in all. So a large group of near copies costs a comparison each. In
 buckets that still hold several components all texts outside the largest meet all texts of the
-bucket, in tiles of bounded size inside a task. There ``BANDS * ROWS`` minima of each tell which pairs
-may be similar at all (fewer than ``AGREE`` equal ones happen to one similar pair in 10^10); only those
-are handed on to be confirmed.
+bucket, in tiles of bounded size inside a task.
+
+The ``BANDS * ROWS`` minima of each text, 16 bits of each, tell which pairs may be similar at all
+(fewer than ``AGREE`` equal ones happen to one similar pair in 10^10); only those are handed on to be
+confirmed. For that the texts of one partner come together in parts of ``MEMBERS``, each with the
+partner's own set, so a pair moves one set, once. Texts that lie dealt by their ids (a bucketed table)
+stay where they are until then.
 
 Words are those of the SimHash operator; a text of at most five words is one shingle, and blank
 texts share the empty set. Shingles are compared by 64-bit hashes.
@@ -23,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -33,7 +37,7 @@ from tidemark.llm.workspace import Workspace
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
-LEADERS, AGREE = 3, 70
+LEADERS, AGREE, MEMBERS = 3, 70, 512
 _FACTORS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 AT_ONCE = 4_096
 
@@ -60,11 +64,10 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One number for each band of minimum hashes; none for the empty set."""
-    if not len(found):
+def bands(least: np.ndarray | None) -> np.ndarray:
+    """One number for each band of minimum hashes; none for the empty set, which has none."""
+    if least is None:
         return np.empty(0, np.uint64)
-    least = minima(found)
     key = np.arange(BANDS, dtype=np.uint64)
     for row in least.reshape(BANDS, ROWS).T:
         key = mix(key * np.uint64(0xD6E8FEB86659FD93) + row)
@@ -73,28 +76,52 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys, sizes, met = [], [], [], []
+        ids, keys, sizes, met, signed = [], [], [], [], []
         for row, text in rows_of([batch]):
             found = shingles(text)
             ids.append(row)
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
-            met.append(bands(found).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(met, pa.list_(pa.int64()))], ["row", "key", "n", "bands"])
+            least = minima(found) if len(found) else None
+            met.append(bands(least).view(np.int64))
+            signed.append(None if least is None else (least >> np.uint64(48)).astype(np.uint16).tobytes())
+        columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(met, pa.list_(pa.int64())), pa.array(signed, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "key", "n", "bands", "signature"])
+
+
+def _likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (u, v, signature of u, signature of v) the pairs that may be similar."""
+    for batch in batches:
+        if batch.num_rows:
+            one, other = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            some = pa.array(np.flatnonzero((one == other).sum(axis=1) >= AGREE))
+            yield pa.RecordBatch.from_arrays([c.take(some) for c in batch.columns[:2]], ["u", "v"])
+
+
+_SETS = "v bigint, part int, role tinyint, node bigint, found binary"
 
 
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            found = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "found"])
+            found = pa.array([shingles(t).tobytes() for t in part.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], found], ["v", "part", "role", "node", "found"])
 
 
-def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by partner and part, the partner's own set first: it is held, and each other set compared with it."""
+    now, held = None, None
     for batch in batches:
-        some = [(minima(shingles(t)) >> np.uint64(48)).astype(np.uint16).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(some, pa.binary())], ["node", "signature"])
+        u, v = [], []
+        for partner, part, role, node, found in rows_of([batch], 64):
+            own = np.frombuffer(found, np.uint64)
+            if role == 0:
+                now, held = (partner, part), own
+            elif (partner, part) == now and 9 * len(np.intersect1d(held, own, assume_unique=True)) >= 4 * (len(held) + len(own)):
+                u.append(node)
+                v.append(partner)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,19 +147,22 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def similar(common: Column, n: Column, m: Column) -> Column:
-    """Whether ``common`` of sets of ``n`` and ``m`` are a Jaccard similarity of 0.8 or more."""
-    return 9 * common >= 4 * (n + m)
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The pairs (u, v) that are similar, by the sets of the texts they name."""
-    named = work.write(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), f"{name}_named")
-    sets = work.write(texts.join(named, texts["doc_id"] == named["node"], "left_semi").select("doc_id", "text").mapInArrow(_sets, "node bigint, found array<bigint>"), f"{name}_sets")
-    one = sets.select(F.col("node").alias("u"), F.col("found").alias("a"))
-    other = sets.select(F.col("node").alias("v"), F.col("found").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    return work.write(pairs.join(one, "u").join(other, "v").where(similar(common, F.size("a"), F.size("b"))).select("u", "v"), f"{name}_links")
+def _confirmed(pairs: DataFrame, signed: DataFrame, texts: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (u, v) that are similar: those whose signatures allow it, by the sets of their texts."""
+    one = signed.select(F.col("row").alias("u"), F.col("signature").alias("a"))
+    other = signed.select(F.col("row").alias("v"), F.col("signature").alias("b"))
+    likely = work.write(pairs.join(one, "u").join(other, "v").select("u", "v", "a", "b").mapInArrow(_likely, "u bigint, v bigint"), f"{name}_likely")
+    parts = likely.groupBy("v").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    member = likely.join(parts, "v").select(F.col("u").alias("node"), "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), F.lit(1).cast("tinyint").alias("role"))
+    partner = parts.select(F.col("v").alias("node"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).cast("tinyint").alias("role"))
+    needed = work.write(member.unionByName(partner), f"{name}_needed").hint("shuffle_hash")
+    met = texts.join(needed, texts["doc_id"] == needed["node"]).select("v", "part", "role", "node", "text").mapInArrow(_sets, _SETS)
+    dealt = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = met.repartition(dealt, "v", "part").sortWithinPartitions("v", "part", "role").mapInArrow(_confirm, "u bigint, v bigint")
+    found = work.write(found, f"{name}_links")
+    for done in ("likely", "needed"):
+        work.drop(f"{name}_{done}")
+    return found
 
 
 def similar_components(docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -142,7 +172,7 @@ def similar_components(docs: DataFrame, candidates: DataFrame, id_col: str, text
     """
     work = Workspace(docs.sparkSession, "resemblance")
     texts = as_bytes(docs, id_col, text_col)
-    table = work.write(texts.mapInArrow(_sketch, "row bigint, key binary, n int, bands array<bigint>"), "sketches")
+    table = work.write(texts.mapInArrow(_sketch, "row bigint, key binary, n int, bands array<bigint>, signature binary"), "sketches")
     nodes = table.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("copies"))
     nodes = work.write(nodes.where("copies > 1"), "copied")
     copies = work.write(table.join(nodes, "key").where("row <> node").select(F.col("row").alias("u"), F.col("node").alias("v")), "copies")
@@ -156,7 +186,7 @@ def similar_components(docs: DataFrame, candidates: DataFrame, id_col: str, text
     fits = lambda a, b: 5 * F.least(a, b) >= 4 * F.greatest(a, b)  # noqa: E731  sizes that allow the similarity
     given = home(home(candidates.select("u", "v"), "u"), "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     several = lambda df: df.groupBy("band").agg(F.min(F.struct("node", "n", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "first")
-    tried, links = None, None
+    tried, links, signed = None, None, table.select("row", "signature")
     for turn in range(LEADERS):
         active = work.write(placed.join(several(placed), "band"), f"active_{turn}")
         if turn and active.isEmpty():
@@ -165,25 +195,26 @@ def similar_components(docs: DataFrame, candidates: DataFrame, id_col: str, text
         near = near.groupBy("u").agg(F.min("v").alias("v"))  # one of its buckets' leaders for each text and turn; the last step leaves none out
         pairs = near.union(given).distinct() if tried is None else near.join(tried, ["u", "v"], "left_anti")
         pairs = work.write(pairs, f"pairs_{turn}")
-        found = _confirmed(pairs, texts, work, f"turn_{turn}")
+        found = _confirmed(pairs, signed, texts, work, f"turn_{turn}")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         if not turn or not found.isEmpty():
             roots = work.write(components(links, Workspace(docs.sparkSession, "resemblance")), f"roots_{turn}")
         root_of = lambda df, c, out: df.join(roots.select(F.col("u").alias(c), F.col("root").alias("__root")), c, "left").withColumn(out, F.coalesce("__root", c)).drop("__root")  # noqa: E731, B023
         after = root_of(root_of(active.select("band", "node", "n", F.col("first.node").alias("leader")), "node", "root"), "leader", "leader_root")
         placed = work.write(after.where("root <> leader_root").select("band", "node", "n", "root"), f"placed_{turn}")
+        work.drop(f"active_{turn}")
+        if turn:
+            work.drop(f"placed_{turn - 1}")
     met = root_of(met, "node", "root")
     each = met.groupBy("band", "root").agg(F.count("*").alias("many")).groupBy("band").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
     rest = work.write(met.join(each.where("roots > 1").select("band", "main"), "band"), "rest")
     if not rest.isEmpty():
-        named = rest.select("node").distinct()
-        signed = texts.join(named, texts["doc_id"] == named["node"], "left_semi").select("doc_id", "text").mapInArrow(_signatures, "node bigint, signature binary")
         roles = F.when(F.col("root") == F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))).cast("array<tinyint>")
-        both = rest.join(signed, "node").select(F.col("band").alias("key"), F.explode(roles).alias("role"), "node", "n", "root", "signature")
+        both = rest.join(signed.withColumnRenamed("row", "node"), "node").select(F.col("band").alias("key"), F.explode(roles).alias("role"), "node", "n", "root", "signature")
         dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         pairs = tiled(both, work, ("node", "n", "root", "signature")).repartition(dealt, "tile").sortWithinPartitions("tile", "role").mapInArrow(_alike, "u bigint, v bigint")
         pairs = work.write(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "other_pairs")
-        links = links.union(_confirmed(pairs, texts, work, "other"))
+        links = links.union(_confirmed(pairs, signed, texts, work, "other"))
     found = components(links.union(copies), Workspace(docs.sparkSession, "resemblance"))
     work.drop()  # what is found reads tables of its own
     return found

@@ -55,12 +55,17 @@ def is_whole(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
+_MADE: list[Workspace] = []  #: folders of their own that nothing has dropped yet
+
+
 class Workspace:
     """A folder of its own below the shared one, or the one that is named."""
 
     def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
         self.spark = spark
         self.path = (folder or f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}").rstrip("/")
+        if folder is None:
+            _MADE.append(self)
 
     def write(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Writes ``df`` and gives it back as a plain scan, which ends its lineage."""
@@ -93,3 +98,10 @@ class Workspace:
         """Deletes one table, or all of them, once no later stage reads it."""
         path, files = _path(self.spark, f"{self.path}/{name}" if name else self.path)
         files.delete(path, True)
+        if not name and self in _MADE:
+            _MADE.remove(self)
+
+
+def made() -> list[Workspace]:
+    """The folders of their own that jobs have made and not dropped, to be dropped by whoever runs several jobs one after the other."""
+    return list(_MADE)
