@@ -6,6 +6,9 @@ folder that the caller names, a run that was broken off goes on behind its last
 the last stage return the columns of ``documents``, whatever else those are called: operators see a
 row number, the text and the columns they need, and the rest travels beside them as one struct.
 
+Tables that a stage leaves for its result to be read from go when the next stage begins: by then that
+result has been written.
+
 A stage that drops documents removes them with an anti-join against the (few) ids of those that
 go, so the texts move only if those are too many to broadcast.
 
@@ -19,6 +22,9 @@ an empty table gives an empty table; repeated rows count as copies of each other
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,15 +32,32 @@ from tidemark.llm import decontaminate, language_id, line_dedup, packing, resemb
 from tidemark.llm.columns import col, packed
 from tidemark.llm.queries import pack_parameters
 from tidemark.llm.textsql import BLANKS
-from tidemark.llm.workspace import Workspace, is_whole
+from tidemark.llm.workspace import Workspace, is_whole, made
+
+_LEFT: list[Workspace] = []  #: of the stage before
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(f)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _LEFT:
+            _LEFT.pop().drop()
+        before = made()
+        out = f(spark, docs, sf_dir)
+        _LEFT.extend(w for w in made() if w not in before)
+        return out
+
+    return stage
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, d): the rows with a number of their own, stored so that every later scan sees the same; and (row, text) of it."""
-    table = Workspace(docs.sparkSession, "stage").write(docs.select(F.monotonically_increasing_id().alias("row"), packed(docs.columns).alias("d")), "numbered")
+def _numbered(docs: DataFrame, work: Workspace, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(row, d): the rows with a number of their own, stored so that every later scan sees the same (``dealt`` by it, for joins); and (row, text) of it."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), packed(docs.columns).alias("d"))
+    table = work.write_bucketed(rows, "row") if dealt else work.write(rows, "numbered")
     return table, table.select("row", F.col("d")["text"].alias("text"))
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in no language that the network knows; a null ``lang`` becomes the one found."""
     beside = docs.select(packed(docs.columns).alias("d"), col("doc_id"), col("lang"), col("text"))
@@ -45,6 +68,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(F.col("d").withField("lang", F.coalesce("lang", "lang_pred")).alias("d")).select("d.*")
 
 
+@_stage
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated chunks of lines out of the texts; a text that they leave nothing of goes."""
     rest = [c for c in docs.columns if c != "text"]
@@ -54,26 +78,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select(*[new.get(c, F.col("d")[c]).alias(c) for c in docs.columns])
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies the document that comes first.
 
     Near copies have five-word shingles of a Jaccard similarity of 0.8 or more: close fingerprints
     and shared minimum hashes only propose pairs.
     """
-    numbered, texts = _numbered(docs)
+    before, work = made(), Workspace(spark, "stage")
+    numbered, texts = _numbered(docs, work, dealt=True)
     found = simhash.near_duplicates(texts, id_col="row")
     close = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
-    gone = resemblance.similar_components(texts, close, "row").select(F.col("u").alias("row"))
+    gone = work.write(resemblance.similar_components(texts, close, "row").select(F.col("u").alias("row")), "gone")
+    for other in made():
+        if other is not work and other not in before:
+            other.drop()
     return numbered.join(gone, "row", "left_anti").select("d.*")
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages make up a twentieth or more of."""
-    numbered, texts = _numbered(docs)
+    numbered, texts = _numbered(docs, Workspace(spark, "stage"))
     found = decontaminate.find_contamination(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="row")
     return numbered.join(found.where("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti").select("d.*")
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
     return packing.pack_documents(docs, **pack_parameters())
@@ -97,5 +128,12 @@ def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFram
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         place = f"{k}_{name}"
-        docs = spark.read.parquet(f"{work.path}/{place}") if folder and is_whole(spark, f"{work.path}/{place}") else work.write(stage(spark, docs, sf_dir), place)
+        if folder and is_whole(spark, f"{work.path}/{place}"):
+            docs = spark.read.parquet(f"{work.path}/{place}")
+            continue
+        docs = work.write(stage(spark, docs, sf_dir), place)
+        if k and not folder:
+            work.drop(f"{k - 1}_{STAGES[k - 1][0]}")
+    while _LEFT:
+        _LEFT.pop().drop()
     return docs
