@@ -132,6 +132,36 @@ def test_stack_over_chunks(spark):
         windows.stack(series(spark, x), 0, 2)
 
 
+@pytest.mark.parametrize("window", [1, 2, 5])
+@pytest.mark.parametrize("runs", ["long", "short", "one"])
+def test_lag_moments_are_those_of_stacked_windows(window, runs):
+    r = np.random.default_rng(window)
+    x = r.normal(3, 2, (90 + window - 1, 3))
+    labels = {"long": np.arange(90) // 20 % 3, "short": r.integers(0, 3, 90), "one": np.where(np.arange(90) == 44, 1, 0)}[runs]
+    labels[50:53] = -1  # without a label
+    stacked = windows.windows_of(x, window)
+    got = moments.lag_moments(x, labels, window)
+    assert set(got) == set(labels[labels >= 0].tolist())
+    for k, (n, mean, m2) in got.items():
+        own = stacked[labels == k]
+        assert n == len(own) and np.allclose(mean, own.mean(0)) and np.allclose(m2, (own - own.mean(0)).T @ (own - own.mean(0)))
+
+
+@pytest.mark.parametrize("tail", ["zero", "drop", "data"])
+def test_packed_chunks_hold_the_stacked_windows(spark, tail):
+    x = np.random.default_rng(9).normal(size=(61, 2))
+    two = series(spark, x).union(series(spark, x[:17] + 5, "b"))
+    for window, chunk in ((1, 7), (4, 5), (4, 1000)):
+        want = windows.stack(two, window, 2, tail, chunk).toPandas()
+        held = windows.packed(two, window, 2, tail, chunk, 3)
+        assert rows(windows.unpacked(held, window, 2).toPandas()) == rows(want)
+        labels = windows.stack(two, window, 2, tail).select("series_id", "t", (F.floor(F.col("t") / 9) % 2).cast("int").alias("cluster"))
+        dealt = moments.partial_moments_packed(held, labels.withColumn("c", ordering.chunk_of(F.col("t"), max(window, chunk))), window, 2)
+        for row in moments.merged(dealt).collect():
+            own = np.stack(want[(want.t // 9 % 2) == row["cluster"]].x)
+            assert row["n"] == len(own) and np.allclose(row["mean"], own.mean(0)) and np.allclose(np.reshape(row["m2"], (2 * window, -1)), (own - own.mean(0)).T @ (own - own.mean(0)))
+
+
 def test_order_helpers(spark):
     long = spark.range(1000).repartition(7).select((F.col("id") * 3).alias("t"), F.lit("0").alias("series_id"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("v"))
     ranked = ordering.with_rank(long, chunk=100).select("t", "rank").collect()

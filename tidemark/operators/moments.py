@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import windows
+
 PARTIAL = "cluster int, n bigint, mean array<double>, m2 array<double>"
 WEIGHTED = "cluster int, n double, mean array<double>, m2 array<double>"  #: windows that count in part
 
@@ -51,20 +53,59 @@ def merge(a: tuple | None, b: tuple) -> tuple:
     return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
-def partial_moments(windows: DataFrame) -> DataFrame:
+def partial_moments(labelled: DataFrame) -> DataFrame:
     """Of (cluster, x), a row for each cluster and task: nothing but these rows is shuffled."""
-    return windows.select("cluster", "x").mapInPandas(_partials, PARTIAL)
-
-
-def partial_moments_dealt(windows: DataFrame, assigned: DataFrame) -> DataFrame:
-    """As ``partial_moments`` for windows that lie dealt by (series_id, c): only the labels (series_id, t, c, cluster) move."""
+    return labelled.select("cluster", "x").mapInPandas(_partials, PARTIAL)
+
+
+def lag_moments(x: np.ndarray, labels: np.ndarray, window: int) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Moments of the windows of each label, from the observations ``x`` alone: window i is x[i], …, x[i + window - 1].
+
+    Entry (a, a + lag) of a stacked covariance is a sum of products x[i + a] x[i + a + lag] over the windows i of a cluster.
+    From one a to the next that sum changes only where runs of the cluster begin or end. So the products of each
+    lag are summed once, and the rest is corrections at the ends of runs: no window is ever written down.
+    """
+    own, n = len(labels), x.shape[1]
+    centre = x.mean(0)  # what the sums are taken around, for their digits' sake
+    z = x - centre
+    out = {}
+    for k in np.unique(labels[labels >= 0]).tolist():
+        mine = np.flatnonzero(labels == k)
+        turns = np.diff(np.r_[0, (labels == k).astype(np.int8), 0].astype(np.int8))
+        at = np.flatnonzero(turns)
+        sign = turns[at].astype(float)[:, None]
+        first = np.empty((window, n))
+        second = np.empty((window, n, window, n))
+        first[0] = z[mine].sum(0)
+        for a in range(window - 1):
+            first[a + 1] = first[a] - (sign * z[at + a]).sum(0)
+        for lag in range(window):
+            now = z[mine].T @ z[mine + lag]
+            for a in range(window - lag):
+                if a:
+                    now = now - (sign * z[at + a - 1]).T @ z[at + a - 1 + lag]
+                second[a, :, a + lag], second[a + lag, :, a] = now, now.T
+        mean = first.ravel() / len(mine)
+        out[k] = len(mine), mean + np.tile(centre, window), second.reshape(window * n, -1) - len(mine) * np.outer(mean, mean)
+    return out
+
+
+def partial_moments_packed(chunks: DataFrame, assigned: DataFrame, window: int, sensors: int) -> DataFrame:
+    """As ``partial_moments`` for the windows of PACKED chunks, which lie dealt by (series_id, c): only the labels (series_id, t, c, cluster) move."""
 
     def one(part: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
-        met = part[["t", "x"]].merge(labels[["time", "cluster"]], left_on="t", right_on="time")
-        return next(_partials([met]))
+        held: dict = {}
+        for row in part.itertuples(index=False):
+            own = np.full(row.own, -1)
+            place = labels["time"].to_numpy() - row.first
+            inside = (place >= 0) & (place < row.own)
+            own[place[inside]] = labels["cluster"].to_numpy()[inside]
+            for k, moments_ in lag_moments(windows.observations(row.x, sensors), own, window).items():
+                held[k] = merge(held.get(k), moments_)
+        return as_rows(held)
 
     labels = assigned.select(F.col("series_id").alias("of"), F.col("c").alias("chunk"), F.col("t").alias("time"), "cluster")
-    each = windows.groupBy("series_id", "c").cogroup(labels.groupBy("of", "chunk")).applyInPandas(one, PARTIAL)
+    each = chunks.groupBy("series_id", "c").cogroup(labels.groupBy("of", "chunk")).applyInPandas(one, PARTIAL)
     return each.mapInPandas(_merging, PARTIAL)  # in the same tasks
 
 
@@ -98,10 +139,10 @@ def finished(partial: DataFrame, one, ddl: str) -> DataFrame:
     return by_cluster(partial).repartition("cluster").mapInPandas(task, ddl)
 
 
-def moments(windows: DataFrame, biased: bool = False) -> DataFrame:
+def moments(labelled: DataFrame, biased: bool = False) -> DataFrame:
     """(cluster, n, mean, cov): the covariance row by row."""
     one = lambda cluster, n, mean, m2: (cluster, n, mean, covariance(n, m2, biased, cluster).ravel())
-    return finished(partial_moments(windows), one, "cluster int, n bigint, mean array<double>, cov array<double>")
+    return finished(partial_moments(labelled), one, "cluster int, n bigint, mean array<double>, cov array<double>")
 
 
 def counts(assigned: DataFrame, clusters: int) -> DataFrame:

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import windows
 from tidemark.operators.ordering import CHUNK, chunk_of
 from tidemark.plans.storage import stored
 
@@ -38,12 +39,12 @@ def window_costs(x: np.ndarray, means: np.ndarray, thetas: np.ndarray, log_dets:
     return out
 
 
-def cost_table(windows: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray) -> DataFrame:
+def cost_table(stacked: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray) -> DataFrame:
     """(series_id, t, cost) of stacked windows; a window that is not full costs nothing in any cluster.
 
     The model is broadcast: K matrices, whose size does not depend on the data.
     """
-    model = windows.sparkSession.sparkContext.broadcast((means, thetas, log_dets))
+    model = stacked.sparkSession.sparkContext.broadcast((means, thetas, log_dets))
 
     def task(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -52,7 +53,7 @@ def cost_table(windows: DataFrame, means: np.ndarray, thetas: np.ndarray, log_de
                 cost[~frame["full"].to_numpy(bool)] = 0.0
                 yield pd.DataFrame({"series_id": frame["series_id"], "t": frame["t"], "cost": list(cost)})
 
-    return windows.select("series_id", "t", "x", "full").mapInPandas(task, "series_id string, t bigint, cost array<double>")
+    return stacked.select("series_id", "t", "x", "full").mapInPandas(task, "series_id string, t bigint, cost array<double>")
 
 
 def _blocked(rows: np.ndarray) -> tuple[np.ndarray, int]:
@@ -170,20 +171,35 @@ def folded(rows: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
     return product, last
 
 
-def _summary(beta: float, costs_of):
+def _summed(key: tuple, t: np.ndarray, costs: np.ndarray, beta: float) -> pd.DataFrame:
     """A chunk's costs, its product, and G at its first row as if the series ended with it."""
+    k = costs.shape[1]
+    first = chained(products(costs, beta), np.where(np.eye(k, dtype=bool), 0.0, np.inf))[0]
+    row = *key, first.ravel(), through(first, np.zeros(k)), t.astype(np.int64).tobytes(), costs.tobytes()
+    return pd.DataFrame([row], columns=["series_id", "c", "product", "last", "t", "cost"])
 
+
+def _summary(beta: float, costs_of):
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("t")
-        costs = costs_of(part)
-        k = costs.shape[1]
-        first = chained(products(costs, beta), np.where(np.eye(k, dtype=bool), 0.0, np.inf))[0]
-        row = *key, first.ravel(), through(first, np.zeros(k)), part["t"].to_numpy(np.int64).tobytes(), costs.tobytes()
-        return pd.DataFrame([row], columns=["series_id", "c", "product", "last", "t", "cost"])
+        return _summed(key, part["t"].to_numpy(np.int64), costs_of(part), beta)
 
     return one
 
 
+def _summary_packed(beta: float, model, window: int, sensors: int):
+    """The same of PACKED chunks, whose windows are stacked inside the task only."""
+
+    def task(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                costs = window_costs(windows.windows_of(windows.observations(row.x, sensors), window), *model.value)
+                costs[row.whole :] = 0.0
+                yield _summed((row.series_id, row.c), row.first + np.arange(row.own), costs, beta)
+
+    return task
+
+
 def _pairs(part: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(np.asarray(p).reshape(len(e), -1), np.asarray(e)) for p, e in zip(part["product"], part["last"], strict=True)]
 
@@ -263,13 +279,23 @@ def _labels(beta: float):
 def assign(costs: DataFrame, beta: float, chunk: int = CHUNK, costs_of=given_costs, chunks: int | None = None) -> DataFrame:
     """(series_id, t, cluster): the cheapest path of each series; of equal ones the lower cluster.
 
-    Rows that have their chunk ``c`` already, and lie dealt by (series_id, c), are not moved.
     ``chunks``: how many the longest series has, if the caller knows.
     """
     if beta < 0:
         raise ValueError("beta must not be negative")
-    cut = costs if "c" in costs.columns else costs.withColumn("c", chunk_of(F.col("t"), chunk))
-    table = stored(cut.groupBy("series_id", "c").applyInPandas(_summary(beta, costs_of), COSTS).withColumn("k", F.size("last")))
+    cut = costs.withColumn("c", chunk_of(F.col("t"), chunk))
+    return _assigned(stored(cut.groupBy("series_id", "c").applyInPandas(_summary(beta, costs_of), COSTS)), beta, chunks)
+
+
+def assign_packed(packed: DataFrame, beta: float, model, window: int, sensors: int, chunks: int | None = None) -> DataFrame:
+    """``assign`` for PACKED chunks by a broadcast (means, thetas, log_dets): no window leaves the task that its chunk is in."""
+    if beta < 0:
+        raise ValueError("beta must not be negative")
+    return _assigned(stored(packed.mapInPandas(_summary_packed(beta, model, window, sensors), COSTS)), beta, chunks)
+
+
+def _assigned(table: DataFrame, beta: float, chunks: int | None) -> DataFrame:
+    table = table.withColumn("k", F.size("last"))
     first = table.groupBy("series_id").agg(F.min("c").alias("c"), F.max("c").alias("end"))
     many = (chunks or first.agg(F.max(F.col("end") - F.col("c"))).first()[0] or 0) > ONE_LEVEL
     whole, wide = F.col("series_id"), F.struct("series_id", (F.col("c") / ONE_LEVEL).cast("bigint").alias("c"))
@@ -361,11 +387,11 @@ def rolling(costs: DataFrame, beta: float, block: int, chunk: int = CHUNK, costs
     return found if first is None else found.unionByName(first.where(F.col("t") < block).select("series_id", "t", F.col("cluster").cast("int").alias("cluster")))
 
 
-def held_out_assign(windows: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray, trained: DataFrame, beta: float) -> DataFrame:
+def held_out_assign(held_out: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray, trained: DataFrame, beta: float) -> DataFrame:
     """Clusters of held-out windows (series_id, t, left, right, x): own cost plus a penalty for each neighbour that differs."""
-    costs = cost_table(windows.withColumn("full", F.lit(True)), means, thetas, log_dets)
+    costs = cost_table(held_out.withColumn("full", F.lit(True)), means, thetas, log_dets)
     near = lambda side: trained.select("series_id", F.col("t").alias(side), F.col("cluster").alias(f"{side}_cluster"))
-    met = costs.join(windows.select("series_id", "t", "left", "right"), ["series_id", "t"]).join(near("left"), ["series_id", "left"], "left").join(near("right"), ["series_id", "right"], "left")
+    met = costs.join(held_out.select("series_id", "t", "left", "right"), ["series_id", "t"]).join(near("left"), ["series_id", "left"], "left").join(near("right"), ["series_id", "right"], "left")
     away = lambda side, k: F.when(F.col(f"{side}_cluster") != k, F.lit(float(beta))).otherwise(F.lit(0.0))
     total = F.transform("cost", lambda v, k: v + away("left", k) + away("right", k))
     return met.select("series_id", "t", (F.array_position(total, F.array_min(total)) - 1).cast("int").alias("cluster"))

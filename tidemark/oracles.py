@@ -138,6 +138,7 @@ _RAW: dict[str, str] = {
     "cluster_counts": f"SELECT each::INT AS cluster, count(DISTINCT t) AS n FROM (SELECT unnest(range(0, {K + 1})) AS each) LEFT JOIN st ON c = each GROUP BY each",
     "cluster_means": "SELECT cluster, d AS at, round(m, 4) AS v FROM mu",
     "cluster_cov_unbiased": "SELECT cluster, i, j, round(v, 5) + 0.0 AS v FROM cov",
+    "cluster_cov_lagged": "SELECT cluster, i, j, round(v, 5) + 0.0 AS v FROM cov",
     "cluster_cov_biased": "SELECT cluster, i, j, round(p, 5) + 0.0 AS v FROM cov",
     "lag_cov_toeplitz_mean": f"SELECT cluster, (j // {N} - i // {N})::INT AS lag, (i % {N})::INT AS j, (j % {N})::INT AS k, round(avg(v), 5) + 0.0 AS v FROM cov WHERE i // {N} < j // {N} OR (i // {N} = j // {N} AND i <= j) GROUP BY 1, 2, 3, 4",
     "symmetric_unpack": "SELECT cluster, i, j, round(CASE WHEN abs(v) < 0.001 THEN 0 ELSE v END, 5) + 0.0 AS v FROM cov",

@@ -6,6 +6,8 @@ import json
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -116,6 +118,11 @@ class Model:
         return scoring.assign(stacked, p.beta, p.rows(self.sensors), scoring.model_costs(shared), chunks)
 
 
+    def predict_packed(self, chunks: DataFrame, many: int | None = None) -> DataFrame:
+        """As ``predict`` for the windows of PACKED chunks; ``many``: how many the longest series has, if known."""
+        shared, p = chunks.sparkSession.sparkContext.broadcast(self.arrays()), self.parameters
+        return scoring.assign_packed(chunks, p.beta, shared, p.window, self.sensors, many)
+
     def predict_rolling(self, stacked: DataFrame, block: int, first: DataFrame | None = None) -> DataFrame:
         """(series_id, t, cluster): what the ``block`` windows before each ``t`` alone say; ``first``: labels of the rows before those."""
         shared, p = stacked.sparkSession.sparkContext.broadcast(self.arrays()), self.parameters
@@ -144,9 +151,9 @@ def _solver(p: Parameters, sensors: int):
 
 
 def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: int) -> dict[int, dict]:
-    """Mean and sparse inverse covariance of each cluster that has windows: a task for each cluster, K rows back."""
-    if "c" in stacked.columns:
-        partial = moments.partial_moments_dealt(stacked, assigned.withColumn("c", chunk_of(F.col("t"), p.rows(sensors))))
+    """Mean and sparse inverse covariance of each cluster that has windows, stacked or packed: a task for each cluster, K rows back."""
+    if "own" in stacked.columns:
+        partial = moments.partial_moments_packed(stacked, assigned.withColumn("c", chunk_of(F.col("t"), max(p.window, p.rows(sensors)))), p.window, sensors)
     else:
         partial = moments.partial_moments(stacked.join(assigned, ["series_id", "t"]).select("cluster", "x"))
     return {r["cluster"]: r.asDict() for r in moments.finished(partial, _solver(p, sensors), ROW).collect()}
@@ -214,7 +221,7 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
 
     Each run begins at a member of its donor chosen by a seeded draw, a member of its own for each empty cluster,
     and its rows go whatever their own label is; a row that two runs reach belongs to the later run's start.
-    An empty cluster takes over its donor's matrices, around the last window that it got (of ``stacked``, if given).
+    An empty cluster takes over its donor's matrices, around the last window that it got (of ``stacked``, if given; PACKED chunks do too).
     ``sizes``: rows of each cluster, if known.
     """
     sizes = sizes or {r["cluster"]: r["n"] for r in assigned.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
@@ -226,7 +233,7 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
     found = starts(empty, donors, members(assigned, {k: sizes[k] for k in set(donors)}, most, p.seed + turn), p.reassign)
     ends = {r["series_id"]: r["last"] for r in assigned.where(F.col("series_id").isin(*{s for s, _ in found.values()})).groupBy("series_id").agg(F.max("t").alias("last")).collect()} if stacked is not None else {}
     last = {k: (s, min(t + p.reassign - 1, ends.get(s, t))) for k, (s, t) in found.items()}
-    seen = {(r["series_id"], r["t"]): r["x"] for r in windows_at(stacked, set(last.values()))} if stacked is not None else {}
+    seen = {(r["series_id"], r["t"]): r["x"] for r in windows_at(stacked, set(last.values()), p, model.sensors)} if stacked is not None else {}
     cluster = F.col("cluster")
     for k, (series_id, t) in sorted(found.items(), key=lambda kv: kv[1][1]):
         donor = donors[empty.index(k)]
@@ -238,10 +245,15 @@ def repair(assigned: DataFrame, model: Model, empty: list[int], p: Parameters, t
     return assigned.withColumn("cluster", cluster)
 
 
-def windows_at(stacked: DataFrame, places: set[tuple[str, int]]) -> list:
-    """A few windows by their places."""
+def windows_at(held: DataFrame, places: set[tuple[str, int]], p: Parameters | None = None, sensors: int = 0) -> list:
+    """A few windows by their places, of stacked windows or of PACKED chunks."""
+    if not places:
+        return []
+    if "own" in held.columns:
+        inside = [(F.col("series_id") == s) & F.lit(t).between(F.col("first"), F.col("first") + F.col("own") - 1) for s, t in sorted(places)]
+        held = windows.unpacked(held.where(reduce(or_, inside)), p.window, sensors)
     named = F.array(*[F.struct(F.lit(s).alias("series_id"), F.lit(t).cast("bigint").alias("t")) for s, t in sorted(places)])
-    return stacked.where(F.array_contains(named, F.struct("series_id", "t"))).select("series_id", "t", "x").collect() if places else []
+    return held.where(F.array_contains(named, F.struct("series_id", "t"))).select("series_id", "t", "x").collect()
 
 
 def checked(series: DataFrame, sensors: int) -> int:
@@ -267,26 +279,26 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
     """Fits ``series`` (series_id, t from 0 without gaps, x). ``labels``: (series_id, t, cluster) to start from.
 
     Labels are compared with those of the round before, before its repair. As long as a cluster
-    stays empty the rounds go on, to ``most_rounds`` at most. The windows are dealt by chunk of time
-    once and held; a round moves labels, moments, the windows' K costs, and a K x K matrix for each
-    chunk. Labels older than the round before are deleted.
+    stays empty the rounds go on, to ``most_rounds`` at most. The observations are dealt by chunk of time
+    once and held as they are: windows are stacked inside tasks only. A round moves labels, moments, the
+    windows' K costs, and a K x K matrix for each chunk. Labels older than the round before are deleted.
     """
     p, spark = parameters, series.sparkSession
     LOG.info("fit of %d sensors: %s", sensors, p)
     rows, tables = checked(series, sensors), Tables(spark, "fit")
     chunks = -(-rows // p.rows(sensors))
-    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stacked = windows.stack(stored(series), p.window, sensors, p.tail, p.rows(sensors), dealt).persist()
-    start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(stacked, p)
+    dealt, series = int(spark.conf.get("spark.sql.shuffle.partitions")), stored(series)
+    held = windows.packed(series, p.window, sensors, p.tail, p.rows(sensors), dealt).persist()
+    start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(windows.unpacked(held, p.window, sensors), p)
     assigned, model, before, converged, turn = tables.write(start, "start"), Model(p, sensors), None, False, 0
     for turn in range(p.most_rounds):
-        model.rows |= estimate(stacked, assigned, p, sensors)
-        found = tables.write(model.predict(stacked, chunks), f"found_{turn}")
+        model.rows |= estimate(held, assigned, p, sensors)
+        found = tables.write(model.predict_packed(held, chunks), f"found_{turn}")
         now = after = census(found)
         empty = [k for k in range(p.clusters) if k not in now]
         assigned = found
         if empty and turn:
-            assigned = tables.write(repair(found, model, empty, p, turn, {k: v[0] for k, v in now.items()}, stacked), f"repaired_{turn}")
+            assigned = tables.write(repair(found, model, empty, p, turn, {k: v[0] for k, v in now.items()}, held), f"repaired_{turn}")
             after = census(assigned)
         LOG.info("round %d: %s", turn, {k: now.get(k, (0,))[0] for k in range(p.clusters)})
         converged, before = before == after, now
@@ -298,7 +310,7 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
     score = None
     if with_bic:
         score = metrics.bic(assigned, information(model, spark), series.count(), p.threshold).first()["bic"]
-    stacked.unpersist()
+    held.unpersist()
     return Fit(assigned, model, turn + 1, converged, score)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays
 from tidemark.operators import metrics, moments, prepare, scoring, windows
-from tidemark.operators.ordering import with_rank
+from tidemark.operators.ordering import chunk_of, with_rank
 from tidemark.plans import fit as fitting
 from tidemark.plans import mixture as mixtures
 from tidemark.plans.storage import shared_folder, stored
@@ -143,6 +143,15 @@ def cluster_cov_unbiased(spark, sf_dir):
     return _covariance(spark, sf_dir).withColumn("v", _tidy("v", 5))
 
 
+def cluster_cov_lagged(spark, sf_dir):
+    """The stacked covariances from products of observations by lag, without stacking."""
+    chunks = windows.packed(scaled(spark, sf_dir), W, N, chunk=PACE)
+    labels = spark.range(axis(spark, sf_dir)[1] - W + 1).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.floor(F.col("id") / 120) % K).cast("int").alias("cluster"))
+    partial = moments.partial_moments_packed(chunks, labels.withColumn("c", chunk_of(F.col("t"), PACE)), W, N)
+    one = lambda cluster, n, mean, m2: (cluster, moments.covariance(n, m2, False, cluster).ravel())
+    return metrics.matrix_long(moments.finished(partial, one, "cluster int, cov array<double>"), "cov", W * N).withColumn("v", _tidy("v", 5))
+
+
 def cluster_cov_biased(spark, sf_dir):
     return _covariance(spark, sf_dir, True).withColumn("v", _tidy("v", 5))
 
@@ -526,6 +535,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round, cluster_cov_lagged,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
