@@ -174,6 +174,21 @@ def test_order_helpers(spark):
     assert all(r["v"] - 50 == r["t"] for r in numbered)
 
 
+@pytest.mark.parametrize("bits", [2, 12])
+def test_exact_numbers_of_rows_are_drawn(spark, bits, monkeypatch):
+    keys = spark.range(1000).select(F.concat(F.lit("s"), F.col("id") % 3).alias("series_id"), F.floor(F.col("id") / 3).alias("t")).repartition(5)
+    order = [tuple(r) for r in keys.withColumn("draw", ordering.drawn(4)).orderBy("draw", "series_id", "t").select("series_id", "t").collect()]
+    for most in (0, 1, 7, 500, 999, 1000, 2000):
+        got = {tuple(r) for r in keys.where(ordering.smallest_draws(keys, most, 4, bits)).collect()}
+        assert got == set(order[:most])
+    monkeypatch.setattr(ordering, "drawn", lambda seed: F.col("t") % 4)  # ties
+    got = {tuple(r) for r in keys.where(ordering.smallest_draws(keys, 100, 4, bits)).collect()}
+    assert got == {tuple(r) for r in keys.orderBy(F.col("t") % 4, "series_id", "t").limit(100).collect()}
+    train, test = prepare.split_exact(series(spark, np.zeros((50, 1))), 2, 50, 0.5, ends=False, seed=3, whole=True)
+    a, b = ({r["t"] for r in d.collect()} for d in (train, test))
+    assert len(a) == 25 and a | b == set(range(50)) and not a & b
+
+
 def test_preparation(spark):
     gaps = spark.createDataFrame([("0", t, [v, 1.0]) for t, v in enumerate([None, 1.0, None, None, 4.0, None])], "series_id string, t bigint, x array<double>")
     assert [r["x"][0] for r in prepare.forward_fill(gaps, 2).orderBy("t").collect()] == [None, 1.0, 1.0, 1.0, 4.0, 4.0]
@@ -339,7 +354,7 @@ def test_repair_of_tiny_donors():
 
 
 def test_members_are_the_smallest_draws(spark):
-    assigned = spark.range(3000).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 3).cast("int").alias("cluster")).withColumn("draw", fitting.drawn(5))
+    assigned = spark.range(3000).select(F.lit("0").alias("series_id"), F.col("id").alias("t"), (F.col("id") % 3).cast("int").alias("cluster")).withColumn("draw", ordering.drawn(5))
     want = {k: [("0", r["t"]) for r in assigned.where(f"cluster = {k}").orderBy("draw").limit(50).collect()] for k in (0, 2)}
     assert fitting.members(assigned.drop("draw"), {0: 1000, 2: 1000}, 50, 5) == want
     assert len(fitting.members(assigned.drop("draw"), {1: 1000}, 5000, 5)[1]) == 1000

@@ -18,6 +18,43 @@ def chunk_of(t: Column, size: int = CHUNK) -> Column:
     return F.floor(t / size).cast("bigint")
 
 
+DRAW_BITS = 52
+
+
+def drawn(seed: int) -> Column:
+    """A seeded number of ``DRAW_BITS`` bits for each row (series_id, t)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(seed)))), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+
+
+def smallest_draws(df: DataFrame, most: int, seed: int, bits: int = 12) -> Column:
+    """Tells the ``most`` rows (series_id, t) of the smallest draws, exactly as many, ties in order of series and time.
+
+    The last of them is found by refining a histogram: each pass counts 2^bits buckets of the bucket that
+    holds it, so two or three passes over the keys do, without a sort. What comes back is a bucket's few rows.
+    """
+    draw, low, width, before = drawn(seed), 0, DRAW_BITS, 0
+    if most <= 0:
+        return F.lit(False)
+    while True:
+        inside = df.where(draw.between(low, low + (1 << width) - 1))
+        step = min(bits, width)
+        counts = {r["b"]: r["n"] for r in inside.groupBy(F.shiftright(draw - low, width - step).alias("b")).agg(F.count("*").alias("n")).collect()}
+        if before + sum(counts.values()) <= most:
+            return F.lit(True)  # there are no more rows than that; a narrower bucket always holds the last of them
+        for b in sorted(counts):
+            if before + counts[b] >= most:
+                break
+            before += counts[b]
+        width -= step
+        low += b << width
+        if counts[b] <= 1 << bits or not width:
+            break
+    rows = df.where(draw.between(low, low + (1 << width) - 1)).select(draw.alias("draw"), "series_id", "t").orderBy("draw", "series_id", "t").limit(most - before).collect()
+    last = rows[-1]
+    key = F.struct(draw.alias("draw"), F.col("series_id"), F.col("t").cast("bigint").alias("t"))
+    return key <= F.struct(F.lit(last["draw"]).cast("bigint").alias("draw"), F.lit(last["series_id"]).alias("series_id"), F.lit(last["t"]).cast("bigint").alias("t"))
+
+
 def with_ordinal(df: DataFrame, name: str = "t") -> DataFrame:
     """Numbers rows 0, 1, … in the order they are stored in: place in the partition plus the rows before it."""
     held = stored(df.select("*", F.monotonically_increasing_id().alias("__id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordering import CHUNK, carried, with_rank
+from tidemark.operators.ordering import CHUNK, carried, smallest_draws, with_rank
 
 
 def forward_fill(series: DataFrame, sensors: int) -> DataFrame:
@@ -46,6 +46,17 @@ def split(series: DataFrame, window: int, length: int, share: float = 0.9, ends:
     return upto.where(flag), upto.where(~flag)
 
 
+def split_exact(series: DataFrame, window: int, length: int, share: float = 0.9, ends: bool = True, seed: int = 0, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``split``, with exactly int(share * length) rows drawn for training without replacement, both ends beside them if asked for."""
+    every = series.where(F.col("t") <= length - window)
+    flag = smallest_draws(every.select("series_id", "t"), int(length * share), seed)
+    if ends:
+        flag = flag | (F.col("t") == 0) | (F.col("t") == length - window)
+    flag = flag & (F.col("t") <= length - window)
+    upto = series.where(F.col("t") < length) if whole else every
+    return upto.where(flag), upto.where(~flag)
+
+
 def neighbours(train: DataFrame, test: DataFrame) -> DataFrame:
     """(series_id, t, left, right): the nearest training rows strictly before and after each test row."""
     both = train.select("series_id", "t", F.lit(True).alias("known")).union(test.select("series_id", "t", F.lit(False)))

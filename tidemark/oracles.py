@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, MANY, PAIR_BETA, PAIR_LAM, PALETTE, REASSIGN, TYPES, K, N, W
+from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, MANY, PAIR_BETA, PAIR_LAM, PALETTE, REASSIGN, SPLIT_SEED, TYPES, K, N, W
 
 _LAST = HOURS - W  # the last window
 _KEYS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TYPES))
@@ -36,6 +36,7 @@ _PARTS: dict[str, str] = {
         list_append(m.used, (SELECT c.cluster FROM conf c WHERE c.truth = m.truth + 1 AND NOT list_contains(m.used, c.cluster) ORDER BY cnt DESC, c.cluster LIMIT 1)) FROM m WHERE m.truth < {K - 1}""",
     "match": "SELECT truth::INT AS truth, cluster::INT AS cluster FROM m WHERE truth >= 0",
     "train": f"SELECT t FROM range(0, {_LAST + 1}) AS r(t) WHERE (t * 7919) % 997 < 0.9 * 997 OR t IN (0, {_LAST})",
+    "draws": f"SELECT t, row_number() OVER (ORDER BY ('0x' || substr(md5('0:' || t || ':{SPLIT_SEED}'), 1, 13))::BIGINT, t) AS nth FROM range(0, {_LAST + 1}) AS r(t)",
     "test": f"SELECT t FROM range(0, {_LAST + 1}) AS r(t) WHERE t NOT IN (SELECT t FROM train)",
     "ranked": f"SELECT t, dense_rank() OVER (ORDER BY t) - 1 AS rank, s, v FROM y WHERE t <= {_LAST} AND (t * 7919) % 997 < 0.9 * 997",
     "moved": f"SELECT ((a.t // 120) % {K})::INT AS cluster, var_samp(a.v) + 0.002 AS p, var_samp(b.v) + 0.002 AS r, covar_samp(a.v, b.v) AS z FROM y a JOIN y b USING (t) WHERE a.s = 0 AND b.s = 1 GROUP BY 1",
@@ -133,6 +134,8 @@ _RAW: dict[str, str] = {
         FROM ranked a JOIN ranked b ON a.s = b.s AND b.rank BETWEEN a.rank AND a.rank + 1 WHERE a.rank <= (SELECT max(rank) - 1 FROM ranked)""",
     "split_train": "SELECT t FROM train",
     "split_test": "SELECT t FROM test",
+    "split_exact_train": f"SELECT t FROM draws WHERE nth <= {HOURS * 9 // 10} OR t IN (0, {_LAST})",
+    "split_exact_test": f"SELECT t FROM range(0, {HOURS}) AS r(t) WHERE t NOT IN (SELECT t FROM draws WHERE nth <= {int(HOURS * 0.99)})",
     "subsample_even": "SELECT t, s AS sensor, round(v, 6) AS v FROM x WHERE t % 10 = 0",
     "asof_neighbours": 'SELECT t, l AS "left", r AS "right" FROM near',
     "cluster_counts": f"SELECT each::INT AS cluster, count(DISTINCT t) AS n FROM (SELECT unnest(range(0, {K + 1})) AS each) LEFT JOIN st ON c = each GROUP BY each",

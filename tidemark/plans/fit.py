@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import lasso, metrics, moments, scoring, windows
-from tidemark.operators.ordering import chunk_of
+from tidemark.operators.ordering import chunk_of, drawn
 from tidemark.plans import mixture as mixtures
 from tidemark.plans.storage import Tables, stored
 
@@ -175,11 +175,6 @@ def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     return stored(KMeans(k=p.clusters, seed=p.seed).fit(vectors).transform(vectors).select("series_id", "t", F.col("prediction").cast("int").alias("cluster")))
 
 
-def drawn(seed: int):
-    """A seeded number of 52 bits for each row (series_id, t)."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("bigint")
-
-
 def members(assigned: DataFrame, sizes: dict[int, int], most: int, seed: int) -> dict[int, list[tuple[str, int]]]:
     """For each cluster of ``sizes`` (its number of rows) the ``most`` rows of the smallest draws, in order of them.
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import moments
+from tidemark.operators.ordering import drawn
 from tidemark.plans.storage import stored
 
 ASSIGNED = "series_id string, t bigint, cluster int"
@@ -135,7 +136,7 @@ def _draws(seed: int, starts: int, centres: list[list[np.ndarray]]):
 
 def seeds(windows: DataFrame, k: int, seed: int, starts: int = STARTS) -> list[np.ndarray]:
     """For each start K windows that lie apart, in K passes for all of them."""
-    from tidemark.plans.fit import drawn, windows_at
+    from tidemark.plans.fit import windows_at
 
     centres: list[list[np.ndarray]] = [[] for _ in range(starts)]
     keyed = "series_id string, t bigint, " + ", ".join(f"key{s} double" for s in range(starts))

@@ -117,6 +117,19 @@ def split_test(spark, sf_dir):
     return prepare.split(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1])[1].select("t")
 
 
+SPLIT_SEED = 11
+
+
+def split_exact_train(spark, sf_dir):
+    """Nine rows in ten, exactly, and both ends."""
+    return prepare.split_exact(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1], seed=SPLIT_SEED)[0].select("t")
+
+
+def split_exact_test(spark, sf_dir):
+    """What one row in a hundred, exactly, is left for: all rows that were not drawn, to the end of the series."""
+    return prepare.split_exact(hourly(spark, sf_dir), W, axis(spark, sf_dir)[1], 0.99, ends=False, seed=SPLIT_SEED, whole=True)[1].select("t")
+
+
 def subsample_even(spark, sf_dir):
     return _series_long(prepare.every_nth(hourly(spark, sf_dir), 10))
 
@@ -423,7 +436,7 @@ FIT_ROUNDS = 10
 
 def fit_events(spark, sf_dir):
     """Labels after at most ``FIT_ROUNDS`` rounds; how many there were, and whether the labels stand still."""
-    p = fitting.Parameters(window=W, clusters=K, lam=0.01, beta=20, most_rounds=FIT_ROUNDS)
+    p = fitting.Parameters(window=W, clusters=K, lam=0.01, beta=5, most_rounds=FIT_ROUNDS)
     found = fitting.fit(scaled(spark, sf_dir), N, p)
     return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
@@ -445,7 +458,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fit_lineitem_daily(spark, sf_dir):
     series = daily(spark, sf_dir)
-    p = fitting.Parameters(window=2, clusters=3, lam=0.01, beta=20, most_rounds=FIT_ROUNDS)
+    p = fitting.Parameters(window=2, clusters=3, lam=0.001, beta=20, most_rounds=FIT_ROUNDS)
     found = fitting.fit(prepare.range_normalize(series, 3), 3, p)
     return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
@@ -456,7 +469,7 @@ def fit_embeddings(spark, sf_dir):
     keyed = e.select(F.lit("0").alias("series_id"), F.col("vec_id").alias("t"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), "label")
     series = with_rank(keyed).drop("t").withColumnRenamed("rank", "t")
     labels = series.select("series_id", "t", F.col("label").cast("int").alias("cluster"))
-    p = fitting.Parameters(window=1, clusters=10, lam=0.05, beta=50, init="given", most_rounds=FIT_ROUNDS)
+    p = fitting.Parameters(window=1, clusters=10, lam=0.005, beta=5, rho=0.005, init="given", most_rounds=FIT_ROUNDS)
     found = fitting.fit(series.select("series_id", "t", "x"), 64, p, labels)
     return found.assignments.select("t", "cluster", F.lit(found.rounds).alias("rounds"), F.lit(found.converged).alias("converged"))
 
@@ -535,6 +548,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round, cluster_cov_lagged,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round, cluster_cov_lagged, split_exact_train, split_exact_test,
 )
 QUERIES = {f.__name__: f for f in _ROWS}

@@ -52,7 +52,7 @@ def span(df: DataFrame, t: Column) -> tuple[int, int]:
     return (0, 0) if first is None else (first, last - first + 1)
 
 
-def pivoted(df: DataFrame, t: Column, key: Column, value: Column, keys: Sequence[str], length: Column | int, digits: int | None = 4) -> DataFrame:
+def pivoted(df: DataFrame, t: Column, key: Column, value: Column, keys: Sequence[str], length: int, digits: int | None = 4) -> DataFrame:
     """A series of sums: one row for each t from 0 to ``length`` - 1, one sensor for each key, 0 where none.
 
     A row with one of the keys and a ``t`` that the axis does not hold is an error, never left out.
@@ -61,7 +61,7 @@ def pivoted(df: DataFrame, t: Column, key: Column, value: Column, keys: Sequence
     inside = F.col("t").between(0, F.lit(length) - 1) | F.col("t").isNull()
     own = own.withColumn("t", F.when(inside, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("the axis does not hold t = "), F.col("t").cast("string"))).cast("bigint")))
     sums = own.groupBy("t").agg(*[F.sum(F.when(F.col("k") == k, F.col("v"))).alias(f"s{i}") for i, k in enumerate(keys)])
-    spine = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(length).cast("bigint") - 1)).alias("t")).where(F.col("t").between(0, F.lit(length) - 1))
+    spine = df.sparkSession.range(max(0, length)).withColumnRenamed("id", "t")
     tidy = lambda c: F.round(F.coalesce(c, F.lit(0.0)), digits) if digits is not None else F.coalesce(c, F.lit(0.0))
     return spine.join(sums, "t", "left").select(F.lit("0").alias("series_id"), "t", F.array(*[tidy(F.col(f"s{i}")) for i in range(len(keys))]).alias("x"))
 

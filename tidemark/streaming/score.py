@@ -40,16 +40,25 @@ class Path:
     def state(self) -> tuple:
         return self.last, [h.tolist() for h in self.held], self.paths.tolist(), self.times, [b.tolist() for b in self.back]
 
-    def add(self, t: int, x: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(time of a window, cluster) of what can be told now."""
-        if self.last is not None and t <= self.last:
-            return
-        if self.last is not None and t != self.last + 1:
-            self.held = []
-        self.held, self.last = [*self.held, x][-self.window :], t
-        if len(self.held) < self.window:
-            return
-        cost = window_costs(np.concatenate(self.held)[None, :], *self.model)[0]
+    def add_all(self, rows: dict[int, np.ndarray]) -> list[tuple[int, int]]:
+        """(time of a window, cluster) of what observations (in any order) tell; the costs of all their windows at once."""
+        whole, xs = [], []
+        for t in sorted(rows):
+            if self.last is not None and t <= self.last:
+                continue
+            if self.last is not None and t != self.last + 1:
+                self.held = []
+            self.held, self.last = [*self.held, rows[t]][-self.window :], t
+            if len(self.held) == self.window:
+                whole.append(t)
+                xs.append(np.concatenate(self.held))
+        costs = window_costs(np.array(xs), *self.model) if xs else ()
+        return [out for t, cost in zip(whole, costs, strict=True) for out in self._step(t, cost)]
+
+    def add(self, t: int, x: np.ndarray) -> list[tuple[int, int]]:
+        return self.add_all({t: x})
+
+    def _step(self, t: int, cost: np.ndarray) -> Iterator[tuple[int, int]]:
         if len(self.paths):
             stay = self.paths <= self.paths.min() + self.beta
             self.back.append(np.where(stay, np.arange(len(cost)), self.paths.argmin()))
@@ -86,14 +95,13 @@ def score_stream(series: DataFrame, model: Model, lag: int = 0, time_col: str |
             out = list(path.rest())
             state.remove()
         else:
-            rows, latest, out = {}, 0, []
+            rows, latest = {}, 0
             for frame in frames:  # a micro-batch comes in any order; of a repeated time the first row counts
                 for t, x in zip(frame["t"], frame["x"], strict=True):
-                    rows.setdefault(int(t), x)
+                    rows.setdefault(int(t), np.asarray(x, float))
                 if time_col:
                     latest = max(latest, int(frame["ms"].max()))
-            for t in sorted(rows):
-                out += path.add(t, np.asarray(rows[t], float))
+            out = path.add_all(rows)
             state.update(path.state())
             if time_col:
                 state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + idle_ms)
