@@ -272,6 +272,37 @@ def test_lasso_is_optimal(mode):
     assert np.allclose(steps.sparse, z, atol=1e-4)
 
 
+@pytest.mark.parametrize("window", [1, 3])
+def test_separate_sensors_are_solved_separately(window):
+    """Planted networks that do not touch: the same solution as of all sensors at once."""
+    r = np.random.default_rng(window)
+    parts = [r.permutation(9)[:4], None]
+    parts[1] = np.setdiff1d(np.arange(9), parts[0])
+    x = np.zeros((4000, 9))
+    for some in parts:
+        x[:, some] = r.normal(size=(4000, len(some))) @ (np.eye(len(some)) + 0.5 * r.normal(size=(len(some), len(some))))
+    stacked = windows.windows_of(x, window)
+    s = np.cov(stacked.T)
+    lam = 0.2
+    sets = lasso.separate(s, window, lam)
+    assert len(sets) > 1 and all(any(set(a) <= set(p) for p in parts) for a in sets) and sorted(np.concatenate(sets)) == list(range(9))
+    whole, apart = (f(s, window, lam, eps_abs=1e-10, eps_rel=1e-10, floor=0.0, most=5000) for f in (lasso.solve, lasso.solve_separately))
+    assert np.allclose(whole.theta, apart.theta, atol=1e-6) and np.allclose(whole.sparse, apart.sparse, atol=1e-6) and ((whole.sparse != 0) == (apart.sparse != 0)).all()
+    assert len(lasso.separate(s, window, 0.0)) == 1
+
+
+def test_many_separate_sensors_at_once():
+    """5,000 entries in pieces of four sensors."""
+    r = np.random.default_rng(1)
+    s = np.eye(5000) * 2
+    for at in range(0, 5000, 4):
+        some = r.normal(size=(4, 4)) * 0.3
+        s[at : at + 4, at : at + 4] += some @ some.T
+    got = lasso.solve_separately(s, 1, 1e-3, eps_abs=1e-5, eps_rel=1e-5)
+    own = lasso.solve(s[:4, :4], 1, 1e-3, eps_abs=1e-5, eps_rel=1e-5)
+    assert got.converged and np.allclose(got.theta[:4, :4], own.theta) and not got.theta[:4, 4:].any()
+
+
 def test_packed_matrices(spark):
     m = np.arange(16.0).reshape(4, 4)
     m = m + m.T
@@ -485,6 +516,23 @@ def test_generator():
     assert np.allclose(np.cov(x.T), np.linalg.inv(p), atol=0.4)
 
 
+def test_generated_rows_do_not_depend_on_chunks(spark):
+    made = lambda chunk: {(r["series_id"], r["t"]): (r["x"], r["truth"]) for r in synth.synthetic_series(spark, 2, 4, 3, 0.3, (0, 1, 0), (50, 90, 130), chunk).collect()}
+    one = made(1000)
+    assert len(one) == 260 and [one["1", t][1] for t in (0, 49, 50, 89, 90, 129)] == [0, 0, 1, 1, 0, 0]
+    for chunk in (1, 7, 50):
+        other = made(chunk)
+        assert other.keys() == one.keys() and all(np.allclose(other[k][0], one[k][0], atol=1e-9) and other[k][1] == one[k][1] for k in one)
+    assert not np.allclose(one["0", 5][0], one["1", 5][0])
+
+
+def test_noises_are_normal_wherever_they_begin():
+    x = synth.noises(5, 1, 0, 40_000, 3)
+    assert np.array_equal(x[1234:1300], synth.noises(5, 1, 1234, 66, 3))
+    assert np.allclose(np.cov(x.T), np.eye(3), atol=0.03) and np.allclose(x.mean(0), 0, atol=0.02) and abs((x**4).mean() - 3) < 0.15
+    assert abs(np.corrcoef(x[1:, 0], x[:-1, 0])[0, 1]) < 0.02
+
+
 def test_queries_agree_with_their_sql(spark, duck):
     from tidemark.oracles import ORACLES
     from tidemark.queries import QUERIES

@@ -143,7 +143,7 @@ def _solver(p: Parameters, sensors: int):
 
     def one(cluster: int, n: int, mean: np.ndarray, m2: np.ndarray) -> tuple:
         cov = moments.covariance(n, m2, p.biased, cluster)
-        found = lasso.solve(cov, p.window, penalty, p.rho, eps_abs=p.eps, eps_rel=p.eps, floor=p.floor, rho_update=p.rho_update)
+        found = lasso.solve_separately(cov, p.window, penalty, rho=p.rho, eps_abs=p.eps, eps_rel=p.eps, floor=p.floor, rho_update=p.rho_update)
         log_det = -np.linalg.slogdet(found.theta)[1]
         return cluster, n, mean, cov.ravel(), found.theta.ravel(), found.sparse.ravel(), np.linalg.inv(found.theta).ravel(), log_det, found.iterations, found.converged
 
