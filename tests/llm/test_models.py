@@ -218,6 +218,20 @@ def test_token_counts(spark):
     assert token_counts.count_tokens(frame(spark, []), WORD).count() == 0
 
 
+def test_tables_of_the_commonest_add_up(spark, monkeypatch):
+    from collections import Counter
+
+    docs = frame(spark, awkward()).repartition(5)
+    whole = Counter(p for r in awkward() if r[1] and token_counts.PLAIN.fullmatch(r[1]) for p in token_counts.PRE_TOKENS.findall(r[1].lower()) if len(p) <= token_counts.CACHED_CHARS)
+    pieces, lengths = token_counts.frequent_lengths(docs, WORD)
+    assert set(pieces.split("\n")) == {p for p, n in whole.items() if n > 1} and len(lengths) == len(pieces.split("\n"))
+    monkeypatch.setattr(token_counts, "FREQUENT", 3)
+    assert len(token_counts.frequent_lengths(docs, WORD, most=3)[1]) == 3
+    assert token_counts.frequent_lengths(frame(spark, []), WORD) == ("", b"")
+    one, other = (token_counts._table(Counter(x), 9) for x in ("aab", "abbbc"))
+    assert token_counts._added(one, other) == ("b\na\nc", np.array([4, 3, 1], "<i8").tobytes())
+
+
 def test_plain_characters_are_treated_alike():
     """Every character of the fast paths, in all its neighbourhoods, as the library treats it."""
     lengths = token_counts.Lengths(WORD, ("", b""))

@@ -3,9 +3,9 @@
 A text's token count is the sum of the lengths of its pre-tokens. Tier one is a compact table of
 frequent pre-tokens and their lengths, fitted on about ``SAMPLE_DOCS`` rows drawn at random and
 broadcast (at most ``FREQUENT`` entries, whatever the input). A pre-token that it lacks is looked
-up in the worker's own cache and encoded by the tokenizer if it is not there either. The corpus's
-pre-tokens are never shuffled (of the sample, each task's commonest are added up), and the tables
-only save work: any sample gives the same counts.
+up in the worker's own cache and encoded by the tokenizer if it is not there either. Pre-tokens are
+never shuffled: a task hands on its part of the sample's commonest as one bounded table, and these tables
+are added up in a tree, each sum being bounded again. They only save work: any sample gives the same counts.
 
 Texts with characters outside a set whose treatment is certain (printable ASCII, blanks, accented
 Latin-1 letters, common marks), or with a special token's string, are encoded whole by the
@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,18 +100,34 @@ def _common(most: int):
                         seen.update(p for p in PRE_TOKENS.findall(text.lower()) if len(p) <= CACHED_CHARS)
                 if len(seen) > 8 * most:
                     seen = Counter(dict(seen.most_common(4 * most)))
-        top = seen.most_common(most)
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+        pieces, counts = _table(seen, most)
+        yield pa.RecordBatch.from_arrays([pa.array([pieces], pa.string()), pa.array([counts], pa.binary())], ["pieces", "counts"])
 
     return task
 
 
+def _table(seen: Counter[str], most: int) -> tuple[str, bytes]:
+    """The ``most`` commonest, joined by newlines (which no piece holds), and their counts."""
+    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return "\n".join(p for p, _ in top), np.array([n for _, n in top], "<i8").tobytes()
+
+
+def _added(a: tuple[str, bytes], b: tuple[str, bytes]) -> tuple[str, bytes]:
+    """Two tables as one of at most ``FREQUENT`` entries."""
+    both: Counter[str] = Counter()
+    for pieces, counts in (a, b):
+        both.update(dict(zip(pieces.split("\n"), np.frombuffer(counts, "<i8").tolist(), strict=False)))
+    return _table(both, FREQUENT)
+
+
 def frequent_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text", sample_docs: int = SAMPLE_DOCS, most: int = FREQUENT) -> tuple[str, bytes]:
     """The commonest pre-tokens of a bounded sample, joined by newlines, and their lengths (1 to 255)."""
     share = min(1.0, sample_docs / max(1, docs.count()))
     sample = docs.select(col(text_col).alias("text")).where(F.rand(SAMPLE_SEED) < share)
-    met = sample.mapInArrow(_common(OF_A_TASK), "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
-    pieces = [r["piece"] for r in met.orderBy(F.desc("n"), "piece").limit(most).collect()]
+    tables = sample.mapInArrow(_common(OF_A_TASK), "pieces string, counts binary").rdd.map(lambda r: (r[0], bytes(r[1])))
+    pieces, counts = tables.treeReduce(_added) if tables.getNumPartitions() else ("", b"")
+    n = int((np.frombuffer(counts, "<i8") > 1).sum())  # they come by falling count
+    pieces = pieces.split("\n")[: min(n, most)]
     sized = [(p, n) for p, n in zip(pieces, Lengths(tokenizer, ("", b"")).encode(pieces), strict=True) if 0 < n < 256]
     return "\n".join(p for p, _ in sized), bytes(n for _, n in sized)
 
