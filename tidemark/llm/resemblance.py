@@ -8,7 +8,8 @@ Texts with the same set fall together first. Then each text is compared with one
 one of its buckets. Those that link drop out of the bucket, and what is left is compared with its own
 smallest, ``LEADERS`` times in all. So a large group of near copies costs a comparison each. In
 buckets that still hold several components all texts outside the largest meet all texts of the
-bucket, in tiles of bounded size inside a task.
+bucket, in tiles of bounded size inside a task, which has their sets and hands on links that join
+components there, never pairs.
 
 The ``BANDS * ROWS`` minima of each text, 16 bits of each, tell which pairs may be similar at all
 (fewer than ``AGREE`` equal ones happen to one similar pair in 10^10); only those are handed on to be
@@ -124,26 +125,49 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each tile the pairs that may be similar. Rows come by tile, homes first; homes are bounded."""
-    tile, homes, held = None, [], None
+def _found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "found"])
+
+
+def _linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each tile links that join what is similar in it. Rows come by tile, homes first; homes are bounded.
+
+    Components that a tile has joined are not compared again, so it hands on fewer links than it met components.
+    """
+    tile, homes, held, joined = None, [], None, {}
+
+    def first(root: int) -> int:
+        while root in joined:
+            root = joined[root]
+        return root
+
     for batch in batches:
         u, v = [], []
-        for t, role, node, n, root, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for t, role, node, n, root, signature, found in rows_of([batch], 64):
             if t != tile:
-                tile, homes, held = t, [], None
-            own = np.frombuffer(signature, np.uint16)
+                tile, homes, held, joined = t, [], None, {}
+            own, mine = np.frombuffer(signature, np.uint16), np.frombuffer(found, np.uint64)
             if role == 0:
-                homes.append((node, n, root, own))
+                homes.append((node, n, root, own, mine))
                 continue
             if held is None:
-                held = tuple(map(np.array, zip(*homes, strict=True))) if homes else ()
+                held = (*map(np.array, list(zip(*homes, strict=True))[:4]), [h[4] for h in homes]) if homes else ()
             if held:
-                nodes, sizes, roots, signatures = held
+                nodes, sizes, roots, signatures, sets = held
                 some = np.flatnonzero((roots != root) & (5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)))
                 some = some[(signatures[some] == own).sum(axis=1) >= AGREE]
-                u += np.maximum(nodes[some], node).tolist()
-                v += np.minimum(nodes[some], node).tolist()
+                for k in some.tolist():
+                    a, b = first(int(roots[k])), first(root)
+                    if a == b:
+                        continue
+                    at = np.minimum(np.searchsorted(sets[k], mine), len(sets[k]) - 1)
+                    if 9 * int((sets[k][at] == mine).sum()) >= 4 * (len(sets[k]) + len(mine)):
+                        joined[max(a, b)] = min(a, b)
+                        u.append(max(int(nodes[k]), node))
+                        v.append(min(int(nodes[k]), node))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
@@ -209,12 +233,14 @@ def similar_components(docs: DataFrame, candidates: DataFrame, id_col: str, text
     each = met.groupBy("band", "root").agg(F.count("*").alias("many")).groupBy("band").agg(F.max_by("root", F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
     rest = work.write(met.join(each.where("roots > 1").select("band", "main"), "band"), "rest")
     if not rest.isEmpty():
+        named = work.write(rest.select("node").distinct(), "rest_named").hint("shuffle_hash")
+        sets = work.write(texts.join(named, texts["doc_id"] == named["node"]).select("node", "text").mapInArrow(_found, "node bigint, found binary"), "rest_sets")
         roles = F.when(F.col("root") == F.col("main"), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))).cast("array<tinyint>")
-        both = rest.join(signed.withColumnRenamed("row", "node"), "node").select(F.col("band").alias("key"), F.explode(roles).alias("role"), "node", "n", "root", "signature")
+        each = sets.join(signed.withColumnRenamed("row", "node"), "node")
+        both = rest.join(each, "node").select(F.col("band").alias("key"), F.explode(roles).alias("role"), "node", "n", "root", "signature", "found")
         dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        pairs = tiled(both, work, ("node", "n", "root", "signature")).repartition(dealt, "tile").sortWithinPartitions("tile", "role").mapInArrow(_alike, "u bigint, v bigint")
-        pairs = work.write(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "other_pairs")
-        links = links.union(_confirmed(pairs, signed, texts, work, "other"))
+        more = tiled(both, work, ("node", "n", "root", "signature", "found")).repartition(dealt, "tile").sortWithinPartitions("tile", "role").mapInArrow(_linked, "u bigint, v bigint")
+        links = links.union(work.write(more, "other_links"))
     found = components(links.union(copies), Workspace(docs.sparkSession, "resemblance"))
     work.drop()  # what is found reads tables of its own
     return found
