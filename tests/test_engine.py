@@ -1,6 +1,7 @@
 """The segmentation engine against closed forms, brute force and plain numpy."""
 
 import itertools
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -286,7 +287,7 @@ def test_separate_sensors_are_solved_separately(window):
     lam = 0.2
     sets = lasso.separate(s, window, lam)
     assert len(sets) > 1 and all(any(set(a) <= set(p) for p in parts) for a in sets) and sorted(np.concatenate(sets)) == list(range(9))
-    whole, apart = (f(s, window, lam, eps_abs=1e-10, eps_rel=1e-10, floor=0.0, most=5000) for f in (lasso.solve, lasso.solve_separately))
+    whole, apart = (f(s, window, lam, eps_abs=1e-10, eps_rel=1e-10, floor=0.0, most=5000) for f in (lasso.solve, partial(lasso.solve_separately, wide=1)))
     assert np.allclose(whole.theta, apart.theta, atol=1e-6) and np.allclose(whole.sparse, apart.sparse, atol=1e-6) and ((whole.sparse != 0) == (apart.sparse != 0)).all()
     assert len(lasso.separate(s, window, 0.0)) == 1
 

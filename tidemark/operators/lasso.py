@@ -86,11 +86,14 @@ def solve(s: np.ndarray, window: int, lam: float | np.ndarray, rho: float = 1.0,
     return Solution(x, z, most, False)
 
 
-def solve_separately(s: np.ndarray, window: int, lam: float | np.ndarray, **how) -> Solution:
-    """As ``solve``, by sets of sensors that do not touch: the cost is that of the largest set, not of all sensors."""
+def solve_separately(s: np.ndarray, window: int, lam: float | np.ndarray, wide: int = 256, **how) -> Solution:
+    """As ``solve``, by sets of sensors that do not touch: the cost is that of the largest set, not of all sensors.
+
+    A matrix of at most ``wide`` rows is solved whole, which costs less than many tiny solutions.
+    """
     sensors = len(s) // window
-    sets = separate(s, window, lam)
-    if len(sets) == 1:
+    sets = separate(s, window, lam) if len(s) > wide else []
+    if len(sets) < 2:
         return solve(s, window, lam, **how)
     penalty, theta, sparse = np.broadcast_to(np.asarray(lam, float), s.shape), np.zeros_like(s), np.zeros_like(s)
     found = []
