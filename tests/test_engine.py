@@ -1,13 +1,14 @@
 """The segmentation engine against closed forms, brute force and plain numpy."""
 
 import itertools
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA, rows
@@ -16,6 +17,7 @@ from tidemark.operators import lasso, metrics, moments, ordering, prepare, scori
 from tidemark.plans import fit as fitting
 from tidemark.plans import mixture as mixtures
 from tidemark.sources import exports, readers, synth
+from tidemark.streaming import resumable
 from tidemark.streaming.score import Path, score_stream
 
 
@@ -463,6 +465,61 @@ def test_an_idle_series_ends(spark, tmp_path):
     assert got.t.tolist() == list(range(39)) and got.cluster.tolist() == plain_lagged(costs, 0.5, 6)
 
 
+def read_stream(spark, place, out):
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
+    run.awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, resumable.ROCKS)
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("lag", [0, 4])
+def test_a_stream_goes_on_where_a_table_ends(spark, rocks, tmp_path, lag):
+    """As if it had read the table too: a long history, one that the lag holds back whole, one shorter than a window, and none."""
+    r = np.random.default_rng(11)
+    p = fitting.Parameters(window=3, clusters=2, lam=0.1, beta=0.5, init="random", most_rounds=1)
+    x = r.normal(size=(60, 2))
+    model = fitting.fit(series(spark, x), 2, p).model
+    known = {"long": 41, "held": 5, "short": 2, "new": 0}
+    every = reduce(DataFrame.union, [series(spark, x + i / 9, name) for i, name in enumerate(known)])
+    past = every.where(" OR ".join(f"(series_id = '{name}' AND t < {n})" for name, n in known.items()))
+    start = resumable.handover(past, model, lag, chunk=7)
+    for k, part in enumerate((every.subtract(past).where("t < 50"), every.where("t >= 50"), every.where("t = 3"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(every.schema).parquet(str(tmp_path / "in"))
+        out = read_stream(spark, tmp_path, resumable.label_stream(source, model, lag, start=start))
+        assert k < 2 or out.groupBy("series_id", "t").count().where("count > 1").isEmpty()
+    for i, (name, n) in enumerate(known.items()):
+        path = Path(model.arrays(), 0.5, 3, lag)
+        before = path.add_all({t: (x + i / 9)[t] for t in range(n)})
+        want = path.add_all({t: (x + i / 9)[t] for t in range(n, 60)})
+        got = out.where(F.col("series_id") == name).orderBy("t").toPandas()
+        assert list(zip(got.t, got.cluster, strict=True)) == want and len(before) + len(want) == 58 - lag, name
+
+
+def test_a_timer_ends_an_idle_series(spark, rocks, tmp_path):
+    x = np.random.default_rng(8).normal(size=(40, 2))
+    p = fitting.Parameters(window=2, clusters=2, lam=0.1, beta=0.5, init="random", most_rounds=1)
+    model = fitting.fit(series(spark, x), 2, p).model
+    timed = lambda s, first: s.withColumn("ts", F.timestamp_seconds(F.lit(first) + F.col("t")))
+    for part in (timed(series(spark, x, "a"), 1_000), timed(series(spark, x[:5], "b"), 100_000), timed(series(spark, x[5:7], "b").withColumn("t", F.col("t") + 5), 200_000)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        out = read_stream(spark, tmp_path, resumable.label_stream(source, model, 6, "ts", "10 seconds", 60_000))
+    got = out.where("series_id = 'a'").orderBy("t").toPandas()
+    costs = scoring.window_costs(np.array([x[i : i + 2].ravel() for i in range(39)]), *model.arrays())
+    assert got.t.tolist() == list(range(39)) and got.cluster.tolist() == plain_lagged(costs, 0.5, 6)
+    with pytest.raises(ValueError, match="timers"):
+        resumable.label_stream(source, model, 6, "ts", ttl_ms=1)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("# head\n1.5,2\n3,4\n\n5,6e1\n")
     got = readers.read_matrix_csv(spark, str(tmp_path / "m.csv")).orderBy("t").collect()
