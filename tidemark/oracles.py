@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, MANY, PAIR_BETA, PAIR_LAM, PALETTE, REASSIGN, SPLIT_SEED, TYPES, K, N, W
+from tidemark.queries import BETA, BLOCKS, HOURS, LAG, LAM, MANY, PAIR_BETA, PAIR_LAM, PALETTE, PAST, REASSIGN, SPLIT_SEED, TYPES, K, N, W
 
 _LAST = HOURS - W  # the last window
 _KEYS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TYPES))
@@ -195,6 +195,7 @@ _RAW: dict[str, str] = {
     "random_init": f"SELECT t, (('0x' || substr(md5('0:' || t || ':102'), 1, 8))::BIGINT % {K})::INT AS cluster FROM range(0, {_LAST + 1}) AS r(t)",
     "stream_score": "SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM online",
     "stream_score_lagged": f"SELECT t, (k - 1)::INT AS cluster FROM late WHERE t = seen - {LAG}",
+    "stream_handover": f"SELECT t, (k - 1)::INT AS cluster FROM late WHERE t = seen - {LAG} AND t > {PAST} - {W} - {LAG}",
     "repaired_labels": "SELECT t, cluster FROM repairedw",
     "repaired_round": "SELECT t, cluster FROM pathd",
     "rolling_block": f"SELECT t, (list_position(p, list_min(p)) - 1)::INT AS cluster FROM roll{BLOCKS[0]} WHERE s = {BLOCKS[0]} AND t <= {_LAST} UNION ALL SELECT t, cluster FROM path WHERE t < {BLOCKS[0]}",

@@ -15,6 +15,7 @@ from tidemark.plans import fit as fitting
 from tidemark.plans import mixture as mixtures
 from tidemark.plans.storage import shared_folder, stored
 from tidemark.sources import exports, readers, synth
+from tidemark.streaming.resumable import ROCKS, handover, label_stream
 from tidemark.streaming.score import score_stream
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -500,6 +501,27 @@ def stream_score_lagged(spark, sf_dir):
     return _streamed(spark, sf_dir, LAG)
 
 
+PAST = 360
+
+
+def stream_handover(spark, sf_dir):
+    """The same for a stream that begins at hour ``PAST``, with the state that the hours before it lead to."""
+    series, model = scaled(spark, sf_dir), diagonal_model(spark, sf_dir)
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    start = stored(handover(series.where(F.col("t") < PAST), model, LAG, PACE))
+    series.where(F.col("t") >= PAST).write.parquet(f"{place}/in")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, ROCKS)
+    try:
+        out = label_stream(spark.readStream.schema(series.schema).parquet(f"{place}/in"), model, LAG, start=start)
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start(f"{place}/out")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema("series_id string, t bigint, cluster int").parquet(f"{place}/out").select("t", "cluster")
+
+
 REASSIGN, MANY = 20, 7
 
 
@@ -548,6 +570,6 @@ _ROWS = (
     cluster_cov_unbiased, cluster_cov_biased, lag_cov_toeplitz_mean, symmetric_unpack, threshold_mask, mrf_diag, mrf_2var, cost_matrix_diag, viterbi_labels, heldout_assign, segments, segment_lengths,
     confusion_periodic, confusion_pattern, confusion_aba, greedy_matching, accuracy, macro_f1, network_f1, bic_per_segment, bic_per_cluster, mrf_edges, cluster_norm_rank, export_colours, export_channels,
     export_locations, cluster_raw_means, accuracy_two_class, network_accuracy, baseline_networks, heldout_mixture, kmeans_init, gmm_init, random_init, fit_events, fit_given_labels, fit_lineitem_daily, fit_embeddings, stream_score, synthetic, lasso_zero_penalty,
-    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round, cluster_cov_lagged, split_exact_train, split_exact_test,
+    cost_matrix_dense, viterbi_labels_dense, segments_dense, bic_dense, fit_dense_round, fit_three_rounds, stream_score_lagged, stream_handover, rolling_block, rolling_block_wide, repaired_labels, repaired_round, gmm_round, gmm_labels, heldout_mixture_round, cluster_cov_lagged, split_exact_train, split_exact_test,
 )
 QUERIES = {f.__name__: f for f in _ROWS}
