@@ -602,6 +602,33 @@ def test_queries_agree_with_their_sql(spark, duck):
         assert kinds(got) == kinds(want) or len(got) == 0, name
 
 
+@pytest.mark.parametrize(("step", "least"), [(7921, 0), (7925, 1)])
+def test_rounds_agree_with_sql_where_a_cluster_runs_out_of_windows(spark, tmp_path, step, least):
+    """Events at other times: after the first round a cluster has no window, or one, which has no covariance."""
+    import duckdb
+
+    from tidemark import queries
+    from tidemark.oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"COPY (SELECT event_id, event_type, value, to_timestamp(1704067200 + (event_id * {step} * 1013) % 2592000)::TIMESTAMP AS ts FROM '{DATA}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    first = con.execute(ORACLES["fit_dense_round"]).df().cluster.value_counts()
+    assert min(first.get(k, 0) for k in range(queries.K)) == least
+    assert rows(queries.fit_three_rounds(spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES["fit_three_rounds"]).df())
+
+
+def test_dropped_clusters_take_no_window(spark):
+    """Not even at the end of the series, where windows cost nothing."""
+    x = np.random.default_rng(6).normal(size=(30, 2))
+    p = fitting.Parameters(window=3, clusters=4, init="given", lam=0.1, beta=0.0, empty="drop", most_rounds=2)
+    found = fitting.fit(series(spark, x), 2, p, series(spark, x).where("t < 28").select("series_id", "t", (F.col("t") % 2 * 2 + 1).alias("cluster")))
+    assert set(found.assignments.toPandas().cluster) == {1, 3} == set(found.model.rows)
+    with pytest.raises(ValueError, match="repair or drop"):
+        fitting.Parameters(empty="keep")
+
+
 def test_other_queries_run(spark):
     from tidemark import queries
     from tidemark.oracles import ORACLES

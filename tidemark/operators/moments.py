@@ -129,12 +129,13 @@ def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray
 
 
 def finished(partial: DataFrame, one, ddl: str) -> DataFrame:
-    """``one(cluster, n, mean, m2)`` of each cluster's merged moments: a row of ``ddl`` for each, in a task for each."""
+    """``one(cluster, n, mean, m2)`` of each cluster's merged moments: a row of ``ddl`` for each, none where it is None, in a task for each."""
     names = [c.split()[0] for c in ddl.split(", ")]
 
     def task(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row in next(_merging(frames)).itertuples(index=False):
-            yield pd.DataFrame([one(row.cluster, row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1)))], columns=names)
+            found = one(row.cluster, row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1)))
+            yield pd.DataFrame([] if found is None else [found], columns=names)
 
     return by_cluster(partial).repartition("cluster").mapInPandas(task, ddl)
 

@@ -39,6 +39,11 @@ def window_costs(x: np.ndarray, means: np.ndarray, thetas: np.ndarray, log_dets:
     return out
 
 
+def unknown_costs(log_dets: np.ndarray) -> np.ndarray:
+    """(K,): what a window that is not full costs: nothing, but in a cluster that no window can take."""
+    return np.where(np.isinf(log_dets), np.inf, 0.0)
+
+
 def cost_table(stacked: DataFrame, means: np.ndarray, thetas: np.ndarray, log_dets: np.ndarray) -> DataFrame:
     """(series_id, t, cost) of stacked windows; a window that is not full costs nothing in any cluster.
 
@@ -50,7 +55,7 @@ def cost_table(stacked: DataFrame, means: np.ndarray, thetas: np.ndarray, log_de
         for frame in frames:
             if len(frame):
                 cost = window_costs(np.stack(frame["x"].to_numpy()), *model.value)
-                cost[~frame["full"].to_numpy(bool)] = 0.0
+                cost[~frame["full"].to_numpy(bool)] = unknown_costs(model.value[2])
                 yield pd.DataFrame({"series_id": frame["series_id"], "t": frame["t"], "cost": list(cost)})
 
     return stacked.select("series_id", "t", "x", "full").mapInPandas(task, "series_id string, t bigint, cost array<double>")
@@ -157,7 +162,7 @@ def model_costs(model):
 
     def costs(part: pd.DataFrame) -> np.ndarray:
         out = window_costs(np.stack(part["x"].to_numpy()), *model.value)
-        out[~part["full"].to_numpy(bool)] = 0.0
+        out[~part["full"].to_numpy(bool)] = unknown_costs(model.value[2])
         return out
 
     return costs
@@ -194,7 +199,7 @@ def _summary_packed(beta: float, model, window: int, sensors: int):
         for frame in frames:
             for row in frame.itertuples(index=False):
                 costs = window_costs(windows.windows_of(windows.observations(row.x, sensors), window), *model.value)
-                costs[row.whole :] = 0.0
+                costs[row.whole :] = unknown_costs(model.value[2])
                 yield _summed((row.series_id, row.c), row.first + np.arange(row.own), costs, beta)
 
     return task

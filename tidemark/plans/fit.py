@@ -36,6 +36,7 @@ class Parameters:
     most_rounds: int = 1000
     threshold: float = 2e-5
     reassign: int = 20
+    empty: str = "repair"  #: of a cluster without windows: repair, or drop; then it has no networks in the next round, so no window can take it
     biased: bool = False
     init: str = "gmm"  #: gmm, kmeans, random or given
     lam_mode: str = "flat"  #: flat, lag_scaled, or matrix: then ``penalty`` is the whole matrix, row by row
@@ -55,6 +56,8 @@ class Parameters:
             raise ValueError("beta and lam must not be negative")
         if self.lam_mode not in ("flat", "lag_scaled", "matrix") or (self.lam_mode == "matrix") != (self.penalty is not None):
             raise ValueError("lam_mode is flat, lag_scaled or matrix, and only matrix takes a penalty")
+        if self.empty not in ("repair", "drop"):
+            raise ValueError("empty is repair or drop")
 
     def rows(self, sensors: int) -> int:
         """Rows of a chunk of time: at most ``chunk``, and fewer where windows are wide."""
@@ -78,11 +81,13 @@ class Model:
     rows: dict[int, dict] = field(default_factory=dict)
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means, inverse covariances and log det Sigma; a dropped cluster's is endless, and so is what any window costs there."""
         missing = [k for k in range(self.parameters.clusters) if k not in self.rows]
-        if missing:
+        if missing and (self.parameters.empty != "drop" or not self.rows):
             raise ValueError(f"clusters {missing} have no windows to be estimated from")
         d = self.sensors * self.parameters.window
-        each = [self.rows[k] for k in range(self.parameters.clusters)]
+        dropped = {"mean": np.zeros(d), "theta": np.zeros(d * d), "log_det": np.inf}
+        each = [self.rows.get(k, dropped) for k in range(self.parameters.clusters)]
         return np.array([r["mean"] for r in each]), np.array([r["theta"] for r in each]).reshape(-1, d, d), np.array([r["log_det"] for r in each])
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -141,7 +146,9 @@ class Fit:
 def _solver(p: Parameters, sensors: int):
     penalty = p.penalties(sensors)
 
-    def one(cluster: int, n: int, mean: np.ndarray, m2: np.ndarray) -> tuple:
+    def one(cluster: int, n: int, mean: np.ndarray, m2: np.ndarray) -> tuple | None:
+        if p.empty == "drop" and n < 2 and not p.biased:
+            return None  # a single window has no covariance
         cov = moments.covariance(n, m2, p.biased, cluster)
         found = lasso.solve_separately(cov, p.window, penalty, rho=p.rho, eps_abs=p.eps, eps_rel=p.eps, floor=p.floor, rho_update=p.rho_update)
         log_det = -np.linalg.slogdet(found.theta)[1]
@@ -277,6 +284,7 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
     stays empty the rounds go on, to ``most_rounds`` at most. The observations are dealt by chunk of time
     once and held as they are: windows are stacked inside tasks only. A round moves labels, moments, the
     windows' K costs, and a K x K matrix for each chunk. Labels older than the round before are deleted.
+    With ``empty="drop"`` nothing is repaired: a round has the clusters alone that the labels before it leave with windows.
     """
     p, spark = parameters, series.sparkSession
     LOG.info("fit of %d sensors: %s", sensors, p)
@@ -287,10 +295,10 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
     start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(windows.unpacked(held, p.window, sensors), p)
     assigned, model, before, converged, turn = tables.write(start, "start"), Model(p, sensors), None, False, 0
     for turn in range(p.most_rounds):
-        model.rows |= estimate(held, assigned, p, sensors)
+        model.rows = (model.rows if p.empty == "repair" else {}) | estimate(held, assigned, p, sensors)
         found = tables.write(model.predict_packed(held, chunks), f"found_{turn}")
         now = after = census(found)
-        empty = [k for k in range(p.clusters) if k not in now]
+        empty = [k for k in range(p.clusters) if k not in now] if p.empty == "repair" else []
         assigned = found
         if empty and turn:
             assigned = tables.write(repair(found, model, empty, p, turn, {k: v[0] for k, v in now.items()}, held), f"repaired_{turn}")
