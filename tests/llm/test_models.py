@@ -86,6 +86,27 @@ def test_documents_are_the_plain_recursion():
         assert np.allclose(tagger.documents([text], stretch=16)[0], plain_probabilities(tagger, text, 16), atol=1e-5)
 
 
+def test_states_are_not_kept():
+    """A block of full rows needs what the labels take from the states, not the states of all its bytes; the result is that of the states."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    tagger = language_id.ByteTagger(["a", "b", "c"])
+    for p in (tagger.ahead.p, tagger.behind.p):
+        p["in_update"][5], p["in_reset"][6] = -200, -200  # sigmoids at their ends
+    rows = r.integers(0, 30, (2048, 128)).astype(np.uint8)
+    rows[7, 90:] = 5
+    tracemalloc.start()
+    found = tagger.documents([rows.tobytes()])[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.size * 2 * language_id.HIDDEN * 4
+    x = np.ascontiguousarray(rows.T).astype(np.int16)
+    a, b = tagger.ahead.trace(x)[0], tagger.behind.trace(x[::-1])[0][::-1]
+    assert np.allclose(found, tagger._softmax(a, b).mean((0, 1), dtype=np.float64), atol=1e-6)
+    assert np.allclose(tagger.positions(rows[:3].astype(np.int16)), tagger._softmax(a, b)[:, :3], atol=1e-5)
+
+
 def test_neighbours_change_nothing():
     """Texts alone, beside others, in any order and any size of block."""
     r = np.random.default_rng(3)

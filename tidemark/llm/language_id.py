@@ -82,25 +82,7 @@ class Layer:
 
     def states(self, x: np.ndarray) -> np.ndarray:
         """(time, row, hidden) for symbols (time, row). PAD holds a state at zero, so bytes behind it are read as if it were not there."""
-        m, h = self.hidden, np.zeros((x.shape[1], self.hidden), np.float32)
-        back, table = (np.concatenate([self.p[f"{side}_{g}"] for g in GATES], 1) for side in ("back", "in"))
-        out, pad = np.empty((*x.shape, m), np.float32), x == PAD
-        filled = pad.any(1)
-        for t in range(len(x)):
-            a, b = h @ back, table.take(x[t], 0)
-            gates = a[:, : 2 * m]
-            gates += b[:, : 2 * m]
-            _sigmoid(gates)
-            q = a[:, 2 * m :]
-            q *= gates[:, m:]
-            q += b[:, 2 * m :]
-            np.tanh(q, out=q)
-            q -= h
-            q *= gates[:, :m]
-            h = np.add(h, q, out=out[t])
-            if filled[t]:
-                h[pad[t]] = 0
-        return out
+        return np.array([h[0].copy() for h in steps([self], x[None])]).reshape(*x.shape, self.hidden)
 
     def trace(self, x: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
         """As ``states``, with what the way back needs."""
@@ -138,6 +120,40 @@ class Layer:
         return out
 
 
+def steps(layers: list[Layer], x: np.ndarray) -> Iterator[np.ndarray]:
+    """The states (layer, row, hidden) of several layers after each step through their own symbols (layer, time, row).
+
+    They step together, each gate in an array of its own. To multiply by a sigmoid is to divide by 1 + exp of the
+    negated sum, whose sign is in the weights from the start. What is given out is the same array each time.
+    """
+    sign = {g: 1 if g == "new" else -1 for g in GATES}
+    table = np.stack([np.concatenate([layer.p[f"in_{g}"] for layer in layers]) * sign[g] for g in GATES])
+    back = np.stack([np.stack([layer.p[f"back_{g}"] for layer in layers]) * sign[g] for g in GATES])
+    each, _, rows = x.shape
+    h = np.zeros((each, rows, layers[0].hidden), table.dtype)
+    a, b = np.empty((2, len(GATES), *h.shape), table.dtype)
+    gates, new = a[:2], a[2]
+    start = len(layers[0].p["in_new"]) * np.arange(each)[:, None]
+    pad = x == PAD
+    filled = pad.any((0, 2))
+    for t in range(x.shape[1]):
+        np.matmul(h, back, out=a)
+        np.take(table, x[:, t] + start, axis=1, out=b, mode="clip")
+        gates += b[:2]
+        with np.errstate(over="ignore"):  # beyond single precision the sigmoid is 0, and so is what is divided by endless
+            np.exp(gates, out=gates)
+        gates += 1
+        new /= gates[1]
+        new += b[2]
+        np.tanh(new, out=new)
+        new -= h
+        new /= gates[0]
+        h += new
+        if filled[t]:
+            h[pad[:, t]] = 0
+        yield h
+
+
 class ByteTagger:
     """The network: a layer from each side and a softmax at every byte."""
 
@@ -157,10 +173,26 @@ class ByteTagger:
         x /= x.sum(-1, keepdims=True)
         return x
 
+    def _chances(self, rows: np.ndarray) -> np.ndarray:
+        """(time, label, row) probabilities for rows of symbols. Of the states, which are several times larger, only what the labels take from them is kept."""
+        x = np.ascontiguousarray(rows.T)
+        m, last = len(self.ahead.p["back_new"]), len(x) - 1
+        heads = np.stack([self.head[:m].T, self.head[m:].T])
+        out = np.empty((len(x), len(self.labels), len(rows)), np.float32)
+        out[:] = self.bias[:, None]
+        for t, h in enumerate(steps([self.ahead, self.behind], np.stack([x, x[::-1]]))):
+            ahead, behind = np.matmul(heads, h.transpose(0, 2, 1))
+            out[t] += ahead
+            out[last - t] += behind
+        for p in out:
+            p -= p.max(0)
+            np.exp(p, out=p)
+            p /= p.sum(0)
+        return out
+
     def positions(self, rows: np.ndarray) -> np.ndarray:
         """(time, row, label) probabilities for rows of symbols."""
-        x = np.ascontiguousarray(rows.T)
-        return self._softmax(self.ahead.states(x), self.behind.states(x[::-1])[::-1])
+        return self._chances(rows).transpose(0, 2, 1)
 
     def train(self, rows: np.ndarray, label: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> None:
         """Adam on the mean cross-entropy of all positions that hold a byte."""
@@ -195,10 +227,10 @@ class ByteTagger:
             part, n = rows[at : at + block], filled[at : at + block]
             longest = int(n.max())
             several = np.pad(part[:, :longest], ((0, max(0, LEAST_ROWS - len(part))), (0, 0)), constant_values=PAD)
-            p = self.positions(several)[:, : len(part)]
-            if int(n.min()) < longest:
-                p *= (np.arange(longest)[:, None] < n)[:, :, None]
-            np.add.at(total, of[at : at + block], p.sum(0, dtype=np.float64))
+            least, sums = int(n.min()), np.zeros((len(self.labels), len(part)))
+            for t, p in enumerate(self._chances(several)[:, :, : len(part)]):
+                sums += p if t < least else p * (t < n)
+            np.add.at(total, of[at : at + block], sums.T)
         return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
