@@ -328,6 +328,20 @@ def test_fit_finds_planted_regimes(spark):
     assert found.model.edges(spark, sensor=1).where("dst <> 1").isEmpty()
 
 
+def test_a_short_series_is_not_spread_thin(spark, monkeypatch):
+    """Passes over what a fit holds cost as many tasks as its partitions: no more than its chunks ask for, whatever a shuffle is told."""
+    seen, packed = [], windows.packed
+    monkeypatch.setattr(windows, "packed", lambda *a: seen.append(packed(*a)) or seen[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        x = np.random.default_rng(5).normal(size=(60, 2))
+        fitting.fit(series(spark, x), 2, fitting.Parameters(window=2, clusters=2, lam=0.1, beta=1.0, init="random", most_rounds=1))
+        assert seen[0].rdd.getNumPartitions() <= 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_model_round_trip_and_guards(spark, tmp_path):
     x = np.random.default_rng(5).normal(size=(60, 2))
     penalty = tuple(map(tuple, lasso.lag_scaled(0.1, 2, 2).tolist()))

@@ -117,9 +117,9 @@ def by_cluster(partial: DataFrame, buckets: int | None = None) -> DataFrame:
     return partial.withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(buckets))).repartition("cluster", "bucket").select(*partial.columns).mapInPandas(_merging, partial.schema)
 
 
-def merged(partial: DataFrame) -> DataFrame:
+def merged(partial: DataFrame, tasks: int | None = None) -> DataFrame:
     """Partial moments as one row for each cluster."""
-    return by_cluster(partial).repartition("cluster").mapInPandas(_merging, partial.schema)
+    return by_cluster(partial, tasks and isqrt(tasks)).repartition("cluster").mapInPandas(_merging, partial.schema)
 
 
 def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray:
@@ -128,7 +128,7 @@ def covariance(n: int, m2: np.ndarray, biased: bool, cluster: int) -> np.ndarray
     return m2 / (n if biased else n - 1)
 
 
-def finished(partial: DataFrame, one, ddl: str) -> DataFrame:
+def finished(partial: DataFrame, one, ddl: str, tasks: int | None = None) -> DataFrame:
     """``one(cluster, n, mean, m2)`` of each cluster's merged moments: a row of ``ddl`` for each, none where it is None, in a task for each."""
     names = [c.split()[0] for c in ddl.split(", ")]
 
@@ -137,13 +137,13 @@ def finished(partial: DataFrame, one, ddl: str) -> DataFrame:
             found = one(row.cluster, row.n, np.asarray(row.mean), np.reshape(row.m2, (len(row.mean), -1)))
             yield pd.DataFrame([] if found is None else [found], columns=names)
 
-    return by_cluster(partial).repartition("cluster").mapInPandas(task, ddl)
+    return by_cluster(partial, tasks and isqrt(tasks)).repartition("cluster").mapInPandas(task, ddl)
 
 
-def moments(labelled: DataFrame, biased: bool = False) -> DataFrame:
+def moments(labelled: DataFrame, biased: bool = False, tasks: int | None = None) -> DataFrame:
     """(cluster, n, mean, cov): the covariance row by row."""
     one = lambda cluster, n, mean, m2: (cluster, n, mean, covariance(n, m2, biased, cluster).ravel())
-    return finished(partial_moments(labelled), one, "cluster int, n bigint, mean array<double>, cov array<double>")
+    return finished(partial_moments(labelled), one, "cluster int, n bigint, mean array<double>, cov array<double>", tasks)
 
 
 def counts(assigned: DataFrame, clusters: int) -> DataFrame:

@@ -157,16 +157,19 @@ def _solver(p: Parameters, sensors: int):
     return one
 
 
-def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: int) -> dict[int, dict]:
-    """Mean and sparse inverse covariance of each cluster that has windows, stacked or packed: a task for each cluster, K rows back."""
+def estimate(stacked: DataFrame, assigned: DataFrame, p: Parameters, sensors: int, tasks: int | None = None) -> dict[int, dict]:
+    """Mean and sparse inverse covariance of each cluster that has windows, stacked or packed: a task for each cluster, K rows back.
+
+    ``tasks``: how many partitions the windows are in, if known.
+    """
     if "own" in stacked.columns:
         partial = moments.partial_moments_packed(stacked, assigned.withColumn("c", chunk_of(F.col("t"), max(p.window, p.rows(sensors)))), p.window, sensors)
     else:
         partial = moments.partial_moments(stacked.join(assigned, ["series_id", "t"]).select("cluster", "x"))
-    return {r["cluster"]: r.asDict() for r in moments.finished(partial, _solver(p, sensors), ROW).collect()}
+    return {r["cluster"]: r.asDict() for r in moments.finished(partial, _solver(p, sensors), ROW, tasks).collect()}
 
 
-def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
+def initial(stacked: DataFrame, p: Parameters, tasks: int | None = None) -> DataFrame:
     keys = stacked.select("series_id", "t", "x")
     if p.init == "random":
         number = F.conv(F.substring(F.md5(F.concat_ws(":", "series_id", F.col("t").cast("string"), F.lit(str(p.seed)))), 1, 8), 16, 10).cast("bigint")
@@ -174,7 +177,7 @@ def initial(stacked: DataFrame, p: Parameters) -> DataFrame:
     if p.init not in ("gmm", "kmeans"):
         raise ValueError(f"unknown init {p.init!r}: give labels for 'given'")
     if p.init == "gmm":
-        found = mixtures.start(keys, p.clusters, p.seed)
+        found = mixtures.start(keys, p.clusters, p.seed, tasks)
         if found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").count() == p.clusters:
             return found
         LOG.warning("no start of the Gaussian mixture has windows in all components; K-means starts instead")
@@ -258,16 +261,17 @@ def windows_at(held: DataFrame, places: set[tuple[str, int]], p: Parameters | No
     return held.where(F.array_contains(named, F.struct("series_id", "t"))).select("series_id", "t", "x").collect()
 
 
-def checked(series: DataFrame, sensors: int) -> int:
-    """How many rows the longest series has; an error that names the sensor if a value is missing."""
+def checked(series: DataFrame, sensors: int, chunk: int) -> tuple[int, int]:
+    """How many rows the longest series has, and about how many chunks all have; an error that names the sensor if a value is missing."""
     missing = F.array_position(F.transform("x", lambda v: v.isNull() | F.isnan(v)), True)
     wrong = F.when(F.coalesce(F.size("x"), F.lit(-1)) != sensors, F.lit(0)).when(missing > 0, missing)
-    found = series.agg(F.min(wrong).alias("first"), F.count(wrong).alias("n"), F.max("t").alias("last")).first()
+    chunks = F.approx_count_distinct(F.struct("series_id", chunk_of(F.col("t"), chunk)))
+    found = series.agg(F.min(wrong).alias("first"), F.count(wrong).alias("n"), F.max("t").alias("last"), chunks.alias("chunks")).first()
     if found["first"] == 0:
         raise ValueError(f"rows do not have {sensors} sensors")
     if found["n"]:
         raise ValueError(f"{found['n']} rows have no number, the first of them in sensor {found['first'] - 1}; fill or drop them first")
-    return 0 if found["last"] is None else found["last"] + 1
+    return 0 if found["last"] is None else found["last"] + 1, found["chunks"]
 
 
 def census(assigned: DataFrame) -> dict[int, tuple]:
@@ -282,20 +286,21 @@ def fit(series: DataFrame, sensors: int, parameters: Parameters, labels: DataFra
 
     Labels are compared with those of the round before, before its repair. As long as a cluster
     stays empty the rounds go on, to ``most_rounds`` at most. The observations are dealt by chunk of time
-    once and held as they are: windows are stacked inside tasks only. A round moves labels, moments, the
+    once, into no more partitions than twice the chunks there are, and held as they are: windows are stacked inside tasks only. A round moves labels, moments, the
     windows' K costs, and a K x K matrix for each chunk. Labels older than the round before are deleted.
     With ``empty="drop"`` nothing is repaired: a round has the clusters alone that the labels before it leave with windows.
     """
     p, spark = parameters, series.sparkSession
     LOG.info("fit of %d sensors: %s", sensors, p)
-    rows, tables = checked(series, sensors), Tables(spark, "fit")
+    series, tables = stored(series), Tables(spark, "fit")
+    rows, every = checked(series, sensors, p.rows(sensors))
     chunks = -(-rows // p.rows(sensors))
-    dealt, series = int(spark.conf.get("spark.sql.shuffle.partitions")), stored(series)
+    dealt = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * every))  # passes cost tasks, so a short series is not spread thin
     held = windows.packed(series, p.window, sensors, p.tail, p.rows(sensors), dealt).persist()
-    start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(windows.unpacked(held, p.window, sensors), p)
+    start = labels.select("series_id", "t", F.col("cluster").cast("int").alias("cluster")) if labels is not None else initial(windows.unpacked(held, p.window, sensors), p, dealt)
     assigned, model, before, converged, turn = tables.write(start, "start"), Model(p, sensors), None, False, 0
     for turn in range(p.most_rounds):
-        model.rows = (model.rows if p.empty == "repair" else {}) | estimate(held, assigned, p, sensors)
+        model.rows = (model.rows if p.empty == "repair" else {}) | estimate(held, assigned, p, sensors, dealt)
         found = tables.write(model.predict_packed(held, chunks), f"found_{turn}")
         now = after = census(found)
         empty = [k for k in range(p.clusters) if k not in now] if p.empty == "repair" else []

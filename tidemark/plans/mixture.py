@@ -96,7 +96,7 @@ def maximised(windows: DataFrame, k: int, floor: float = 0.0) -> Mixture:
     return _stepped(rows, 0, k, np.full(len(rows[0]["mean"]) - 1, floor), None)
 
 
-def _round(windows: DataFrame, each: dict[int, Mixture], k: int, floor: np.ndarray) -> dict[int, Mixture]:
+def _round(windows: DataFrame, each: dict[int, Mixture], k: int, floor: np.ndarray, tasks: int | None = None) -> dict[int, Mixture]:
     """Every mixture one step further, in one pass."""
     shared = windows.sparkSession.sparkContext.broadcast(each)
 
@@ -110,7 +110,7 @@ def _round(windows: DataFrame, each: dict[int, Mixture], k: int, floor: np.ndarr
                     _weighted(held, nth * k, np.c_[x, likelihood], share)
         yield moments.as_rows(held)
 
-    rows = moments.merged(windows.select("x").mapInPandas(task, moments.WEIGHTED)).collect()
+    rows = moments.merged(windows.select("x").mapInPandas(task, moments.WEIGHTED), tasks).collect()
     return {nth: _stepped([r for r in rows if r["cluster"] // k == nth], nth * k, k, floor, each[nth]) for nth in each}
 
 
@@ -150,9 +150,9 @@ def seeds(windows: DataFrame, k: int, seed: int, starts: int = STARTS) -> list[n
     return [np.array(c) for c in centres]
 
 
-def fitted(windows: DataFrame, k: int, seed: int = 0, starts: int = STARTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Mixture:
-    """The likeliest of several mixtures of ``k`` components for windows (series_id, t, x)."""
-    whole = moments.moments(windows.withColumn("cluster", F.lit(0)), biased=True).first()
+def fitted(windows: DataFrame, k: int, seed: int = 0, starts: int = STARTS, rounds: int = ROUNDS, tolerance: float = TOLERANCE, tasks: int | None = None) -> Mixture:
+    """The likeliest of several mixtures of ``k`` components for windows (series_id, t, x), which are in ``tasks`` partitions, if known."""
+    whole = moments.moments(windows.withColumn("cluster", F.lit(0)), biased=True, tasks=tasks).first()
     if whole is None:
         raise ValueError("no windows to fit a mixture to")
     d = len(whole["mean"])
@@ -161,7 +161,7 @@ def fitted(windows: DataFrame, k: int, seed: int = 0, starts: int = STARTS, roun
     going = {s: Mixture(np.full(k, 1 / k), means, np.tile(cov + np.diag(floor), (k, 1, 1))) for s, means in enumerate(seeds(windows, k, seed, starts))}
     done: dict[int, Mixture] = {}
     for _ in range(rounds):
-        after = _round(windows, going, k, floor)
+        after = _round(windows, going, k, floor, tasks)
         for s in list(going):
             if after[s].log_likelihood - going[s].log_likelihood < tolerance:
                 done[s] = going.pop(s)  # the likelihood is that of the mixture before the step
@@ -195,6 +195,6 @@ def networks(model: Mixture, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, theta array<double>")
 
 
-def start(windows: DataFrame, k: int, seed: int) -> DataFrame:
+def start(windows: DataFrame, k: int, seed: int, tasks: int | None = None) -> DataFrame:
     """Labels of a fitted mixture, stored."""
-    return stored(assigned(fitted(windows, k, seed), windows))
+    return stored(assigned(fitted(windows, k, seed, tasks=tasks), windows))
